@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from memlake.llm.common import _LOWER, SPACED, blocks, word_hashes, written
 
 DEPTH = 5
-MOST_GRAMS = 1 << 20
+MOST_GRAMS = 1 << 19
 CHUNK_BYTES = 6 << 20
 FOLDS, HELD_OUT = 7, 2
 END = 0
