@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from memlake.llm.common import _LOWER, SPACED, blocks, word_hashes, written
 
 DEPTH = 5
-MOST_GRAMS = 1 << 19
+MOST_GRAMS = 1 << 18
 CHUNK_BYTES = 6 << 20
 FOLDS, HELD_OUT = 7, 2
 END = 0
@@ -132,22 +132,13 @@ def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0) - math.log(math.pi)
 
 
-def _nodes(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys (context << 8 | prefix of the byte, from 1) with their zeros and ones."""
-    keys, zeros, ones = [], [], []
-    ctx, byte = (grams >> _U(8)) << _U(8), (grams & _U(255)).astype(np.int64)
-    for bit in range(8):
-        prefix = (1 << bit) | (byte >> (8 - bit))
-        one = (byte >> (7 - bit)) & 1
-        k = ctx | prefix.astype(np.uint64)
-        o = np.argsort(k, kind="stable")
-        u, at = np.unique(k[o], return_index=True)
-        keys.append(u)
-        ones.append(np.add.reduceat((n * one)[o], at) if len(at) else n[:0])
-        zeros.append(np.add.reduceat((n * (1 - one))[o], at) if len(at) else n[:0])
-    k = np.concatenate(keys)
-    o = np.argsort(k)
-    return k[o], np.concatenate(zeros)[o].astype(float), np.concatenate(ones)[o].astype(float)
+def _nodes(grams: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys (context << 8 | prefix of the byte, from 1) of one bit's decisions, with their zeros and ones."""
+    byte = (grams & _U(255)).astype(np.int64)
+    k = ((grams >> _U(8)) << _U(8)) | ((1 << bit) | (byte >> (8 - bit))).astype(np.uint64)
+    one = (byte >> (7 - bit)) & 1
+    u, back = np.unique(k, return_inverse=True)
+    return u, np.bincount(back, n * (1 - one), minlength=len(u)), np.bincount(back, n * one, minlength=len(u))
 
 
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +149,20 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class ContextTree:
-    """levels[d]: sorted node keys, estimate of bit 1, weight of the own estimate. ``grams``: log10 probability of the deepest kept n-grams in a table by hash."""
+    """levels[d][bit]: sorted node keys, estimate of bit 1, weight of the own estimate. ``value``: log10 probability of the deepest kept n-grams in a table by hash."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels: list = [None] * (DEPTH + 1)
+        self.levels: list = [[None] * 8 for _ in range(DEPTH + 1)]
+        for bit in range(8):
+            self._weigh(counts, bit)
+        deep = counts[DEPTH][0]
+        self.bits = max(10, int(len(deep) * 2).bit_length())
+        self._fill(deep)
+
+    def _weigh(self, counts: list[tuple[np.ndarray, np.ndarray]], bit: int) -> None:
         below = None  # keys, log weighted probability, zeros, ones of the level under it
         for d in range(DEPTH, -1, -1):
-            k, a, b = _nodes(*counts[d])
+            k, a, b = _nodes(*counts[d], bit)
             own = _kt(a, b)
             weighted, share = own, np.ones(len(k))
             if below is not None and len(below[0]):
@@ -179,11 +177,8 @@ class ContextTree:
                 both = top + np.log(np.exp(own - top) + np.exp(split - top)) - math.log(2)
                 weighted = np.where(has, both, own)
                 share = np.where(has, np.exp(own - math.log(2) - both), 1.0)
-            self.levels[d] = (k, ((b + 0.5) / (a + b + 1)).astype(np.float32), share.astype(np.float32))
+            self.levels[d][bit] = (k, ((b + 0.5) / (a + b + 1)).astype(np.float32), share.astype(np.float32))
             below = (k, weighted, a, b)
-        deep = counts[DEPTH][0]
-        self.bits = max(10, int(len(deep) * 2).bit_length())
-        self._fill(deep)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
@@ -209,7 +204,7 @@ class ContextTree:
                 rest = np.ones(len(g))  # share not yet given to an estimate
                 p, last, open_ = np.zeros(len(g)), np.full(len(g), 0.5), np.ones(len(g), bool)
                 for d in range(DEPTH + 1):
-                    keys, one, share = self.levels[d]
+                    keys, one, share = self.levels[d][bit]
                     ctx = (g >> _U(8)) & _U((1 << (8 * d)) - 1)
                     at, ok = _lookup(keys, (ctx << _U(8)) | prefix)
                     ok &= open_
