@@ -97,8 +97,8 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def blocks(col: pa.Array, most: int = 1 << 21):
-    """The rows of a column as (first row, end row, bytes, bounds), some 2 MB at once; a longer text comes alone, whole."""
+def blocks(col: pa.Array, most: int = 1 << 20):
+    """The rows of a column as (first row, end row, bytes, bounds), some 1 MB at once; a longer text comes alone, whole."""
     data, bounds = text_bytes(col)
     i, n = 0, len(bounds) - 1
     while i < n:
