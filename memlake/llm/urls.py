@@ -78,7 +78,7 @@ def mined_rules(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     numbered = t.withColumn("k", F.monotonically_increasing_id())
     short = numbered.select("k", F.explode("items").alias("i")).join(frequent, "i", "left_semi").groupBy("k").agg(F.collect_list("i").alias("items"))
     short = written(short.select("items"), "transactions")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, 2 / max(n, 1)), minConfidence=min_confidence, numPartitions=8).fit(short)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, 2 / max(n, 1))), minConfidence=min_confidence, numPartitions=8).fit(short)
     rules = model.associationRules.where("consequent[0] like 'label:%' and not exists(antecedent, x -> x like 'label:%')").where(F.size("antecedent") <= MOST_TOKENS)
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence", "support")
     rules = written(rules.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "rules")
