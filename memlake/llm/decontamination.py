@@ -25,15 +25,20 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import ascii_lower, written
 
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 ANCHORS = 3
 BROADCAST_ROWS = 200_000
 
 
+def raw_words(text: Column) -> Column:
+    """Words as they stand; the first or last may be the empty string if the text begins or ends with none."""
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), NOT_WORD)
+
+
 def words_of(text: Column) -> Column:
-    """Lower-cased words (A-Z only); the first or last may be the empty string if the text begins or ends with none."""
-    return F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD)
+    """The same, lower-cased (A-Z only). Words are lower-cased, not texts: most words are ASCII, though many texts aren't."""
+    return F.transform(raw_words(text), ascii_lower)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -54,9 +59,9 @@ def _first_real(w: str = "w") -> str:
 
 
 def tokens(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, h, pos, term): every word of every text with its position; h tells texts of one id apart."""
-    w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
-    return w.select("doc_id", "h", *more, F.posexplode("w").alias("pos", "term"))
+    """(doc_id, h, pos, term): every word of every text with its position; h tells texts of one id apart. ``w``: the raw words."""
+    w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), raw_words(F.col("text")).alias("w"))
+    return w.select("doc_id", "h", *more, F.posexplode("w").alias("pos", "term")).withColumn("term", ascii_lower(F.col("term")))
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
@@ -74,9 +79,13 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anc
     dead = once.where("rank = 1 and c = 0").select("window_id")
     anchor = written(once.join(dead, "window_id", "left_anti").join(windows.select("window_id", "terms"), "window_id").select("term", "window_id", "off", "rank", F.size("terms").alias("n"), F.when(F.col("rank") == 1, F.col("terms")).alias("terms")), "anchors")
     n_anchor = anchor.count()
-    postings = tokens(docs, "w").join(_sized(anchor, n_anchor), "term")
+    # each list knows the next rarer one (the rarest knows the second): a posting without its neighbour is in no intersection and isn't stored
+    other = anchor.select("window_id", F.col("rank").alias("other"), F.col("term").alias("mate"), F.col("off").alias("mate_off"))
+    pair = (F.col("a.window_id") == F.col("o.window_id")) & (F.col("o.other") == F.when(F.col("rank") == 1, 2).otherwise(F.col("rank") - 1))
+    paired = anchor.alias("a").join(other.alias("o"), pair, "left").select("a.*", "mate", (F.col("mate_off") - F.col("off")).alias("shift"))
+    postings = tokens(docs, "w").join(_sized(paired, n_anchor), "term").where(F.col("mate").isNull() | (ascii_lower(F.expr("get(w, pos + shift)")) == F.col("mate")))
     start = F.expr("pos - off")
-    text = F.when(F.col("rank") == 1, F.when((start >= 0) & (start + F.col("n") <= F.size("w")), F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n"))))
+    text = F.when(F.col("rank") == 1, F.when((start >= 0) & (start + F.col("n") <= F.size("w")), F.transform(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), ascii_lower)))
     placed = postings.select("doc_id", "h", "window_id", (start - F.expr(_first_real())).alias("start"), "n", (F.lit(1) * F.col("rank")).alias("rank"), (text == F.col("terms")).alias("same"))
     need = anchor.groupBy("window_id").agg(F.count("*").alias("need"))
     met = placed.groupBy("window_id", "doc_id", "h", "start", "n").agg(F.count_distinct("rank").alias("met"), F.bool_or("same").alias("same"))
@@ -103,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hits = written(window_hits(docs, benchmark, window), "hits")
     covered = hits.select("doc_id", "h", F.explode(F.sequence(F.col("start"), F.expr("start + n - 1"))).alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
     items = hits.select("doc_id", "h", F.explode("items").alias("item")).distinct().groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    w = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+")
+    w = raw_words(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), w.alias("w"))
     rows = rows.select("doc_id", "h", F.expr("cast(size(w) - if(w[0] = '', 1, 0) - if(size(w) > 1 and w[size(w) - 1] = '', 1, 0) as long)").alias("n_words"))
     both = covered.join(items, ["doc_id", "h"]).withColumnsRenamed({"doc_id": "d", "h": "g"})
