@@ -8,12 +8,15 @@ half the product of its children's, from the deepest up, and the posterior share
 of a node's own estimate is its weight in the mixture. The code length of a text
 is the sum over its bytes and one end byte.
 
-Scale: n-grams of D+1 bytes and words are counted over all training texts where
-they lie, summed by shuffling, and written. The model keeps the contexts that
-were met most often, down to the count that makes at most ``MOST_GRAMS`` n-grams:
-a bound for what the driver builds and the workers hold, whatever the corpus. A
-context that is not kept passes its parent's estimate on. Word counts are never
-collected: each chunk of texts gets the counts of its own words by a join.
+Scale: n-grams of D+1 bytes and words are counted over all texts where they lie,
+summed by shuffling, and written; no n-gram, context or word is left out. The tree
+is never in one place: n-grams are dealt by their last ``TOP`` bytes of context, and
+each task weighs the subtrees below its contexts from the leaves up. Only nodes of
+depth below ``TOP`` meet on the driver: at most 256 ** (TOP - 1) * 255, a bound by
+the alphabet and not by the corpus. A second pass goes down the same subtrees and
+writes each n-gram's log probability. Texts lie in chunks; a join brings each chunk
+the values of its own n-grams and words, so nothing that grows with the corpus is
+broadcast or collected. A context never met in training passes on its parent's estimate.
 
 Defined cases: null or empty text: only the end is scored. Documents are in
 training unless the CRC of their id as text, modulo 7, is 2; null ids count as
@@ -29,14 +32,17 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import _LOWER, SPACED, blocks, word_hashes, written
 
 DEPTH = 5
-MOST_GRAMS = 1 << 18
-CHUNK_BYTES = 6 << 20
+TOP = 3
+CHUNK_BYTES = 16 << 20
+_MERGE = 1 << 22
+_SLICE = 1 << 18
 FOLDS, HELD_OUT = 7, 2
 END = 0
 _U = np.uint64
@@ -63,15 +69,33 @@ def byte_grams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return g[use]
 
 
-def _counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    got = pa.chunked_array([pa.array(g) for g in grams]).value_counts() if grams else None
-    if got is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return got.field(0).to_numpy(), got.field(1).to_numpy()
+class _Tally:
+    """Counts of n-grams; those met with weight 0 only are kept too."""
+
+    def __init__(self):
+        self.raw, self.size, self.keys, self.n = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, grams: np.ndarray, learn: bool) -> None:
+        self.raw.append((grams, learn))
+        self.size += len(grams)
+        if self.size >= _MERGE:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = [self.keys], [self.n]
+        for learn in (True, False):
+            if part := [pa.array(g) for g, which in self.raw if which == learn and len(g)]:
+                got = pa.chunked_array(part).value_counts()
+                keys.append(got.field(0).to_numpy())
+                n.append(got.field(1).to_numpy() * learn)
+        self.raw, self.size = [], 0
+        self.keys, back = np.unique(np.concatenate(keys), return_inverse=True)
+        self.n = np.bincount(back, np.concatenate(n), minlength=len(self.keys)).astype(np.int64)
+        return self.keys, self.n
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(kind, chunk, key, n): byte n-grams of training texts (kind 0), and words with their counts in training texts (kind 1, for each chunk)."""
+    """(kind, chunk, key, n): byte n-grams (kind 0) and words (kind 1) of each chunk with their counts in its training texts."""
     schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
     def batch(kind, chunk, keys, n):
@@ -79,16 +103,16 @@ def _counts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, chunk, np.int64)), pa.array(np.ascontiguousarray(keys).view(np.int64)), pa.array(np.asarray(n, np.int64))], schema=schema)
 
     def flush(chunk, grams, words, train):
-        if grams:
-            k, n = _counted(grams)
-            yield batch(0, -1, k, n)
+        keys, n = grams.merge()
+        if len(keys):
+            yield batch(0, chunk, keys, n)
         if words:
             h, t = np.concatenate(words), np.concatenate(train)
             u, back = np.unique(h, return_inverse=True)
             yield batch(1, chunk, u, np.bincount(back, t, minlength=len(u)))
 
     def count(batches):
-        now, grams, words, train, size = None, [], [], [], 0
+        now, grams, words, train = None, _Tally(), [], []
         for b in batches:
             chunk = b.column(2).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), b.num_rows]
@@ -97,20 +121,17 @@ def _counts(docs: DataFrame) -> DataFrame:
                     continue
                 if chunk[lo] != now:
                     yield from flush(now, grams, words, train)
-                    now, grams, words, train, size = chunk[lo], [], [], [], 0
+                    now, grams, words, train = chunk[lo], _Tally(), [], []
                 part = b.slice(lo, hi - lo)
                 ids = part.column(0).to_pylist()
                 for i, j, data, bounds in blocks(part.column(1)):
                     learn = np.array([not held_out(d) for d in ids[i:j]])
                     h, first = word_hashes(data, bounds, SPACED, lower=True)
                     words.append(h)
-                    train.append(np.repeat(learn, np.diff(first)).astype(np.int64))
-                    if learn.all():
-                        g = byte_grams(data, bounds)
-                    else:
-                        g = byte_grams(data, bounds)[np.repeat(learn, np.diff(bounds) + 1)]
-                    grams.append(g)
-                    size += len(data)
+                    train.append(np.repeat(learn, np.diff(first)))
+                    g, of = byte_grams(data, bounds), np.repeat(learn, np.diff(bounds) + 1)
+                    grams.add(g[of], True)
+                    grams.add(g[~of], False)
         yield from flush(now, grams, words, train)
 
     kept = docs.repartition("chunk").sortWithinPartitions("chunk").select("doc_id", "text", "chunk")
@@ -148,110 +169,137 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == keys
 
 
-class ContextTree:
-    """levels[d][bit]: sorted node keys, estimate of bit 1, weight of the own estimate. ``value``: log10 probability of the deepest kept n-grams in a table by hash."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels: list = [[None] * 8 for _ in range(DEPTH + 1)]
-        for bit in range(8):
-            self._weigh(counts, bit)
-        deep = counts[DEPTH][0]
-        self.bits = max(10, int(len(deep) * 2).bit_length())
-        self._fill(deep)
-
-    def _weigh(self, counts: list[tuple[np.ndarray, np.ndarray]], bit: int) -> None:
-        below = None  # keys, log weighted probability, zeros, ones of the level under it
-        for d in range(DEPTH, -1, -1):
-            k, a, b = _nodes(*counts[d], bit)
-            own = _kt(a, b)
-            weighted, share = own, np.ones(len(k))
-            if below is not None and len(below[0]):
-                ck, cw, ca, cb = below
-                ctx = (ck >> _U(8)) & _U((1 << (8 * d)) - 1)
-                at, ok = _lookup(k, (ctx << _U(8)) | (ck & _U(255)))
-                m = len(k)
-                sw, sa, sb = (np.bincount(at[ok], x[ok], minlength=m) for x in (cw, ca, cb))
-                has = np.bincount(at[ok], minlength=m) > 0
-                split = sw + _kt(np.maximum(a - sa, 0), np.maximum(b - sb, 0))  # what went to contexts that aren't kept is one more child
-                top = np.maximum(own, split)
-                both = top + np.log(np.exp(own - top) + np.exp(split - top)) - math.log(2)
-                weighted = np.where(has, both, own)
-                share = np.where(has, np.exp(own - math.log(2) - both), 1.0)
-            self.levels[d][bit] = (k, ((b + 0.5) / (a + b + 1)).astype(np.float32), share.astype(np.float32))
-            below = (k, weighted, a, b)
-
-    def _slot(self, grams: np.ndarray) -> np.ndarray:
-        return ((grams * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
-
-    def _fill(self, grams: np.ndarray) -> None:
-        """One n-gram a slot; those that lose theirs are worked out like unknown ones."""
-        self.tag = np.full(1 << self.bits, ~_U(0), np.uint64)
-        self.value = np.zeros(1 << self.bits, np.float32)
-        s = self._slot(grams)
-        self.tag[s] = grams
-        won = self.tag[s] == grams
-        self.value[s[won]] = self.exact(grams[won])
-
-    def exact(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of each n-gram after its context."""
-        out = np.zeros(len(grams))
-        for lo in range(0, len(grams), 1 << 17):
-            g = grams[lo : lo + (1 << 17)]
-            byte = (g & _U(255)).astype(np.int64)
-            total = np.zeros(len(g))
-            for bit in range(8):
-                prefix = ((1 << bit) | (byte >> (8 - bit))).astype(np.uint64)
-                rest = np.ones(len(g))  # share not yet given to an estimate
-                p, last, open_ = np.zeros(len(g)), np.full(len(g), 0.5), np.ones(len(g), bool)
-                for d in range(DEPTH + 1):
-                    keys, one, share = self.levels[d][bit]
-                    ctx = (g >> _U(8)) & _U((1 << (8 * d)) - 1)
-                    at, ok = _lookup(keys, (ctx << _U(8)) | prefix)
-                    ok &= open_
-                    if len(keys):
-                        w = np.where(ok, share[at], 0)
-                        p += rest * w * one[at]
-                        rest = rest * (1 - w)
-                        last = np.where(ok, one[at], last)
-                    open_ = ok
-                p += rest * last
-                total += np.log10(np.where((byte >> (7 - bit)) & 1 == 1, p, 1 - p))
-            out[lo : lo + len(g)] = total
-        return out
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        s = self._slot(grams)
-        out = self.value[s].astype(np.float64)
-        miss = np.flatnonzero(self.tag[s] != grams)
-        if len(miss):
-            u, back = np.unique(grams[miss], return_inverse=True)
-            out[miss] = self.exact(u)[back]
-        return out
-
-
-def _levels(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(n-grams, counts) by depth, of the contexts kept."""
-    out: list = [None] * (DEPTH + 1)
-    level = grams
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            mask = (1 << (8 * (d + 1))) - 1
-            level = level.select(F.col("gram").bitwiseAND(F.lit(mask).cast("long")).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-            level = written(level, "level") if d == DEPTH - 1 else level
-        contexts = level.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("met"), F.count("*").alias("wide"))
-        steps = contexts.groupBy(F.floor(F.log2("met")).alias("step")).agg(F.sum("wide").alias("wide")).orderBy(F.desc("step")).collect()
-        least, total = 0, 0
-        for r in steps:  # contexts met 2**step times or more, while they fit
-            total += r.wide
-            if total > MOST_GRAMS:
-                least = 2 ** (r.step + 1)
-                break
-        kept = level
-        if least:
-            kept = level.withColumn("ctx", F.shiftright("gram", 8)).join(contexts.where(F.col("met") >= least).select("ctx"), "ctx", "left_semi").select("gram", "n")
-        rows = kept.toPandas().sort_values("gram")
-        out[d] = (rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
-    return out
+def _parents(k: np.ndarray, weighted: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> tuple:
+    """Nodes of a depth, from all their children: sorted keys, the product of the children's probabilities (its log), zeros and ones."""
+    u, back = np.unique((((k >> _U(8)) & _U((1 << (8 * depth)) - 1)) << _U(8)) | (k & _U(255)), return_inverse=True)
+    return u, *(np.bincount(back, x, minlength=len(u)) for x in (weighted, a, b))
+
+
+def _weighed(a: np.ndarray, b: np.ndarray, split: np.ndarray | None) -> tuple:
+    """log weighted probability of nodes, the estimate of bit 1, and the weight of the own estimate."""
+    own = _kt(a, b)
+    one = ((b + 0.5) / (a + b + 1)).astype(np.float32)
+    if split is None:
+        return own, one, np.ones(len(a), np.float32)
+    both = np.logaddexp(own, split) - math.log(2)
+    return both, one, np.exp(own - math.log(2) - both).astype(np.float32)
+
+
+def subtrees(grams: np.ndarray, n: np.ndarray, least: int = TOP) -> tuple[dict, list]:
+    """levels[depth][bit] = (sorted node keys, estimate of bit 1, weight of the own estimate) for depths DEPTH to least, and for each bit the nodes of depth least - 1 as _parents() gives them."""
+    met = n > 0
+    grams, n = grams[met], n[met]
+    levels: dict = {d: [None] * 8 for d in range(DEPTH, least - 1, -1)}
+    above = []
+    for bit in range(8):
+        k, a, b = _nodes(grams, n, bit)
+        split = None
+        for d in range(DEPTH, least - 1, -1):
+            weighted, one, share = _weighed(a, b, split)
+            levels[d][bit] = (k, one, share)
+            if d:
+                k, split, a, b = _parents(k, weighted, a, b, d - 1)
+        above.append((k, split, a, b))
+    return levels, above
+
+
+def crown(k: np.ndarray, split: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
+    """levels[depth][bit] for depths TOP - 1 to 0, from the nodes of depth TOP - 1 of all bits."""
+    levels: dict = {d: [None] * 8 for d in range(TOP)}
+    bits = np.floor(np.log2((k & _U(255)).astype(float)))
+    for bit in range(8):
+        pick = np.flatnonzero(bits == bit)
+        pick = pick[np.argsort(k[pick])]
+        now = (k[pick], split[pick], a[pick], b[pick])
+        for d in range(TOP - 1, -1, -1):
+            weighted, one, share = _weighed(now[2], now[3], now[1])
+            levels[d][bit] = (now[0], one, share)
+            if d:
+                now = _parents(now[0], weighted, now[2], now[3], d - 1)
+    return levels
+
+
+def log10_of(levels: dict, grams: np.ndarray) -> np.ndarray:
+    """log10 probability of the byte of each n-gram after its context, mixed over all depths of levels."""
+    byte = (grams & _U(255)).astype(np.int64)
+    total = np.zeros(len(grams))
+    for bit in range(8):
+        prefix = ((1 << bit) | (byte >> (8 - bit))).astype(np.uint64)
+        rest = np.ones(len(grams))  # share not yet given to an estimate
+        p, last, open_ = np.zeros(len(grams)), np.full(len(grams), 0.5), np.ones(len(grams), bool)
+        for d in range(DEPTH + 1):
+            keys, one, share = levels[d][bit]
+            ctx = (grams >> _U(8)) & _U((1 << (8 * d)) - 1)
+            at, ok = _lookup(keys, (ctx << _U(8)) | prefix)
+            ok &= open_
+            if len(keys):
+                w = np.where(ok, share[at], 0)
+                p += rest * w * one[at]
+                rest = rest * (1 - w)
+                last = np.where(ok, one[at], last)
+            open_ = ok
+        p += rest * last
+        total += np.log10(np.where((byte >> (7 - bit)) & 1 == 1, p, 1 - p))
+    return total
+
+
+def _slices(batches, least: int):
+    """(n-grams, counts) in runs of whole contexts of TOP bytes, of least rows or more, from rows sorted by them."""
+    held, size, full = [], 0, least
+    for batch in batches:
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size < full:
+            continue
+        g, n = (np.concatenate(x) for x in zip(*held))
+        ctx = (g >> _U(8)) & _U((1 << (8 * TOP)) - 1)
+        cut = int(np.searchsorted(ctx, ctx[-1]))
+        if cut:
+            yield g[:cut], n[:cut]
+        held, size = [(g[cut:], n[cut:])], len(g) - cut
+        full = max(least, 2 * size)
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _model(counts: DataFrame) -> DataFrame:
+    """(gram, p): log10 probability of every n-gram of any text, trained or not."""
+    spark = counts.sparkSession
+    ctx = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * TOP)) - 1).cast("long"))
+    # dealt by context before the sum: one shuffle serves both
+    grams = counts.where("kind = 0").select("key", "n", ctx.alias("ctx")).repartition("ctx").groupBy("ctx", F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
+    # one row for each slice keeps the slices together when they are read again
+    schema = pa.schema([("grams", pa.binary()), ("counts", pa.binary())])
+
+    def cut(batches):
+        for g, n in _slices(batches, _SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (g, n.astype(np.int64))], schema=schema)
+
+    slices = written(grams.sortWithinPartitions("ctx").select("gram", "n").mapInArrow(cut, "grams binary, counts binary"), "subtrees")
+
+    def rows(batch):
+        for g, n in zip(batch.column(0), batch.column(1)):
+            yield np.frombuffer(g.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
+
+    up_schema = pa.schema([("key", pa.int64()), ("split", pa.float64()), ("a", pa.float64()), ("b", pa.float64())])
+
+    def up(batches):
+        for batch in batches:
+            for g, n in rows(batch):
+                for k, *rest in subtrees(g, n)[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *map(pa.array, rest)], schema=up_schema)
+
+    top = slices.mapInArrow(up, "key long, split double, a double, b double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("split", "a", "b"))).toPandas()
+    shared = spark.sparkContext.broadcast(crown(top["key"].to_numpy(np.int64).view(np.uint64), *(top[c].to_numpy(float) for c in ("split", "a", "b"))))
+    out_schema = pa.schema([("gram", pa.int64()), ("p", pa.float64())])
+
+    def down(batches):
+        for batch in batches:
+            for g, n in rows(batch):
+                p = log10_of(shared.value | subtrees(g, n)[0], g)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(p)], schema=out_schema)
+
+    return written(slices.mapInArrow(down, "gram long, p double"), "model")
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
@@ -259,41 +307,45 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     chunks = max(1, -(-((total.b or 0) + 64 * total.n) // CHUNK_BYTES))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks).cast("long")))
     counts = _counts(docs)
-    grams = written(counts.where("kind = 0").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "grams")
-    tree = ContextTree(_levels(grams))
+    model = _model(counts)
     in_chunks = counts.where("kind = 1").select("chunk", "key", "n")
     words = written(in_chunks.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "words")
     s = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.select("doc_id").where(~_held(F.col("doc_id"))).count()
     n, v = (s.n or 0) + ends, s.v + (ends > 0)
-    shared = spark.sparkContext.broadcast(tree)
-    local = in_chunks.select("chunk", "key").join(words, "key").groupBy("chunk").agg(F.collect_list("key").alias("keys"), F.collect_list("c").alias("counts"))
+    # what each chunk needs: the log probabilities of its n-grams (kind 0) and the counts of its words (kind 1)
+    of_grams = counts.where("kind = 0").select("chunk", F.col("key").alias("gram")).join(model, "gram").select("chunk", F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("p").alias("v"))
+    of_words = in_chunks.select("chunk", "key").join(words, "key").select("chunk", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("v"))
+    local = of_grams.unionByName(of_words)
+
+    def table(known, kind):
+        pick = known["kind"].to_numpy() == kind
+        return pa.array(known["key"].to_numpy(np.int64)[pick].view(np.uint64)), known["v"].to_numpy(float)[pick]
+
+    def values(keys, v, wanted):
+        """v of the wanted keys, 0 for those that aren't there."""
+        at = pc.index_in(pa.array(wanted), value_set=keys).fill_null(len(v)).to_numpy()
+        return np.append(v, 0.0)[at]
 
     def score(key, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        model = shared.value
-        keys = np.concatenate([np.zeros(0, np.int64), *known["keys"]]).view(np.uint64)
-        c = np.concatenate([np.zeros(0, np.int64), *known["counts"]])
-        o = np.argsort(keys)
-        keys, c = keys[o], c[o]
+        of_gram, of_word = table(known, 0), table(known, 1)
         out = []
         col = pa.array(texts["text"], pa.string(), from_pandas=True)
         ids = texts["doc_id"].to_list()
         for i, j, data, bounds in blocks(col):
             h, first = word_hashes(data, bounds, SPACED, lower=True)
-            at, ok = _lookup(keys, h)
-            cw = np.where(ok, c[at], 0) if len(c) else np.zeros(len(h), np.int64)
+            cw = values(*of_word, h)
             row = np.repeat(np.arange(j - i), np.diff(first))
             base = np.bincount(row, np.log10(cw + 1.0), minlength=j - i)
             hit = np.bincount(row, cw > 0, minlength=j - i)
             tokens = np.diff(first) + 1
             lengths = np.diff(bounds) + 1
-            p = model.log10(byte_grams(data, bounds))
+            p = values(*of_gram, byte_grams(data, bounds))
             lm = np.bincount(np.repeat(np.arange(j - i), lengths), p, minlength=j - i)
             doc = [None if pd.isna(d) else int(d) for d in ids[i:j]]
             out.append(pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "held_out": [held_out(d) for d in doc], "n_tokens": tokens, "n_known": hit.astype(np.int64) + (ends > 0), "train_tokens": n, "base_score": base + math.log10(ends + 1.0) - tokens * math.log10(n + v + 1.0), "score": lm, "n_bytes": lengths}))

@@ -1,6 +1,7 @@
 """Each operator against a plain version on small rows: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import collections
+import functools
 import math
 import re
 import zlib
@@ -166,16 +167,83 @@ def test_language(docs):
         assert r.score < 0
 
 
+def plain_tree(grams):
+    """log10 probability by recursion over dicts: (context, bits so far) -> [zeros, ones] for contexts of every depth."""
+    met = collections.defaultdict(lambda: [0, 0])
+    kids = collections.defaultdict(set)
+    for g, n in grams.items():
+        for bit in range(8):
+            pre, one = (1 << bit) | ((g & 255) >> (8 - bit)), (g >> (7 - bit)) & 1
+            for d in range(language.DEPTH + 1):
+                ctx = ((g >> 8) & ((1 << 8 * d) - 1), d, pre)
+                met[ctx][one] += n
+                if d:
+                    kids[((g >> 8) & ((1 << 8 * (d - 1)) - 1), d - 1, pre)].add(ctx)
+
+    def kt(node):
+        a, b = met[node]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weighted(node):
+        if node[1] == language.DEPTH:
+            return kt(node)
+        return float(np.logaddexp(kt(node), sum(map(weighted, kids[node])))) - math.log(2)
+
+    def value(g):
+        total = 0.0
+        for bit in range(8):
+            pre, p, rest, last = (1 << bit) | ((g & 255) >> (8 - bit)), 0.0, 1.0, 0.5
+            for d in range(language.DEPTH + 1):
+                node = ((g >> 8) & ((1 << 8 * d) - 1), d, pre)
+                if node not in met:
+                    break
+                last = (met[node][1] + 0.5) / (sum(met[node]) + 1)
+                share = 1.0 if d == language.DEPTH else math.exp(kt(node) - math.log(2) - weighted(node))
+                p, rest = p + rest * share * last, rest * (1 - share)
+            p += rest * last
+            total += math.log10(p if (g >> (7 - bit)) & 1 else 1 - p)
+        return total
+
+    return value
+
+
+def text_grams(t):
+    b = bytes(language.DEPTH) + (t or "").translate(LOW).encode() + b"\0"
+    return [int.from_bytes(b[k : k + language.DEPTH + 1], "big") for k in range(len(b) - language.DEPTH)]
+
+
+@pytest.mark.parametrize("slice_size", [1 << 18, 5])
+def test_language_scores_are_those_of_a_plain_tree(docs, none, monkeypatch, slice_size):
+    monkeypatch.setattr(language, "_SLICE", slice_size)
+    monkeypatch.setattr(language, "CHUNK_BYTES", 4000)
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(4, BASE)]
+    met = collections.Counter()
+    for k, t in rows:
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            met.update(text_grams(t))
+    value = plain_tree(met)
+    got = language.scored(docs).collect()
+    assert len(got) == len(rows) and any(r.held_out for r in got)
+    for r in got:
+        assert math.isclose(r.score, sum(map(value, text_grams(TEXTS[r.doc_id]))), rel_tol=1e-5)
+    assert language.scored(none).count() == 0
+
+
+def test_language_without_training_texts(docs):
+    out = language.scored(docs.where("pmod(crc32(encode(cast(doc_id as string), 'UTF-8')), 7) = 2")).collect()
+    assert out and all(r.train_tokens == 0 and r.n_known == 0 for r in out)
+    for r in out:
+        assert math.isclose(r.score, -8 * math.log10(2) * len(text_grams(TEXTS[r.doc_id])), rel_tol=1e-6)
+
+
 def test_context_tree_sums_to_one():
     data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
     g, n = np.unique(language.byte_grams(data, np.array([0, len(data)])), return_counts=True)
-    levels = []
-    for d in range(language.DEPTH + 1):
-        k, at = np.unique(g & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        levels.append((k, np.bincount(at, n).astype(np.int64)))
-    tree = language.ContextTree(levels)
+    low, top = language.subtrees(g, n)
+    levels = low | language.crown(*(np.concatenate(x) for x in zip(*top)))
     for ctx in (0, int(g[5]) >> 8, 0x7A7A7A7A7A):
-        p = 10 ** tree.log10(np.uint64(ctx << 8) | np.arange(256, dtype=np.uint64))
+        p = 10 ** language.log10_of(levels, np.uint64(ctx << 8) | np.arange(256, dtype=np.uint64))
         assert math.isclose(p.sum(), 1, rel_tol=1e-6)
 
 
