@@ -30,13 +30,12 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import _LOWER, SPACED, blocks, word_hashes, written
+from memlake.llm.common import _LOWER, SPACED, arrow_batch, blocks, word_hashes, written
 
 DEPTH = 5
 TOP = 3
@@ -291,15 +290,15 @@ def _model(counts: DataFrame) -> DataFrame:
 
     top = slices.mapInArrow(up, "key long, split double, a double, b double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("split", "a", "b"))).toPandas()
     shared = spark.sparkContext.broadcast(crown(top["key"].to_numpy(np.int64).view(np.uint64), *(top[c].to_numpy(float) for c in ("split", "a", "b"))))
-    out_schema = pa.schema([("gram", pa.int64()), ("p", pa.float64())])
+    out_schema = pa.schema([("gram", pa.int64()), ("p", pa.float32())])
 
     def down(batches):
         for batch in batches:
             for g, n in rows(batch):
                 p = log10_of(shared.value | subtrees(g, n)[0], g)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(p)], schema=out_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(p, pa.float32())], schema=out_schema)
 
-    return written(slices.mapInArrow(down, "gram long, p double"), "model")
+    return written(slices.mapInArrow(down, "gram long, p float"), "model")
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
@@ -319,39 +318,72 @@ def scored(docs: DataFrame) -> DataFrame:
     ends = docs.select("doc_id").where(~_held(F.col("doc_id"))).count()
     n, v = (s.n or 0) + ends, s.v + (ends > 0)
     # what each chunk needs: the log probabilities of its n-grams (kind 0) and the counts of its words (kind 1)
-    of_grams = counts.where("kind = 0").select("chunk", F.col("key").alias("gram")).join(model, "gram").select("chunk", F.lit(0).alias("kind"), F.col("gram").alias("key"), F.col("p").alias("v"))
-    of_words = in_chunks.select("chunk", "key").join(words, "key").select("chunk", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("v"))
+    of_grams = _packed(counts.where("kind = 0").select("chunk", F.col("key").alias("gram")).join(model, "gram").select("chunk", "gram", "p"), 0, "float32")
+    of_words = _packed(in_chunks.select("chunk", "key").join(words, "key").select("chunk", "key", "c"), 1, "int64")
     local = of_grams.unionByName(of_words)
+    schema = pa.schema([(f.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.split()[1]]) for f in _OUT.split(", ")])
 
-    def table(known, kind):
-        pick = known["kind"].to_numpy() == kind
-        return pa.array(known["key"].to_numpy(np.int64)[pick].view(np.uint64)), known["v"].to_numpy(float)[pick]
+    def values(known, wanted):
+        """What is known of the wanted keys, 0 for those that aren't there."""
+        keys, v = known
+        at = pc.index_in(pa.array(wanted), value_set=pa.array(keys)).fill_null(len(v)).to_numpy()
+        return np.append(v, 0)[at].astype(float)
 
-    def values(keys, v, wanted):
-        """v of the wanted keys, 0 for those that aren't there."""
-        at = pc.index_in(pa.array(wanted), value_set=keys).fill_null(len(v)).to_numpy()
-        return np.append(v, 0.0)[at]
-
-    def score(key, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        of_gram, of_word = table(known, 0), table(known, 1)
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        of_gram, of_word = _unpacked(known, 0, "float32"), _unpacked(known, 1, "int64")
         out = []
-        col = pa.array(texts["text"], pa.string(), from_pandas=True)
-        ids = texts["doc_id"].to_list()
-        for i, j, data, bounds in blocks(col):
-            h, first = word_hashes(data, bounds, SPACED, lower=True)
-            cw = values(*of_word, h)
-            row = np.repeat(np.arange(j - i), np.diff(first))
-            base = np.bincount(row, np.log10(cw + 1.0), minlength=j - i)
-            hit = np.bincount(row, cw > 0, minlength=j - i)
-            tokens = np.diff(first) + 1
-            lengths = np.diff(bounds) + 1
-            p = values(*of_gram, byte_grams(data, bounds))
-            lm = np.bincount(np.repeat(np.arange(j - i), lengths), p, minlength=j - i)
-            doc = [None if pd.isna(d) else int(d) for d in ids[i:j]]
-            out.append(pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "held_out": [held_out(d) for d in doc], "n_tokens": tokens, "n_known": hit.astype(np.int64) + (ends > 0), "train_tokens": n, "base_score": base + math.log10(ends + 1.0) - tokens * math.log10(n + v + 1.0), "score": lm, "n_bytes": lengths}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in _OUT.split(", ")])
-
-    return docs.groupBy("chunk").cogroup(local.groupBy("chunk")).applyInPandas(score, _OUT)
+        for part in texts.to_batches():
+            ids = part.column("doc_id").to_pylist()
+            for i, j, data, bounds in blocks(part.column("text")):
+                h, first = word_hashes(data, bounds, SPACED, lower=True)
+                cw = values(of_word, h)
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                base = np.bincount(row, np.log10(cw + 1.0), minlength=j - i)
+                hit = np.bincount(row, cw > 0, minlength=j - i)
+                tokens = np.diff(first) + 1
+                lengths = np.diff(bounds) + 1
+                p = values(of_gram, byte_grams(data, bounds))
+                lm = np.bincount(np.repeat(np.arange(j - i), lengths), p, minlength=j - i)
+                held = [held_out(d) for d in ids[i:j]]
+                total = np.full(j - i, n)
+                out.append(arrow_batch(schema, ids[i:j], held, tokens, hit.astype(np.int64) + (ends > 0), total, base + math.log10(ends + 1.0) - tokens * math.log10(n + v + 1.0), lm, lengths))
+        return pa.Table.from_batches(out, schema)
+
+    return docs.groupBy("chunk").cogroup(local.groupBy("chunk")).applyInArrow(score, _OUT)
+
+
+def _packed(rows: DataFrame, kind: int, number: str) -> DataFrame:
+    """(chunk, kind, keys, numbers): rows (chunk, key, number) with those of one chunk together, as far as a task has met them."""
+    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])
+
+    def flush(held):
+        chunk, keys, v = (np.concatenate(x) for x in zip(*held))
+        o = np.argsort(chunk, kind="stable")
+        chunk, keys, v = chunk[o], keys[o], v[o].astype(number)
+        at = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+        ends = np.append(at[1:], len(chunk))
+        for lo in range(0, len(at), 4096):
+            cut = list(zip(at[lo : lo + 4096], ends[lo : lo + 4096]))
+            yield arrow_batch(schema, chunk[at[lo : lo + 4096]], np.full(len(cut), kind, np.int32), [keys[i:j].tobytes() for i, j in cut], [v[i:j].tobytes() for i, j in cut])
+
+    def pack(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(tuple(b.column(k).to_numpy() for k in range(3)))
+            size += b.num_rows
+            if size >= _MERGE // 4:
+                yield from flush(held)
+                held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    return rows.mapInArrow(pack, "chunk long, kind int, keys binary, numbers binary")
+
+
+def _unpacked(known: pa.Table, kind: int, number: str) -> tuple[np.ndarray, np.ndarray]:
+    part = known.filter(pc.equal(known.column("kind"), kind))
+    read = lambda name, t: np.frombuffer(b"".join(part.column(name).to_pylist()), t)
+    return read("keys", np.uint64), read("numbers", number)
 
 
 def _held(doc_id):
