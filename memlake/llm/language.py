@@ -40,7 +40,7 @@ from memlake.llm.common import _LOWER, SPACED, arrow_batch, blocks, word_hashes,
 DEPTH = 5
 TOP = 3
 CHUNK_BYTES = 16 << 20
-_MERGE = 1 << 22
+_MERGE = 1 << 20
 _SLICE = 1 << 18
 FOLDS, HELD_OUT = 7, 2
 END = 0
@@ -69,7 +69,7 @@ def byte_grams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class _Tally:
-    """Counts of n-grams; those met with weight 0 only are kept too."""
+    """Counts of n-grams or words; those met with weight 0 only are kept too."""
 
     def __init__(self):
         self.raw, self.size, self.keys, self.n = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -101,17 +101,15 @@ def _counts(docs: DataFrame) -> DataFrame:
         size = len(keys)
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, chunk, np.int64)), pa.array(np.ascontiguousarray(keys).view(np.int64)), pa.array(np.asarray(n, np.int64))], schema=schema)
 
-    def flush(chunk, grams, words, train):
-        keys, n = grams.merge()
-        if len(keys):
-            yield batch(0, chunk, keys, n)
-        if words:
-            h, t = np.concatenate(words), np.concatenate(train)
-            u, back = np.unique(h, return_inverse=True)
-            yield batch(1, chunk, u, np.bincount(back, t, minlength=len(u)))
+    def flush(chunk, *tallies):
+        for kind, tally in enumerate(tallies):
+            keys, n = tally.merge()
+            if len(keys):
+                yield batch(kind, chunk, keys, n)
+        pa.default_memory_pool().release_unused()
 
     def count(batches):
-        now, grams, words, train = None, _Tally(), [], []
+        now, grams, words = None, _Tally(), _Tally()
         for b in batches:
             chunk = b.column(2).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), b.num_rows]
@@ -119,19 +117,18 @@ def _counts(docs: DataFrame) -> DataFrame:
                 if lo == hi:
                     continue
                 if chunk[lo] != now:
-                    yield from flush(now, grams, words, train)
-                    now, grams, words, train = chunk[lo], _Tally(), [], []
+                    yield from flush(now, grams, words)
+                    now, grams, words = chunk[lo], _Tally(), _Tally()
                 part = b.slice(lo, hi - lo)
                 ids = part.column(0).to_pylist()
                 for i, j, data, bounds in blocks(part.column(1)):
                     learn = np.array([not held_out(d) for d in ids[i:j]])
                     h, first = word_hashes(data, bounds, SPACED, lower=True)
-                    words.append(h)
-                    train.append(np.repeat(learn, np.diff(first)))
-                    g, of = byte_grams(data, bounds), np.repeat(learn, np.diff(bounds) + 1)
-                    grams.add(g[of], True)
-                    grams.add(g[~of], False)
-        yield from flush(now, grams, words, train)
+                    for tally, keys, of in ((words, h, np.diff(first)), (grams, byte_grams(data, bounds), np.diff(bounds) + 1)):
+                        of = np.repeat(learn, of)
+                        tally.add(keys[of], True)
+                        tally.add(keys[~of], False)
+        yield from flush(now, grams, words)
 
     kept = docs.repartition("chunk").sortWithinPartitions("chunk").select("doc_id", "text", "chunk")
     return written(kept.mapInArrow(count, "kind int, chunk long, key long, n long"), "counts")
@@ -347,6 +344,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 held = [held_out(d) for d in ids[i:j]]
                 total = np.full(j - i, n)
                 out.append(arrow_batch(schema, ids[i:j], held, tokens, hit.astype(np.int64) + (ends > 0), total, base + math.log10(ends + 1.0) - tokens * math.log10(n + v + 1.0), lm, lengths))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema)
 
     return docs.groupBy("chunk").cogroup(local.groupBy("chunk")).applyInArrow(score, _OUT)
@@ -371,7 +369,7 @@ def _packed(rows: DataFrame, kind: int, number: str) -> DataFrame:
         for b in batches:
             held.append(tuple(b.column(k).to_numpy() for k in range(3)))
             size += b.num_rows
-            if size >= _MERGE // 4:
+            if size >= _MERGE // 2:
                 yield from flush(held)
                 held, size = [], 0
         if size:
