@@ -56,32 +56,52 @@ def _search(t: Tables, seeds: str):
     return q, t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
 
 
-@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id)::INT AS rank
-FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND q.vec_id <> e.vec_id QUALIFY rank <= 10""")
-def vector_topk(t: Tables) -> DataFrame:
-    q, c = _search(t, "vec_id < 20")
+def _topk(t: Tables, seeds: str) -> DataFrame:
+    q, c = _search(t, seeds)
     s = vector.similarities(q, c).where("query_id <> id")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e
-WHERE q.vec_id < 20 AND q.label = e.label AND {_SIM} >= 0.25
-QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) <= 10""")
-def vector_threshold_search(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("query_vec"))
+def _threshold(t: Tables, seeds: str) -> DataFrame:
+    q = t.embeddings.where(seeds).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("query_vec"))
     c = t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
     s = c.join(F.broadcast(q), F.col("label") == F.col("ql")).withColumn("similarity", cosine(F.col("query_vec"), F.col("vec"))).where("similarity >= 0.25")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return s.withColumn("r", F.row_number().over(w)).where("r <= 10").select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+def _nearest(t: Tables, seeds: str) -> DataFrame:
+    q, c = _search(t, seeds)
+    s = vector.similarities(q, c).where("query_id <> id and similarity > 0.2")
+    return s.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("n"))).alias("m")).select("query_id", (-F.col("m.n")).alias("id"), F.round("m.similarity", 6).alias("similarity"))
+
+
+def _prefiltered(t: Tables, seeds: str) -> DataFrame:
+    q, c = _search(t, seeds)
+    s = vector.similarities(q, c.where("label < 6")).withColumn("confidence", F.when(F.col("label") % 4 != 0, (F.col("label") % 4) * 0.25))
+    s = s.withColumn("final", (F.col("similarity") + 1) / 2 * F.coalesce("confidence", F.lit(scoring.UNKNOWN_FACTOR)))
+    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "id"))).where("rank <= 16")
+    return s.select("query_id", "id", F.round("final", 6).alias("final"), "rank", F.when(F.col("rank") <= 8, "ranked").otherwise("cap_limit").alias("state"), F.coalesce(F.col("confidence") < 0.4, F.lit(True)).alias("low_confidence"))
+
+
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id)::INT AS rank
+FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND q.vec_id <> e.vec_id QUALIFY rank <= 10""")
+def vector_topk(t: Tables) -> DataFrame:
+    return _topk(t, "vec_id < 20")
+
+
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e
+WHERE q.vec_id < 20 AND q.label = e.label AND {_SIM} >= 0.25
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) <= 10""")
+def vector_threshold_search(t: Tables) -> DataFrame:
+    return _threshold(t, "vec_id < 20")
+
+
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e
 WHERE q.vec_id < 20 AND q.vec_id <> e.vec_id AND {_SIM} > 0.2 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) = 1""")
 def nearest_duplicate_excluding_self(t: Tables) -> DataFrame:
-    q, c = _search(t, "vec_id < 20")
-    s = vector.similarities(q, c).where("query_id <> id and similarity > 0.2")
-    return s.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("n"))).alias("m")).select("query_id", (-F.col("m.n")).alias("id"), F.round("m.similarity", 6).alias("similarity"))
+    return _nearest(t, "vec_id < 20")
 
 
 @query(f"""SELECT e.vec_id AS id, q.vec_id AS other, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e WHERE e.vec_id < q.vec_id AND e.label = q.label AND {_SIM} >= 0.35""")
@@ -98,11 +118,7 @@ f AS (SELECT *, relevance * coalesce(confidence, 0.4)::DOUBLE AS final FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id)::INT AS rank FROM f)
 SELECT query_id, id, round(final, 6) AS final, rank, CASE WHEN rank <= 8 THEN 'ranked' ELSE 'cap_limit' END AS state, coalesce(confidence < 0.4, true) AS low_confidence FROM r WHERE rank <= 16""")
 def prefilter_then_rank(t: Tables) -> DataFrame:
-    q, c = _search(t, "vec_id < 10")
-    s = vector.similarities(q, c.where("label < 6")).withColumn("confidence", F.when(F.col("label") % 4 != 0, (F.col("label") % 4) * 0.25))
-    s = s.withColumn("final", (F.col("similarity") + 1) / 2 * F.coalesce("confidence", F.lit(scoring.UNKNOWN_FACTOR)))
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "id"))).where("rank <= 16")
-    return s.select("query_id", "id", F.round("final", 6).alias("final"), "rank", F.when(F.col("rank") <= 8, "ranked").otherwise("cap_limit").alias("state"), F.coalesce(F.col("confidence") < 0.4, F.lit(True)).alias("low_confidence"))
+    return _prefiltered(t, "vec_id < 10")
 
 
 @query(f"""WITH s AS (SELECT e.vec_id AS id, {_SIM} AS sim, e.vec_id % 2 AS source_rank FROM embeddings q, embeddings e WHERE q.vec_id = 0 AND e.vec_id <> 0)
@@ -113,6 +129,39 @@ def hybrid_merge(t: Tables) -> DataFrame:
     return recall.hybrid(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 12).select("id", "source_rank", F.round("similarity", 6).alias("similarity"))
 
 
+# The SQL of the five searches above asks for a few rows only; these ask for the stated query set, every row whose id is divisible by 50.
+_EVERY_50 = "vec_id % 50 = 0"
+
+
+@query(_SQL["vector_topk"].replace("q.vec_id < 20", f"q.{_EVERY_50}"))
+def vector_topk_every_50(t: Tables) -> DataFrame:
+    return _topk(t, _EVERY_50)
+
+
+@query(_SQL["vector_threshold_search"].replace("q.vec_id < 20", f"q.{_EVERY_50}"))
+def vector_threshold_search_every_50(t: Tables) -> DataFrame:
+    return _threshold(t, _EVERY_50)
+
+
+@query(_SQL["nearest_duplicate_excluding_self"].replace("q.vec_id < 20", f"q.{_EVERY_50}"))
+def nearest_duplicate_excluding_self_every_50(t: Tables) -> DataFrame:
+    return _nearest(t, _EVERY_50)
+
+
+@query(_SQL["prefilter_then_rank"].replace("q.vec_id < 10", f"q.{_EVERY_50}"))
+def prefilter_then_rank_every_50(t: Tables) -> DataFrame:
+    return _prefiltered(t, _EVERY_50)
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_SIM} AS sim, e.vec_id % 2 AS source_rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+SELECT query_id, id, source_rank::INT AS source_rank, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, source_rank, id) <= 12""")
+def hybrid_merge_every_50(t: Tables) -> DataFrame:
+    q, c = _search(t, _EVERY_50)
+    s = vector.similarities(q, c).where("query_id <> id").withColumn("source_rank", F.expr("cast(id % 2 as int)"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source_rank", "id")
+    return s.withColumn("r", F.row_number().over(w)).where("r <= 12").select("query_id", "id", "source_rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def greedy_semantic_dedup(t: Tables) -> DataFrame:
     """Requests of 40 vectors each, as capped recall makes them."""
@@ -348,6 +397,22 @@ def dfs_traverse(t: Tables) -> DataFrame:
     return graph.dfs_order(e.where("from_id < 25").select(F.col("from_id").alias("id")).distinct(), e, 2, 5)
 
 
+def _every_50th_vertex(e: DataFrame) -> DataFrame:
+    return e.select(F.col("from_id").alias("id")).union(e.select("to_id")).where("id % 50 = 0").distinct()
+
+
+@query(_SQL["reachability_depth2"].replace("WHERE a < 25", "WHERE a % 50 = 0"))
+def reachability_depth2_every_50(t: Tables) -> DataFrame:
+    e = _edges(t)
+    return graph.reachable(_every_50th_vertex(e), e, 2)
+
+
+@query()
+def dfs_traverse_every_50(t: Tables) -> DataFrame:
+    e = _edges(t)
+    return graph.dfs_order(_every_50th_vertex(e), e, 2, 5)
+
+
 @query("""SELECT l_suppkey AS from_id, l_partkey AS to_id, l_returnflag AS relation_type, count(*) AS mentions, round(least(0.5 + 0.1 * (count(*) - 1), 1.0), 6)::DOUBLE AS weight FROM lineitem GROUP BY ALL""")
 def edge_upsert_weights(t: Tables) -> DataFrame:
     g = graph.store_edges(t.lineitem.select(F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relation_type")))
