@@ -483,6 +483,13 @@ def substring_containment_join(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text").join(F.broadcast(parts), F.col("text").contains(F.col("part"))).select("doc_id", "item_id")
 
 
+@query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)""")
+def substring_containment_whole(t: Tables) -> DataFrame:
+    """Whole items as needles; the SQL of the query above looks for their first 40 characters only."""
+    items = t.benchmark.select("item_id", F.col("text").alias("needle"))
+    return t.documents.select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("needle"))).select("doc_id", "item_id")
+
+
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS rn, sha256(text) AS h FROM documents)
 SELECT a.doc_id, coalesce(b.doc_id, c.doc_id) AS existing, CASE WHEN b.doc_id IS NOT NULL THEN CASE WHEN b.h = a.h THEN 'unchanged' ELSE 'update' END WHEN c.doc_id IS NOT NULL THEN 'hash' ELSE 'new' END AS action
 FROM (SELECT * FROM o WHERE doc_id % 2 = 1) a LEFT JOIN (SELECT source, n_chars, min(doc_id) AS doc_id, arg_min(h, doc_id) AS h FROM o WHERE doc_id % 2 = 0 GROUP BY 1, 2) b ON a.source = b.source AND a.n_chars = b.n_chars LEFT JOIN (SELECT h, min(doc_id) AS doc_id FROM o WHERE doc_id % 2 = 0 GROUP BY 1) c ON a.h = c.h""")

@@ -116,3 +116,13 @@ def test_searches_answer_every_50th_row(spark, tmp_path):
     seeds = {0, 500, 1050}
     assert {x.seed for x in got["reachability_depth2_every_50"]} == seeds == {x.seed for x in got["dfs_traverse_every_50"]}
     assert {x.id for x in got["reachability_depth2_every_50"] if x.seed == 1050} == {1050, 2, 500} | {1000 + k for k in range(1, 60) if k % 3 == 2}
+
+
+def test_containment_looks_for_whole_items(spark, tmp_path):
+    from memlake.plans import catalog
+
+    item = "".join(f"word{k} " for k in range(12))
+    docs = [(1, f"before {item}after"), (2, item[:40] + " goes on in another way"), (3, item[41:]), (4, None), (5, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, item), (8, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in catalog.queries()["substring_containment_whole"](spark, str(tmp_path)).collect()] == [(1, 7)]
