@@ -15,7 +15,11 @@ are made: in each round every list probes its nodes against one hub, nodes that
 links have already joined drop out, and only pairs between different components
 that remain at the end are probed one by one. No link between components is lost.
 Before a probe, parity bits of both sets bound their difference from below; pairs
-that they rule out are never made.
+that they rule out are never made. Once the components are known, all links are
+counted: all links lie inside components, whose sets are dealt into blocks by hash;
+a cell of two blocks has the overlaps of all its pairs as one matrix product. Pairs
+are counted in the cell and never become rows; this work grows with the square of a
+component's different sets, as the links do.
 
 Defined cases: null or empty text: no set, its own component. Fewer words than
 n: the whole sequence is the only n-gram. Null ids: linked like all others, but
@@ -36,6 +40,10 @@ from memlake.llm.common import SPACED, arrow_batch, blocks, shingle_hashes, word
 
 BITS = 22
 _BLOCK = 1 << 16
+#: Of a block of a component; columns of one matrix product.
+_CELL_SETS = 192
+_CELL_BYTES = 4 << 20
+_WIDE = 4096
 _MASK = np.uint64((1 << BITS) - 1)
 
 
@@ -186,6 +194,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _cell_counts(grams: list[np.ndarray], owner: np.ndarray, one: np.ndarray, two: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set of a cell, its links: pairs of unlike sets of one owner (component), of ``one`` and ``two`` each (a pair inside both counts once)."""
+    size = np.array([len(g) for g in grams], np.int64)
+    gram, at = np.unique(np.concatenate(grams), return_inverse=True)
+    row = np.repeat(np.arange(len(grams)), size)
+    often = np.bincount(at, minlength=len(gram)) > 1  # a gram of one set is in no overlap
+    place = np.cumsum(often) - 1
+    row, at = row[often[at]], place[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(grams), len(grams)), np.int64)
+    bounds = np.searchsorted(at, np.arange(0, int(often.sum()) + _WIDE, _WIDE))
+    for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
+        x = np.zeros((len(grams), _WIDE), np.float32)
+        x[row[i:j], at[i:j] - k * _WIDE] = 1
+        both += np.rint(x @ x.T).astype(np.int64)
+    ok = (num + den) * both >= num * (size[:, None] + size[None, :])
+    ok &= (owner[:, None] == owner[None, :]) & ((one[:, None] & two[None, :]) | (two[:, None] & one[None, :]))
+    np.fill_diagonal(ok, False)
+    return ok.sum(axis=1)
+
+
+def link_counts(labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links): the links of every node of a component; ``labels`` (node, label), ``sets`` (node, grams)."""
+    mine = written(labels.join(sets.select("node", F.octet_length("grams").alias("bytes")), "node"), "linked")
+    blocks_of = mine.groupBy("label").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes")).where("m > 1")
+    blocks_of = blocks_of.select("label", F.expr(f"cast(greatest(ceil(m / {_CELL_SETS}), ceil(bytes / {_CELL_BYTES})) as int)").alias("k"))
+    dealt = mine.select("node", "label").join(blocks_of, "label").withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)"))
+    # a node goes to one cell for each block of its component; components of one block share cells
+    cells = dealt.select("node", "label", "block", F.explode(F.expr("sequence(0, k - 1)")).alias("with"), "k")
+    cells = cells.select("node", "label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.expr("block <= with").alias("one"), F.expr("with <= block").alias("two"))
+    rows = cells.join(sets, "node").select(F.col("label").alias("c"), "i", "j", "label", "node", "one", "two", "grams")
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        def closed():
+            owner, node, one, two = (np.array([r[k] for r in held]) for k in (1, 2, 3, 4))
+            n = _cell_counts([r[5] for r in held], owner, one, two, num, den)
+            return arrow_batch(schema, node[n > 0], n[n > 0])
+
+        held, key, n_bytes = [], None, 0
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(7)]
+            grams = b.column(7)
+            for r in range(b.num_rows):
+                now = (cols[0][r], cols[1][r], cols[2][r])
+                # whole cells only; small ones are counted together
+                if held and now != key and (now[1:] != (0, 0) or key[1:] != (0, 0) or len(held) >= _CELL_SETS // 4 or n_bytes >= _CELL_BYTES // 4):
+                    yield closed()
+                    held, n_bytes = [], 0
+                key = now
+                held.append((now, cols[3][r], cols[4][r], cols[5][r], cols[6][r], np.frombuffer(grams[r].as_buffer(), np.uint64).copy()))
+                n_bytes += 8 * len(held[-1][5])
+        if held:
+            yield closed()
+
+    counted = rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(count, "node long, n long")
+    return counted.groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
 def _fits(num: int, den: int):
     """Sizes that can reach the similarity at all, and parity bits that differ in no more places than the sets may."""
     differ = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(8))
@@ -193,7 +261,7 @@ def _fits(num: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rounds: int = 12) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links found at the document's set; links between sets already in one component need not be probed)."""
+    """doc_id, n_shingles, component_id, n_links (other different sets that reach the similarity with the document's)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = written(_prefixes(docs, n, num, den, _sketch(docs, n)), "prefixes")
@@ -246,7 +314,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         now = written(live.drop("label").join(labels.withColumnRenamed("label", "l"), "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l"), "lists")
 
     labels = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = link_counts(labels, sets, num, den)
     of = reps.select("h1", "h2", "node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(degree, "node", "left")
     least = of.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of = of.join(least, "label").select("h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -50,6 +50,32 @@ def test_jaccard(docs, none):
     assert jaccard.deduplicated(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("cell", [192, 5])
+def test_jaccard_counts_every_link(spark, none, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "_CELL_SETS", cell)
+    monkeypatch.setattr(jaccard, "_WIDE", 64 if cell == 5 else 4096)
+    rng = np.random.default_rng(4)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(120)]
+        for _ in range(30 if group == 0 else 3):
+            w = list(base)
+            for k in rng.integers(0, 120, int(rng.integers(0, 4))):
+                w[k] = f"x{rng.integers(1000)}"
+            rows.append(" ".join(w))
+    rows += [rows[0], rows[0], None, "", "one two", "one two", "lone text of its own"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = []
+    for t in rows:
+        w = words(SPACED, t)
+        sets.append(frozenset([tuple(w)]) if 0 < len(w) < 3 else frozenset(zip(w, w[1:], w[2:])))
+    different = set(sets) - {frozenset()}
+    want = [sum(b != a and 100 * len(a & b) >= 90 * len(a | b) for b in different) if a else 0 for a in sets]
+    assert max(want) > 5
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == dict(enumerate(want))
+    assert jaccard.jaccard_components(none).count() == 0
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, BASE[:200]), (2, "one TWO"), (3, None), (4, "not there at all in any of these texts you see")], "item_id long, text string")
     out = decontamination.contamination(docs, bench).collect()
