@@ -26,16 +26,22 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import arrow_batch
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: What scripts, drawings and the like hold is no text; one that closes itself holds nothing, and a hyphen makes another name.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select)(?![^\s/>])(?!(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=[\s\"']))?/\s*>)[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OUTSIDE = frozenset("head title nav footer aside form button menu dialog".split())
+#: Costs of the text right below an element; each block element on the way down takes _STEP off, an article _ARTICLE.
+_OUTSIDE = {"head": 1000, "title": 1000} | dict.fromkeys("nav footer aside button menu dialog".split(), 120) | {"form": 50}
+_NOISY, _NESTED, _HIDES, _STEP, _ARTICLE = 70, 85, 120, 15, 40
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Words of class, id and role names that mark what isn't the article.
 _NOISE = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: A name that begins or ends so tells of a page's state: no-sidebar, comments-open.
+_STATE_FIRST = frozenset("no not has have with without hide".split())
+_STATE_LAST = frozenset("open closed enabled disabled on off".split())
 _MAIN = frozenset("article content entry main post story body text".split())
 
 
@@ -46,10 +52,22 @@ class Block:
         self.text, self.links, self.noise, self.main, self.tag, self.parent, self.grand = text, links, noise, main, tag, parent, grand
 
 
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """Words of class, id and role names, and those of them that may mark noise."""
+    words, telling = set(), set()
+    for a in _ATTRIBUTE.finditer(attributes):
+        for name in (a.group(1) or a.group(2) or a.group(3) or "").lower().split():
+            w = [x for x in re.split(r"[^a-z]+", name) if x]
+            words.update(w)
+            if w and w[0] not in _STATE_FIRST and w[-1] not in _STATE_LAST:
+                telling.update(w)
+    return words, telling
+
+
 def page_blocks(page: str) -> list[Block]:
     """All text blocks of a page, in order."""
-    # an element: name, id, noise above or at it, article above or at it
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # an element: name, id, cost of the noise above and at it, article above or at it
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -113,17 +131,22 @@ def page_blocks(page: str) -> list[Block]:
         n += 1
         above = stack[-1]
         attributes = m.group(4)
-        noise, main = above[2], above[3]
-        if name in _OUTSIDE or (name == "header" and not main):
-            noise = True
-        if name in ("article", "main"):
-            main = True
+        noise, main = above[2] if inline else max(0, above[2] - _STEP), above[3]
+        new = _OUTSIDE.get(name, _NOISY if name == "header" and not main else 0)
         if attributes and ("=" in attributes or "hidden" in attributes):
-            words = {w for a in _ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", (a.group(1) or a.group(2) or a.group(3) or "").lower())}
-            if words & _NOISE or _HIDDEN.search(attributes):
-                noise = True
-            elif words & _MAIN and not noise:
+            words, telling = _names(attributes)
+            if name in ("html", "body"):
+                main = main or bool(words & _MAIN and not words & _NOISE)
+            elif _HIDDEN.search(attributes):
+                new = max(new, _HIDES)
+            elif telling & _NOISE:
+                new = max(new, _NOISY)
+            elif words & _MAIN and not new and noise <= _OUTSIDE["form"] - _STEP:
                 main = True
+        if new:
+            noise, main = max(noise, new, min(noise + new, _NESTED)), False
+        if name in ("article", "main"):
+            noise, main = max(0, noise - _ARTICLE), True
         if attributes and attributes.rstrip().endswith("/") and not inline:
             continue
         stack.append((name, n, noise, main))
@@ -137,10 +160,10 @@ def page_blocks(page: str) -> list[Block]:
 
 def costs(b: Block) -> int:
     """The classifier: cost of calling the block boilerplate less that of calling it content."""
-    if b.noise:
-        return -60
-    score = 40 if b.main else 0
+    score = (40 if b.main else 0) - b.noise
     words = len(b.text.split())
+    if b.noise:  # long prose can outweigh it
+        score += min(max(0, words - 40), 120) // 4
     score += min(words, 40) - 8
     if b.text[-1:] in ".!?…:;\"'»”)":
         score += 6

@@ -119,6 +119,24 @@ def test_extraction(spark):
     assert out == ["A & B\n\nFirst para graph.\n\nSecond.", "", ""]
 
 
+PROSE = " ".join(f"Sentence {k} of the article says something that a reader came for." for k in range(6))
+ARTICLE = f"<article><h1>Title of it</h1><p>{PROSE}</p><p>Short end.</p></article>"
+PLAIN = f"<div id=content><h1>Title of it</h1><p>{PROSE}</p><p>{PROSE}</p></div>"
+
+
+@pytest.mark.parametrize("before, after", [("<body class='right-sidebar'>", ""), ("<div class='no-sidebar'>", "</div>"), ("<body class='comments-open'>", ""), ("<form action=x>", "</form>"), ("<div class='right-sidebar'>", "</div>"), ("<div class=widget><div class=sidebar>", "</div></div>")])
+def test_extraction_keeps_articles_in_noisy_wrappers(before, after):
+    side = "<div class='sidebar'><ul><li>Other pages</li><li>Buy now</li></ul></div><div id=comments><div class=comment><p>Nice!</p></div></div>"
+    assert extraction.main_text(f"<html>{before}{ARTICLE}{side}{after}</html>") == f"Title of it\n\n{PROSE}\n\nShort end."
+    if "widget" not in before:
+        assert extraction.main_text(f"<html>{before}{PLAIN}{side}{after}</html>").count(PROSE) == 2
+
+
+@pytest.mark.parametrize("tag", ["<svg class='i'/>", "<svg/>", "<svg width=\"1\" data-x='a>b' />", "<select-box>", "<script src='x'/>", "<svg><path d='M0'/></svg>", "<script>if (a > '</p>') b()</script>", "<script src=/x/>code()</script>"])
+def test_extraction_swallows_no_more_than_the_element(tag):
+    assert extraction.main_text(f"<article><p>{tag}{PROSE}</p></article>") == PROSE
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(3)
     for _ in range(60):
