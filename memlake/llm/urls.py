@@ -8,8 +8,8 @@ sure. An inverted index (token -> rules) matches them to URLs: a rule fires when
 all its tokens have been met; the surest, then longest, then first rule decides.
 
 Scale: URLs are first reduced to distinct token sets with counts; hot hosts
-collapse before any join. Rules are bounded by support (at most 1 / support sets
-of one token, at most three tokens a rule) and checked before broadcast.
+collapse before any join. Rules are bounded by support and confidence alone,
+whatever their number of tokens, and checked before broadcast.
 
 Defined cases: null URLs, or those without "://", have an empty host and path and
 no tokens; no rule fires and they are allowed. With no labels all are allowed.
@@ -25,7 +25,6 @@ from memlake.llm.common import ascii_lower, written
 
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.75
-MOST_TOKENS = 3
 BROADCAST_RULES = 50_000
 #: Listed rules: (rule, verdict), host and path prefix.
 LISTED = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -55,7 +54,9 @@ def url_tokens(host: Column, path: Column) -> Column:
     suffix = F.array(F.concat(F.lit("s:"), F.substring_index(host, ".", -1)), F.concat(F.lit("s:"), F.substring_index(host, ".", -2)))
     segments = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "0"), "/"), lambda x: x != "")
     segments = F.transform(segments, lambda x: F.concat(F.lit("p:"), x))
-    tokens = F.array_distinct(F.concat(names, suffix, segments))
+    ending = F.regexp_extract(path, r"[^/.]\.([A-Za-z][A-Za-z0-9]{0,9})/?$", 1)
+    endings = F.when(ending == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("e:"), ascii_lower(ending))))
+    tokens = F.array_distinct(F.concat(names, suffix, segments, endings))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(tokens))
 
 
@@ -79,11 +80,14 @@ def mined_rules(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     short = numbered.select("k", F.explode("items").alias("i")).join(frequent, "i", "left_semi").groupBy("k").agg(F.collect_list("i").alias("items"))
     short = written(short.select("items"), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, 2 / max(n, 1))), minConfidence=min_confidence, numPartitions=8).fit(short)
-    rules = model.associationRules.where("consequent[0] like 'label:%' and not exists(antecedent, x -> x like 'label:%')").where(F.size("antecedent") <= MOST_TOKENS)
+    rules = model.associationRules.where("consequent[0] like 'label:%' and not exists(antecedent, x -> x like 'label:%')")
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence", "support")
     rules = written(rules.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "rules")
     # pruned: a rule inside which a shorter one of the same verdict is as sure
-    shorter = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("less"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    # a shorter rule is looked for at its rarest token only
+    each = rules.select("rule_id", F.explode("tokens").alias("token"))
+    rarest = each.join(each.groupBy("token").agg(F.count("*").alias("c")), "token").groupBy("rule_id").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
+    shorter = rules.join(rarest, "rule_id").select("token", F.col("tokens").alias("less"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     worse = rules.select("rule_id", "tokens", "verdict", "confidence", F.explode("tokens").alias("token")).join(shorter, "token")
     worse = worse.where("verdict = v and size(less) < size(tokens) and c >= confidence and size(array_except(less, tokens)) = 0").select("rule_id").distinct()
     return rules.join(worse, "rule_id", "left_anti")

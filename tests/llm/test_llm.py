@@ -162,6 +162,30 @@ def test_mined_rules(spark):
     assert ["h:spam"] in [r.tokens for r in got] and all(r.confidence >= urls.MIN_CONFIDENCE for r in got)
 
 
+def test_rules_of_many_tokens_and_endings(spark):
+    from itertools import combinations
+
+    parts = [("hx", "hy"), ("ax", "ay"), ("bx", "by"), ("cx", "cy")]
+    rows = []
+    for m in range(16):
+        host, a, b, c = (p[m >> k & 1] for k, p in enumerate(parts))
+        rows += [(f"http://{host}.example.org/{a}/{b}/{c}/{k}.html", int(m == 0)) for k in range(20)]
+    rows += [(f"http://hy.example.org/ay/x{k}.PHP", 1) for k in range(60)]
+    got = [r.tokens for r in urls.mined_rules(spark.createDataFrame(rows, "url string, bad int")).where("verdict = 'block'").collect()]
+    assert ["h:hx", "p:ax", "p:bx", "p:cx"] in got and ["e:php"] in got
+    # exactly what plain counting finds: all sets of tokens of enough support and confidence without a shorter one as sure
+    sets = [(set(x), bad) for x, bad in zip((r[0] for r in spark.createDataFrame(rows, "url string, bad int").select(urls.url_tokens(*urls.host_path(urls.F.col("url")))).collect()), (bad for _, bad in rows))]
+    known = sorted({x for s, _ in sets for x in s if sum(x in t for t, _ in sets) >= 2})
+    sure = {}
+    for n in range(1, 5):
+        for c in combinations(known, n):
+            met = [bad for s, bad in sets if s.issuperset(c)]
+            if sum(met) >= 2 and sum(met) / len(met) >= urls.MIN_CONFIDENCE:
+                sure[c] = sum(met) / len(met)
+    want = {c for c, x in sure.items() if not any(len(d) < len(c) and set(d) < set(c) and y >= x for d, y in sure.items())}
+    assert {tuple(x) for x in got if len(x) < 5} == want
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
