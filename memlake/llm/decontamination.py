@@ -115,7 +115,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     w = raw_words(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), w.alias("w"))
     rows = rows.select("doc_id", "h", F.expr("cast(size(w) - if(w[0] = '', 1, 0) - if(size(w) > 1 and w[size(w) - 1] = '', 1, 0) as long)").alias("n_words"))
-    both = covered.join(items, ["doc_id", "h"]).withColumnsRenamed({"doc_id": "d", "h": "g"})
+    i = items.withColumnsRenamed({"doc_id": "i_id", "h": "i_h"})
+    both = covered.join(i, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("h") == F.col("i_h"))).drop("i_id", "i_h").withColumnsRenamed({"doc_id": "d", "h": "g"})
     out = rows.join(both, (rows.doc_id.eqNullSafe(both.d)) & (rows.h == both.g), "left")
     return out.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 

@@ -323,14 +323,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component (that of the smallest id), all columns as they were; rows without words or id stay."""
-    found = written(jaccard_components(docs, n, num, den), "components")
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    """``docs`` with one row of each component (that of the smallest id), all columns as they were; rows without words stay. Rows without id stand for their text: numbers from 2**62 on, above real ids, take the id's place meanwhile."""
+    stand_in = F.when(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    found = written(jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), n, num, den), "components")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__key")).distinct()
     repeated = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(gone, "doc_id", "left_anti")
+    out = keyed.join(gone, "__key", "left_anti")
     if repeated:
-        one = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-        out = one.unionByName(out.where("doc_id is null"))
+        one = out.where("__key is not null").dropDuplicates(["__key"])
+        out = one.unionByName(out.where("__key is null"))
     return out.select(docs.columns)
 
 

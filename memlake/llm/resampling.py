@@ -107,6 +107,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
 def importance(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
     """A written table (doc_id, weight, gumbel_key, row hash) and the sample."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
     sample = labelled_sample(labels)
     raw, one, two = ngram_counts(docs, sample)
     n = max(1, docs.count())
@@ -116,7 +117,7 @@ def importance(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
     if not sum(good):
         tables[:] = 0
     shared = docs.sparkSession.sparkContext.broadcast((sample, tables))
-    schema = pa.schema([("doc_id", pa.int64()), ("weight", pa.float64()), ("noise", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("weight", pa.float64()), ("noise", pa.int64()), ("h", pa.int64())])
 
     def weigh(batches):
         known, table = shared.value
@@ -127,11 +128,11 @@ def importance(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
                 which = np.array([known[d][1] if d in known else 2 for d in ids[i:j]])
                 w = np.bincount(row, table[which[row], slots], minlength=j - i)
                 h = [hash_text(data[bounds[r] : bounds[r + 1]]) if ids[i + r] is None else ids[i + r] for r in range(j - i)]
-                yield arrow_batch(schema, ids[i:j], w, h)
+                yield arrow_batch(schema, ids[i:j], w, h, b.column(2).slice(i, j - i))
 
-    rows = docs.mapInArrow(weigh, "doc_id long, weight double, noise long")
+    rows = docs.mapInArrow(weigh, "doc_id long, weight double, noise long, h long")
     u = (F.pmod(F.xxhash64(F.lit(SEED), "noise"), F.lit(1 << 53).cast("long")) + 0.5) / float(1 << 53)
-    return written(rows.select("doc_id", "weight", (F.col("weight") / TEMPERATURE - F.log(-F.log(u))).alias("gumbel_key")), "weights"), sample
+    return written(rows.select("doc_id", "weight", (F.col("weight") / TEMPERATURE - F.log(-F.log(u))).alias("gumbel_key"), "h"), "weights"), sample
 
 
 def hash_text(data: np.ndarray) -> int:
@@ -172,6 +173,10 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int =
 
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, weight, gumbel_key, kept: one row for each of docs."""
+    return _resampled(docs, labels).drop("h")
+
+
+def _resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows, sample = importance(docs, labels)
     seen = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(d, g) for d, (g, _) in sample.items()] or [], "doc_id long, good boolean")), "doc_id").select("weight", "good").collect()
     cut = best_cut(np.array([r.weight for r in seen if r.good]), np.array([r.weight for r in seen if not r.good]))
@@ -181,6 +186,8 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sampled rows of ``docs``, with its own columns only. Rows of one id fall together."""
-    out = resampled(docs, labels).where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """The sampled rows of ``docs``, with its own columns only. Rows of one id fall together, those without one by their text."""
+    out = _resampled(docs, labels).where("not kept").select(F.col("doc_id").alias("__d"), F.expr("if(doc_id is null, h, 0)").alias("__h")).distinct()
+    d = docs["doc_id"].cast("long")
+    h = F.when(d.isNull(), F.xxhash64(docs["text"].cast("string"))).otherwise(F.lit(0))
+    return docs.join(out, d.eqNullSafe(out["__d"]) & (h == out["__h"]), "left_anti").select(docs.columns)

@@ -95,6 +95,26 @@ def test_decontamination(spark, docs):
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(w), len(hit), sorted(items), bool(hit))
 
 
+def test_rows_without_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(1, text), (None, text), (None, text + " end"), (None, other), (None, other), (None, None), (None, ""), (2, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(text.split()[5:17]))], "item_id long, text string")
+    out = sorted((r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontamination.contamination(docs, bench).where("doc_id is null").collect())
+    assert out == [(0, 0, (), False)] * 2 + [(40, 0, (), False)] * 2 + [(40, 12, ("9",), True), (41, 12, ("9",), True)]
+    left = [tuple(r) for r in jaccard.deduplicated(docs).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(1, text), (None, other), (None, None), (None, ""), (2, "quite another text")]))
+
+
+def test_classifier_rejects_rows_without_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k if k < 500 else None, " ".join(rng.choice([f"g{x}" for x in range(60)], 60)) + (" scum moron scum trash" if k % 4 == 0 else "")) for k in range(600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(0, 500, 2)], "doc_id long, quality int, toxic int")
+    left = resampling.kept(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("doc_id is null").collect()
+    assert sum("scum" in r.text for r in left) <= 2 and sum("scum" not in r.text for r in left) >= 70
+
+
 def test_rules(docs):
     for r in rules.quality_rules(docs).collect():
         t = TEXTS[r.doc_id] or ""
