@@ -18,10 +18,13 @@ KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, named in ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs and tests) a temporary folder takes its place.
+    Only where that is unset in a local run (tests) a temporary folder takes its place;
+    on a cluster a folder of the driver's machine would be lost to the executors.
     """
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{KEY} has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="memlake-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(KEY, found)
@@ -124,10 +127,15 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, lower
     if lower:
         data = _LOWER[data]
     starts, ends, first = word_spans(data, bounds, is_word)
+    return span_hashes(data, starts, ends), first
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal in all processes."""
     p, q = _powers(len(data) + 1)
     s = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * p[: len(data)], out=s[1:])
-    return mix((s[ends] - s[starts]) * q[starts] + (ends - starts).astype(np.uint64)), first
+    return mix((s[ends] - s[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_hashes(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,30 +1,35 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-A document is the set of its distinct word n-grams, kept as 64-bit hashes. All
-sets are ordered by one global order, rare n-grams first. The lists of the
-n-grams after the first ``size - ceil(t * size) + 1`` of a document are its
-*long* lists: a partner that is in none of the short ones cannot reach the
-overlap T. Short lists are merged (grouped by n-gram, each list sorted by
-document); the candidates are then probed by binary search in the sorted long
-lists, that is in the other document's sorted set, until T is reached or missed.
-
-Scale: n-gram frequencies come from a counter array of fixed size, summed over
-all documents; it orders, it never decides, so its collisions cost time only.
-Documents with equal sets are one node. Inside a list of m nodes no m * m pairs
-are made: in each round every list probes its nodes against one hub, nodes that
-links have already joined drop out, and only pairs between different components
-that remain at the end are probed one by one. No link between components is lost.
-Before a probe, parity bits of both sets bound their difference from below; pairs
-that they rule out are never made. Once the components are known, all links are
-counted: all links lie inside components, whose sets are dealt into blocks by hash;
-a cell of two blocks has the overlaps of all its pairs as one matrix product. Pairs
-are counted in the cell and never become rows; this work grows with the square of a
-component's different sets, as the links do.
+A document is the set of its distinct word n-grams, kept as 64-bit hashes; equal
+sets are one node. Two sets of n and m n-grams link if they share T of them,
+T = ceil(t * (n + m) / (1 + t)). The search has two levels.
+
+*Lists.* All n-grams have one global order, rare ones first. A partner that is in
+none of a set's ``n - ceil(t * n) + 1`` rarest lists cannot reach T. In each list a
+leader is compared by parity bits (sets differ in as many n-grams at least as their
+bits do) with the rest; who may link with it, or with someone that may, is joined to
+it. That gives a spanning forest, never the pairs of a list, whose components hold
+every link.
+
+*Blocks.* Whole sets meet in the task of their component, which indexes them: lists
+of n-grams, short ones first. For a set, L = T - K of its lists are long; the rest are
+merged, sets met K times or more are candidates, and these are probed in the long
+lists: by binary search, or by one bit each where a block has a bit row for each set.
+Links are counted in the task and leave it as a number for each set and as a forest.
+
+Scale: n-gram frequencies come from a counter array of fixed size, summed over all
+documents; it orders and never decides. Long lists are split into cells of bounded
+size, so are components; a cell holds two of their blocks. Nothing that leaves a
+task grows with the pairs of a group. The work on a component, and how often its
+sets are sent, grows with the square of its different sets, as its links do, over
+``_CELL_SETS``. A Bloom filter of fixed size spares most texts outside components
+the second shuffle; where it fills up, more sets travel and the result is the same.
 
 Defined cases: null or empty text: no set, its own component. Fewer words than
 n: the whole sequence is the only n-gram. Null ids: linked like all others, but
 never a component's id (null if a component has no other). Rows that share an id
-are one document to links: their components join. Extra columns are ignored.
+are one document to links: their components join. Empty tables give no rows. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,18 +38,26 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import SPACED, arrow_batch, blocks, shingle_hashes, word_hashes, written
 
 BITS = 22
 _BLOCK = 1 << 16
-#: Of a block of a component; columns of one matrix product.
-_CELL_SETS = 192
-_CELL_BYTES = 4 << 20
-_WIDE = 4096
 _MASK = np.uint64((1 << BITS) - 1)
+#: Bits of the filter for sets to fetch.
+_FILTER = 25
+#: Rows of a list, sets and bytes of a component that one block takes; a cell has two blocks.
+_LIST = 4096
+_CELL_SETS = 1024
+_CELL_BYTES = 4 << 20
+#: Postings that one step of the forest takes.
+_STEP = 1 << 16
+#: K: occurrences in short lists that make a candidate. Binary probes of one set before bit rows serve.
+OCCURRENCES = 2
+_PROBES = 1 << 13
 
 
 def _sets(col: pa.Array, n: int):
@@ -78,48 +91,27 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
                 a = np.frombuffer(v, f"u{len(v) // _BLOCK}").astype(np.int32)
                 out[k] = out[k] + a if k in out else a
         for k, a in out.items():
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([a.tobytes()], pa.binary())})
+            narrow = a.astype(np.min_scalar_type(a.max()))
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([narrow.tobytes()], pa.binary())})
 
     kind = "k long, v binary"
-    rows = docs.select("text").mapInArrow(count, kind).repartition(16, "k").mapInArrow(merge, kind).collect()
+    found = docs.select("text").mapInArrow(count, kind).repartition(16, "k").mapInArrow(merge, kind).toArrow()
     total = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        total[r.k : r.k + _BLOCK] = np.frombuffer(r.v, np.int32)
+    for k, v in zip(found.column(0), found.column(1)):
+        v = v.as_py()
+        total[k.as_py() : k.as_py() + _BLOCK] = np.frombuffer(v, f"u{len(v) // _BLOCK}")
     return total
 
 
-def _node(ids: pa.Array, row: int, key: int) -> int:
-    v = ids[row].as_py()
-    return -1 - (key >> 1) if v is None else v
-
-
-def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("node", pa.int64()), ("center", pa.float64()), ("sig", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
-
-    def make(batches):
-        counts = shared.value
-        for b in batches:
-            ids, rows = b.column(0), []
-            for r, s in _sets(b.column(1), n):
-                doc = ids[r].as_py()
-                if s is None:
-                    rows.append((doc, 0, None, None, None, 0.0, [], []))
-                    continue
-                h1, h2 = _digest(s)
-                c = counts[(s & _MASK).astype(np.int64)]
-                p = len(s) - -(-num * len(s) // den) + 1
-                o = np.lexsort((s, c))[:p]
-                rows.append((doc, len(s), h1, h2, _node(ids, r, h1 & (2**63 - 1)), float(np.log(c[o]).mean()), _parity(s), s[o].view(np.int64)))
-            if rows:
-                yield arrow_batch(schema, *zip(*rows))
-
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, node long, center double, sig array<long>, short array<long>")
+def _parity(s: np.ndarray, width: int) -> np.ndarray:
+    """So many bits: whether an odd number of n-grams falls on each. Two sets differ in as many n-grams at least as their bits do."""
+    odd = np.bincount((s >> np.uint64(40) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    """512 bits: whether an odd number of n-grams falls on each. Two sets differ in as many n-grams at least as their bits do."""
-    return np.packbits(np.bincount((s >> np.uint64(40) & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
+def _width(n: int) -> int:
+    """Bits of a set's parity row: a power of two above its size, 512 to 4096."""
+    return min(4096, max(512, 1 << int(n).bit_length()))
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -130,53 +122,108 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _whole_sets(docs: DataFrame, nodes: DataFrame, n: int, repeated: bool) -> DataFrame:
-    """The sorted sets of the given nodes: (node, grams); repeated: whether rows share an id."""
-    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
+    """A written table: doc_id, n_shingles, digest (h1, h2), row (a number of its own), parity bits and rarest n-grams."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("row", pa.int64()), ("sig", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
 
     def make(batches):
+        counts, row = shared.value, TaskContext.get().partitionId() << 40
         for b in batches:
             ids, rows = b.column(0), []
             for r, s in _sets(b.column(1), n):
-                if s is not None:
-                    rows.append((_node(ids, r, _digest(s)[0] & (2**63 - 1)), s.tobytes()))
+                row += 1
+                doc = ids[r].as_py()
+                if s is None:
+                    rows.append((doc, 0, None, None, row, [], []))
+                    continue
+                c = counts[(s & _MASK).astype(np.int64)]
+                p = len(s) - -(-num * len(s) // den) + 1
+                o = np.lexsort((s, c))[:p]
+                rows.append((doc, len(s), *_digest(s), row, _parity(s, _width(len(s))), s[o].view(np.int64)))
             if rows:
                 yield arrow_batch(schema, *zip(*rows))
 
-    d = docs.select("doc_id", "text")
-    named = d.where("doc_id is not null").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    unnamed = d.where("doc_id is null")
-    one = lambda df: df.groupBy("node").agg(F.min("grams").alias("grams"))
-    kind = "node long, grams binary"
-    named = named.mapInArrow(make, kind)
-    unnamed = one(unnamed.mapInArrow(make, kind).join(nodes, "node", "left_semi"))
-    return (one(named) if repeated else named).unionByName(unnamed)
-
-
-def _overlap_reaches(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Binary probes of the smaller set's lists: whether den * |A & B| >= num * |A | B|."""
-    if len(a) > len(b):
-        a, b = b, a
-    need = -(-num * (len(a) + len(b)) // (num + den))
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) >= need
+    out = written(docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n_shingles long, h1 long, h2 long, row long, sig array<long>, short array<long>"), "prefixes")
+    shared.destroy()
+    return out
+
+
+# ---------------------------------------------------------------- lists
+def forest(cell: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, leader) that connect, inside each cell (rows of one list, together), all rows that may link. ``sig``: parity bits, one row each."""
+    alive, a, b = np.arange(len(cell)), [], []
+    while len(alive):
+        now = cell[alive]
+        start = np.concatenate([[True], now[1:] != now[:-1]])
+        lead = alive[start][np.cumsum(start) - 1]
+        differ = np.bitwise_count((sig[alive] ^ sig[lead]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        low, high, both = np.minimum(n[alive], n[lead]), np.maximum(n[alive], n[lead]), n[alive] + n[lead]
+        near = (den * low >= num * high) & ((num + den) * differ <= (den - num) * both)
+        # a row near the leader leaves the list; whoever it may link with differs from the leader by both distances at most
+        reach = (den * den * low >= num * num * high) & ((num + den) * num * differ <= (den - num) * (num * both + 2 * den * low))
+        pick = reach & (alive != lead)
+        a.append(alive[pick])
+        b.append(lead[pick])
+        alive = alive[~near]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _folded(column: pa.Array) -> list[np.ndarray]:
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    return [flat[i:j] for i, j in zip(at, at[1:])]
+
+
+def _as_rows(sigs: list[np.ndarray], width: int) -> np.ndarray:
+    """Parity rows of one width: a wider one is folded, which keeps what it says."""
+    out = np.empty((len(sigs), width), np.int64)
+    for k, s in enumerate(sigs):
+        out[k] = s if len(s) == width else np.bitwise_xor.reduce(s.reshape(-1, width), axis=0)
+    return out
+
+
+def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): edges whose components hold every link; ``nodes`` (node, n, sig, short)."""
+    post = nodes.select("node", "n", F.explode("short").alias("gram"))
+    lists = post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    live = post.select("node", "gram").join(lists, "gram").select("node", "gram", F.expr(f"cast(ceil(m / {_LIST}) as int)").alias("k"))
+    rows = live.join(nodes.select("node", "n", "sig"), "node")
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)")).withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
+    # a list is dealt by the width of parity rows; a set whose partners may be of the class below is met there too
+    below = f"size(sig) > 8 and n * {num} < {den} * size(sig) * 32"
+    rows = rows.withColumn("as", F.explode(F.expr(f"if({below}, array(size(sig), size(sig) div 2), array(size(sig)))")))
+    rows = rows.select(F.xxhash64("gram", F.least("block", "with"), F.greatest("block", "with"), "as").alias("cell"), F.xxhash64("node").alias("turn"), "node", "n", "as", "sig")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def edges(batches):
+        held, size = [], 0
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that reach the similarity."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        def closed(part):
+            cell, node, n, width = (np.concatenate([x[k] for x in part]) for k in range(4))
+            sigs = [s for x in part for s in x[4]]
+            for w in np.unique(width):
+                pick = np.flatnonzero(width == w)
+                a, b = forest(cell[pick], n[pick], _as_rows([sigs[k] for k in pick], int(w)), num, den)
+                pair = np.unique(np.stack([node[pick][a], node[pick][b]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], schema=schema)
 
-    def probe(batches):
         for x in batches:
-            cols = [x.column(k) for k in range(4)]
-            ok = [_overlap_reaches(np.frombuffer(cols[2][r].as_buffer(), np.uint64), np.frombuffer(cols[3][r].as_buffer(), np.uint64), num, den) for r in range(x.num_rows)]
-            at = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([cols[0].take(at), cols[1].take(at)], schema=schema)
+            part = [*(x.column(k).to_numpy(zero_copy_only=False) for k in range(4)), _folded(x.column(4))]
+            held.append(part)
+            size += x.num_rows
+            if size < _STEP:
+                continue
+            last = part[0][-1]
+            cut = [int(np.flatnonzero(h[0] != last)[-1]) + 1 if (h[0] != last).any() else 0 for h in held]
+            if any(cut):
+                yield from closed([[c[:k] for c in h] for h, k in zip(held, cut) if k])
+                held = [[c[k:] for c in h] for h, k in zip(held, cut) if k < len(h[0])]
+                size = sum(len(h[0]) for h in held)
+        if held:
+            yield from closed(held)
 
-    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    two = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(probe, "a long, b long")
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "turn", "node").select("cell", "node", "n", "as", "sig")
+    return dealt.mapInArrow(edges, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,148 +241,202 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cell_counts(grams: list[np.ndarray], owner: np.ndarray, one: np.ndarray, two: np.ndarray, num: int, den: int) -> np.ndarray:
-    """For each set of a cell, its links: pairs of unlike sets of one owner (component), of ``one`` and ``two`` each (a pair inside both counts once)."""
-    size = np.array([len(g) for g in grams], np.int64)
-    gram, at = np.unique(np.concatenate(grams), return_inverse=True)
-    row = np.repeat(np.arange(len(grams)), size)
-    often = np.bincount(at, minlength=len(gram)) > 1  # a gram of one set is in no overlap
-    place = np.cumsum(often) - 1
-    row, at = row[often[at]], place[at[often[at]]]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    both = np.zeros((len(grams), len(grams)), np.int64)
-    bounds = np.searchsorted(at, np.arange(0, int(often.sum()) + _WIDE, _WIDE))
-    for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
-        x = np.zeros((len(grams), _WIDE), np.float32)
-        x[row[i:j], at[i:j] - k * _WIDE] = 1
-        both += np.rint(x @ x.T).astype(np.int64)
-    ok = (num + den) * both >= num * (size[:, None] + size[None, :])
-    ok &= (owner[:, None] == owner[None, :]) & ((one[:, None] & two[None, :]) | (two[:, None] & one[None, :]))
-    np.fill_diagonal(ok, False)
-    return ok.sum(axis=1)
-
-
-def link_counts(labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, n_links): the links of every node of a component; ``labels`` (node, label), ``sets`` (node, grams)."""
-    mine = written(labels.join(sets.select("node", F.octet_length("grams").alias("bytes")), "node"), "linked")
-    blocks_of = mine.groupBy("label").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes")).where("m > 1")
-    blocks_of = blocks_of.select("label", F.expr(f"cast(greatest(ceil(m / {_CELL_SETS}), ceil(bytes / {_CELL_BYTES})) as int)").alias("k"))
-    dealt = mine.select("node", "label").join(blocks_of, "label").withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)"))
-    # a node goes to one cell for each block of its component; components of one block share cells
-    cells = dealt.select("node", "label", "block", F.explode(F.expr("sequence(0, k - 1)")).alias("with"), "k")
-    cells = cells.select("node", "label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.expr("block <= with").alias("one"), F.expr("with <= block").alias("two"))
-    rows = cells.join(sets, "node").select(F.col("label").alias("c"), "i", "j", "label", "node", "one", "two", "grams")
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64())])
+# ---------------------------------------------------------------- blocks
+class Index:
+    """Inverted lists of the n-grams of some sets: numbered from the shortest on, without those of one set alone."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner, length = np.repeat(np.arange(len(sets)), self.size), np.bincount(at)
+        order = np.argsort(length, kind="stable")
+        number = np.empty(len(length), np.int64)
+        number[order] = np.arange(len(length)) - int((length == 1).sum())
+        at = number[at]
+        owner, at = owner[at >= 0], at[at >= 0]
+        self.n_lists = max(0, len(length) - int((length == 1).sum()))
+        o = np.argsort(at, kind="stable")
+        #: Sets of each list; list and set as one number, ascending.
+        self.lists, self.keys = owner[o], at[o] * len(sets) + owner[o]
+        self.begin = np.searchsorted(at[o], np.arange(self.n_lists + 1))
+        o = np.lexsort((at, owner))
+        self.of, self.first = at[o], np.searchsorted(owner[o], np.arange(len(sets) + 1))
+        self._bits = None
+
+    @property
+    def bits(self) -> np.ndarray:
+        """A row for each set, a bit for each list."""
+        if self._bits is None:
+            self._bits = np.zeros((len(self.size), self.n_lists // 64 + 1), np.uint64)
+            owner = np.repeat(np.arange(len(self.size)), np.diff(self.first))
+            np.bitwise_or.at(self._bits, (owner, self.of >> 6), np.uint64(1) << (self.of & 63).astype(np.uint64))
+        return self._bits
+
+    def partners(self, q: int, fits: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Sets among ``fits`` (a mask) that reach the similarity with set q: short lists merged, long ones probed."""
+        mine = self.of[self.first[q] : self.first[q + 1]]
+        t = -(-num * int(self.size[q]) // den)  # of the smallest partner that fits
+        if len(mine) < t:
+            return np.zeros(0, np.int64)
+        k = min(t, OCCURRENCES)
+        cut = len(mine) - (t - k)
+        short, long = mine[:cut], mine[cut:]
+        merged = np.sort(np.concatenate([self.lists[self.begin[x] : self.begin[x + 1]] for x in short.tolist()]), kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
+        met, times = merged[at], np.diff(np.append(at, len(merged)))
+        pick = (times >= k) & fits[met]
+        met, times = met[pick], times[pick]
+        if not len(met):
+            return met
+        if len(met) * len(long) <= _PROBES:
+            want = long[None, :] * len(self.size) + met[:, None]
+            times = times + (self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want).sum(axis=1)
+        elif len(long):
+            word = int(long[0]) >> 6
+            own = self.bits[q, word:].copy()
+            own[0] &= ~np.uint64(0) << np.uint64(long[0] & 63)
+            times = times + np.bitwise_count(self.bits[met, word:] & own).sum(axis=1)
+        return met[(num + den) * times >= num * (self.size[q] + self.size[met])]
+
+
+def divide_skip(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the (different) sets: its links, and the first set that it reaches by links. ``side``: 0 and 1 for two blocks, whose own pairs don't count, or 2 throughout for all pairs."""
+    index, size = Index(sets), np.array([len(s) for s in sets], np.int64)
+    links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    later = np.arange(len(sets))
+    for q in range(len(sets)):
+        fits = (later > q) & (den * np.minimum(size, size[q]) >= num * np.maximum(size, size[q])) & ((side != side[q]) | (side == 2))
+        if not fits.any():
+            continue
+        met = index.partners(q, fits, num, den)
+        if len(met):
+            links[q] += len(met)
+            links[met] += 1
+            known = np.unique(root[np.append(met, q)])
+            if len(known) > 1:
+                root[np.isin(root, known)] = known[0]
+    return links, root
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of 2**_FILTER bits of the column ``key``, as 64-bit words."""
+    found = keys.select(F.expr(f"shiftrightunsigned(key, 6) & {(1 << _FILTER - 6) - 1}").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+    found = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << _FILTER - 6, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def _whole_sets(docs: DataFrame, shared, n: int) -> DataFrame:
+    """(h1, h2, grams): the sorted sets of the rows that pass the filter, one for each task that meets them."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("grams", pa.binary())])
+
+    def make(batches):
+        words, seen = shared.value, set()
+        for b in batches:
+            ids, rows = b.column(0).fill_null(0).to_pylist(), []
+            for r, s in _sets(b.column(1), n):
+                if s is None:
+                    continue
+                h = _digest(s)
+                key = h[0] ^ ids[r]
+                if h not in seen and int(words[(key >> 6) & ((1 << _FILTER - 6) - 1)]) >> (key & 63) & 1:
+                    seen.add(h)
+                    rows.append((*h, s.tobytes()))
+            if rows:
+                yield arrow_batch(schema, *zip(*rows))
+
+    return docs.select("doc_id", "text").mapInArrow(make, "h1 long, h2 long, grams binary")
+
+
+def links(docs: DataFrame, nodes: DataFrame, labels: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A written table (node, n_links, root): for a cell, the links of each of its sets and a set that it reaches by them. ``nodes`` (node, h1, h2, n, row_id), ``labels`` (node, label)."""
+    mine = written(labels.join(nodes.select("node", "h1", "h2", "n", "row_id"), "node"), "linked")
+    of = mine.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).where("m > 1")
+    of = of.select("label", F.expr(f"cast(greatest(ceil(m / {_CELL_SETS}), ceil(8 * grams / {_CELL_BYTES})) as int)").alias("k"))
+    placed = mine.join(of, "label").select("node", "h1", "h2", "label", F.expr("cast(pmod(xxhash64(node), k) as int)").alias("block"), "k")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(mine.select(F.col("h1").bitwiseXOR(F.coalesce("row_id", F.lit(0))).alias("key"))))
+    # a set goes to one cell for each block of its component
+    cells = _whole_sets(docs, shared, n).join(placed, ["h1", "h2"]).withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
+    cells = cells.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.expr("case when block = with then 2 when block < with then 0 else 1 end").alias("side"), "node", "grams")
+    schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
 
     def count(batches):
+        key, held = None, {}
+
         def closed():
-            owner, node, one, two = (np.array([r[k] for r in held]) for k in (1, 2, 3, 4))
-            n = _cell_counts([r[5] for r in held], owner, one, two, num, den)
-            return arrow_batch(schema, node[n > 0], n[n > 0])
+            if len(held) > 1:
+                node, (side, sets) = np.array(list(held)), zip(*held.values())
+                n_links, root = divide_skip(list(sets), np.array(side), num, den)
+                at = np.flatnonzero(n_links)
+                if len(at):
+                    yield arrow_batch(schema, node[at], n_links[at], node[root[at]])
 
-        held, key, n_bytes = [], None, 0
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            grams = b.column(7)
-            for r in range(b.num_rows):
-                now = (cols[0][r], cols[1][r], cols[2][r])
-                # whole cells only; small ones are counted together
-                if held and now != key and (now[1:] != (0, 0) or key[1:] != (0, 0) or len(held) >= _CELL_SETS // 4 or n_bytes >= _CELL_BYTES // 4):
-                    yield closed()
-                    held, n_bytes = [], 0
-                key = now
-                held.append((now, cols[3][r], cols[4][r], cols[5][r], cols[6][r], np.frombuffer(grams[r].as_buffer(), np.uint64).copy()))
-                n_bytes += 8 * len(held[-1][5])
-        if held:
-            yield closed()
-
-    counted = rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(count, "node long, n long")
-    return counted.groupBy("node").agg(F.sum("n").alias("n_links"))
-
+            cols = [b.column(k).to_pylist() for k in range(5)]
+            for r, now in enumerate(zip(*cols[:3])):
+                if now != key:
+                    yield from closed()
+                    key, held = now, {}
+                held[cols[4][r]] = (cols[3][r], np.frombuffer(b.column(5)[r].as_buffer(), np.uint64).copy())
+        yield from closed()
 
-def _fits(num: int, den: int):
-    """Sizes that can reach the similarity at all, and parity bits that differ in no more places than the sets may."""
-    differ = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(8))
-    return F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m) and ({num} + {den}) * ({differ}) <= ({den} - {num}) * (n + m)")
+    dealt = cells.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+    found = written(dealt.mapInArrow(count, "node long, n_links long, root long"), "links")
+    shared.destroy()
+    return found
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rounds: int = 12) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (other different sets that reach the similarity with the document's)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_rows = written(_prefixes(docs, n, num, den, _sketch(docs, n)), "prefixes")
-    members = all_rows.select("doc_id", "n_shingles", "h1", "h2", "node")
-    reps = all_rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("node", "n_shingles", "center", "sig", "short")).alias("r"), F.min("doc_id").alias("least_id"))
-    reps = reps.select("h1", "h2", "least_id", "r.*").withColumnRenamed("n_shingles", "n")
-    post = reps.select("node", "n", "center", F.explode("short").alias("gram"))
-    lists = post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    # of a list, only nodes whose next smaller or larger one is of a size that can reach the similarity
-    by_size = Window.partitionBy("gram").orderBy("n", "node")
-    near = post.join(lists, "gram").withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    near = near.where(f"{den} * less >= {num} * n or {den} * n >= {num} * more").drop("less", "more")
-    bits = reps.groupBy("node").agg(F.first("sig").alias("sig"))
-    post = written(near.join(bits, "node"), "lists")
-
+    rows = _prefixes(docs, n, num, den, _sketch(docs, n))
+    sets = rows.where("h1 is not null")
+    nodes = sets.groupBy("h1", "h2").agg(F.min(F.struct("row", "n_shingles", "doc_id", "sig", "short")).alias("r"), F.min("doc_id").alias("least_id"))
+    nodes = written(nodes.select("h1", "h2", "least_id", F.col("r.row").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.doc_id").alias("row_id"), "r.sig", "r.short"), "nodes")
+    labels = components(_candidates(nodes, num, den))
+    found = links(docs, nodes, labels, n, num, den)
+    edges = found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     # rows that share an id are one document
-    repeated = members.where("doc_id is not null and h1 is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    sets = written(_whole_sets(docs, post.select("node").distinct(), n, repeated), "sets")
-    edges = members.where("doc_id is not null and h1 is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("a", "b")
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested, now = edges, none, post.withColumn("label", F.col("node"))
-    before = float("inf")
-    for turn in range(rounds + 1):
-        # lists that still hold several components, and an upper bound of the pairs between them
-        sizes = now.groupBy("gram", "label").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.expr("c * c")).alias("s"), F.count("*").alias("k")).where("k > 1")
-        sizes = written(sizes.select("gram", ((F.col("m") * F.col("m") - F.col("s")) / 2).cast("long").alias("open"), "m"), "open")
-        total = sizes.agg(F.sum("open").alias("o"), F.sum("m").alias("m")).first()
-        if not total.o:
-            break
-        live = now.join(sizes.select("gram"), "gram")
-        x = live.select("gram", F.col("node").alias("a"), "n", F.col("label").alias("la"), F.col("sig").alias("sa"))
-        last = turn == rounds or total.o <= 2 * total.m or total.o > 0.9 * before
-        before = total.o
-        if last:
-            y = live.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("sig").alias("sb"))
-            pairs = x.join(y, "gram").where("la != lb and a < b").where(_fits(num, den))
-        else:
-            order = F.struct("center", "node") if not turn else F.struct(F.xxhash64(F.lit(turn), "node"), "node")
-            hub = live.groupBy("gram").agg(F.max_by(F.struct(F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"), F.col("sig").alias("sb")), order).alias("hub")).select("gram", "hub.*")
-            pairs = x.join(hub, "gram").where("la != lb").where(_fits(num, den))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = written(_linked(pairs, sets, num, den), "links")
-        links = links.unionByName(found)
-        if last:
-            break
-        tested = tested.unionByName(pairs)
-        labels = components(links)
-        # labels only merge: a list that is closed stays closed
-        now = written(live.drop("label").join(labels.withColumnRenamed("label", "l"), "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l"), "lists")
-
-    labels = components(links)
-    degree = link_counts(labels, sets, num, den)
-    of = reps.select("h1", "h2", "node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(degree, "node", "left")
+    of = nodes.select("h1", "h2", "node", "least_id")
+    shared = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("one"), F.max(F.struct("h1", "h2")).alias("last")).where("one != last").select("doc_id", "one.*")
+    if shared.limit(1).count():
+        one = shared.join(of, ["h1", "h2"]).select("doc_id", F.col("node").alias("b"))
+        edges = edges.unionByName(sets.select("doc_id", "h1", "h2").distinct().join(one, "doc_id").join(of, ["h1", "h2"]).where("node != b").select(F.col("node").alias("a"), "b"))
+    degree = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    of = of.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node")).join(degree, "node", "left")
     least = of.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of = of.join(least, "label").select("h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = members.join(of, ["h1", "h2"], "left")
+    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component (that of the smallest id), all columns as they were; rows without words stay. Rows without id stand for their text: numbers from 2**62 on, above real ids, take the id's place meanwhile."""
-    stand_in = F.when(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    found = written(jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), n, num, den), "components")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__key")).distinct()
-    repeated = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = keyed.join(gone, "__key", "left_anti")
-    if repeated:
-        one = out.where("__key is not null").dropDuplicates(["__key"])
-        out = one.unionByName(out.where("__key is null"))
+    """``docs`` with one row of each component, all columns as they were: that of the smallest id, of several texts of this id the one of smallest hash, of rows alike in both any one. Rows without words stay. Rows without id stand for their text: numbers from 2**62 on, above real ids, take the id's place meanwhile."""
+    text = F.col("text").cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stand_in = F.when(worded, F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+    key, h = _unused(docs, "key"), _unused(docs, "h")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    found = written(jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), n, num, den), "components")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
+    repeated = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    out = keyed.join(gone, key, "left_anti")
+    if repeated.limit(1).count():
+        # rows without words may share an id with others: they stay beside
+        out = out.withColumn(h, F.xxhash64(text))
+        least = out.where(worded & F.col(key).isNotNull()).groupBy(key).agg(F.min(h).alias(h))
+        one = out.where(worded).join(least, [key, h], "left_semi").dropDuplicates([key])
+        out = one.unionByName(out.where(~worded))
     return out.select(docs.columns)
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def required_overlap(n: int, m: int, num: int, den: int) -> int:
     """T of two set sizes."""
     return math.ceil(num * (n + m) / (num + den))

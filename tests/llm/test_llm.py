@@ -50,10 +50,11 @@ def test_jaccard(docs, none):
     assert jaccard.deduplicated(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("cell", [192, 5])
-def test_jaccard_counts_every_link(spark, none, monkeypatch, cell):
+@pytest.mark.parametrize("cell, probes", [(1024, 1 << 13), (5, 4), (1024, 4)])
+def test_jaccard_counts_every_link(spark, none, monkeypatch, cell, probes):
     monkeypatch.setattr(jaccard, "_CELL_SETS", cell)
-    monkeypatch.setattr(jaccard, "_WIDE", 64 if cell == 5 else 4096)
+    monkeypatch.setattr(jaccard, "_LIST", 4 * cell)
+    monkeypatch.setattr(jaccard, "_PROBES", probes)
     rng = np.random.default_rng(4)
     rows = []
     for group in range(6):
@@ -76,6 +77,51 @@ def test_jaccard_counts_every_link(spark, none, monkeypatch, cell):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def plain_components(rows, n, num, den):
+    """(links, component) of each (id, text) by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = words(SPACED, t)
+        sets.append(frozenset([tuple(w)]) if 0 < len(w) < n else frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)))
+    label = list(range(len(rows)))
+    linked = [[bool(a and b) and den * len(a & b) >= num * len(a | b) or (i == j) or (rows[i][0] is not None and rows[i][0] == rows[j][0] and bool(a and b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for _ in rows:
+        label = [min(label[j] for j in range(len(rows)) if linked[i][j]) for i in range(len(rows))]
+    different = set(sets) - {frozenset()}
+    links = [sum(b != a and den * len(a & b) >= num * len(a | b) for b in different) if a else 0 for a in sets]
+    ids = [[rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None] for i in range(len(rows))]
+    return [(rows[i][0], len(sets[i]), min(ids[i], default=None), links[i]) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("n, num, den, seed", [(3, 90, 100, 1), (5, 80, 100, 2), (1, 50, 100, 3)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, n, num, den, seed):
+    """Sizes about the bounds of parity rows, shared passages, copies, rows that share an id, rows without one."""
+    monkeypatch.setattr(jaccard, "_LIST", 7)
+    monkeypatch.setattr(jaccard, "_CELL_SETS", 6)
+    rng = np.random.default_rng(seed)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{k}" for k in range(int(rng.choice([1, 3, 8, 40, 500, 530, 1040])))] + (passage if group % 3 == 0 else [])
+        for _ in range(int(rng.integers(1, 7))):
+            w = list(base)
+            for k in rng.integers(0, len(w), int(rng.integers(0, max(2, len(w) // 25)))):
+                w[k] = f"x{rng.integers(1000)}"
+            rows.append((len(rows) * 3 if rng.random() > 0.1 else None, " ".join(w[: len(w) - int(rng.integers(0, max(1, len(w) // 20)))])))
+    rows += [(5, rows[0][1]), (5, rows[-1][1]), (5, "a text of its own"), (6, None), (6, ""), (None, None), (0, rows[3][1])]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, node string, n int")
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(docs, n, num, den).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_components(rows, n, num, den)))
+
+
+def test_deduplicated_rows_that_share_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text, "b"), (1, "another text under this very id", "c"), (1, None, "d"), (1, " ", "e"), (2, text + " end", "f"), (3, "alone with words enough", "g")]
+    left = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
+    by_id = [r.key for r in left if r.doc_id == 1 and (r.text or "").strip()]
+    assert len(by_id) == 1 and {r.key for r in left} - set(by_id) == {"d", "e", "g"}
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, BASE[:200]), (2, "one TWO"), (3, None), (4, "not there at all in any of these texts you see")], "item_id long, text string")
     out = decontamination.contamination(docs, bench).collect()
