@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import SPACED, arrow_batch, blocks, shingle_hashes, word_hashes, written
+from memlake.llm.common import SPACED, arrow_batch, blocks, distinct, shingle_hashes, word_hashes, written
 
 BITS = 22
 _BLOCK = 1 << 16
@@ -66,7 +66,7 @@ def _sets(col: pa.Array, n: int):
         h, first = word_hashes(data, bounds, SPACED, lower=True)
         s, at = shingle_hashes(h, first, n)
         for r in range(j - i):
-            yield i + r, np.unique(s[at[r] : at[r + 1]]) if at[r + 1] > at[r] else None
+            yield i + r, distinct(s[at[r] : at[r + 1]]) if at[r + 1] > at[r] else None
 
 
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:

@@ -10,7 +10,8 @@ inside their length class are then dealt to the places of the patterns.
 Scale: the driver sees the histogram only (2048 / step numbers). Texts are
 tokenised once; what goes on is a small row for each piece, written to the shared
 folder. Ranks come from counts by class and salt, so a class that holds most
-pieces is ranked in many tasks. Tokenisation keeps a bounded cache of words.
+pieces is ranked in many tasks. A worker encodes each unit (letters, marks, a digit,
+or what can't be parted) once and keeps its ids, up to a bound.
 
 Defined cases: null text is empty: its only token is the end id. Documents of
 any length are cut; empty tables give no rows. Repeated rows are packed each.
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import arrow_batch, written
+from memlake.llm.common import _LOWER, arrow_batch, blocks, span_hashes, written
 
 END = 1
 SIZE = 2048
 STEP = 16
-_CACHED_WORDS = 400_000
+#: Of a worker: what it keeps of units is bounded.
+_KEPT_UNITS = 1_000_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
@@ -42,8 +44,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Byte classes: white space, letters, digits, marks, apostrophe, bytes of other characters.
+_SPACE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER = range(6)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[128:] = _OTHER
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[39] = _APOSTROPHE
+#: [before, at]: whether a unit begins at a byte. The tokenizer drops white space and joins none of these pairs; an apostrophe may take the letters after it, and what stands next to other characters stays whole.
+_CUT = np.zeros((6, 6), bool)
+_CUT[_SPACE, _LETTER:] = True
+_CUT[_LETTER, [_DIGIT, _MARK, _APOSTROPHE]] = True
+_CUT[_DIGIT, [_LETTER, _DIGIT, _MARK, _APOSTROPHE]] = True
+_CUT[_MARK, [_LETTER, _DIGIT]] = True
+_CUT[_APOSTROPHE, _DIGIT] = True
+
+
+def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the units that are encoded alone, and for each row the index of its first."""
+    kind = _CLASS[data]
+    before = np.concatenate([[_SPACE], kind]).astype(np.uint8)
+    before[bounds] = _SPACE  # a row begins
+    cut = _CUT.ravel()[before[:-1] * 6 + kind]
+    last = np.ones(len(kind), bool)  # the next byte begins a unit, or is in none
+    last[:-1] = cut[1:] | (kind[1:] == _SPACE)
+    last[bounds[1:] - 1] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.flatnonzero(last & (kind != _SPACE)) + 1, np.searchsorted(starts, bounds)
+
+
 class Encoder:
-    """Ids of a text as little-endian 32-bit numbers. The tokenizer drops white space and never joins what it separates, so words are encoded once and remembered."""
+    """Ids of texts. A unit is encoded when it is first met; its ids are kept by its hash, for at most ``_KEPT_UNITS`` units."""
 
     def __init__(self, path: str):
         import os
@@ -51,23 +83,67 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > _CACHED_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        new = len(self.bounds) - 1 + np.arange(len(found))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(lengths))
+        self.ids = np.concatenate([self.ids, np.fromiter((x for e in found for x in e), np.uint32, int(lengths.sum()))])
+        to = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at = np.insert(self.hashes, to, hashes), np.insert(self.at, to, new)
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each with its end, and the n+1 bounds of the rows."""
+        low = _LOWER[data]
+        raw = data.tobytes()
+        starts, ends, first = units(data, bounds)
+        h = span_hashes(low, starts, ends)
+        met = pa.array(h).dictionary_encode()
+        known, which = met.dictionary.to_numpy(), met.indices.to_numpy()
+        if len(self.hashes) > _KEPT_UNITS:
+            self._forget()
+        order = np.argsort(known)
+        to = np.searchsorted(self.hashes, known[order])
+        new = order[self.hashes[np.minimum(to, len(self.hashes) - 1)] != known[order]] if len(self.hashes) else order
+        if len(new):
+            one = np.empty(len(known), np.int64)
+            one[which[::-1]] = np.arange(len(which))[::-1]
+            self._learn(known[new], [raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in one[new]])
+        slot = self.at[np.searchsorted(self.hashes, known)]
+        begin, length = self.bounds[slot], self.bounds[slot + 1] - self.bounds[slot]
+        # every row's end is a unit of its own after its last
+        n = len(bounds) - 1
+        at = np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))
+        lengths = np.ones(len(h) + n, np.int64)
+        lengths[at] = length[which]
+        cuts = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.full(cuts[-1], END, "<u4")
+        to = np.repeat(cuts[at] - np.concatenate([[0], np.cumsum(length[which])[:-1]]) if len(h) else cuts[:0], length[which])
+        source = np.repeat(begin[which] - np.concatenate([[0], np.cumsum(length[which])[:-1]]) if len(h) else cuts[:0], length[which])
+        k = np.arange(len(to))
+        out[to + k] = self.ids[source + k]
+        row = cuts[first + np.arange(n + 1)]
+        return out, row
+
+    def rows(self, col: pa.Array):
+        """Ids of each row, with its end. Rows that spell a special token are left to the tokenizer whole."""
+        for i, j, data, bounds in blocks(col):
+            ids, at = self(data, bounds)
+            raw = data.tobytes()
+            odd = any(t in raw for t in self.special)
+            for r in range(j - i):
+                if odd and any(t in raw[bounds[r] : bounds[r + 1]] for t in self.special):
+                    yield np.append(np.asarray(self.tokenizer.encode(col[i + r].as_py(), add_special_tokens=False).ids, "<u4"), np.uint32(END)).astype("<u4")
+                else:
+                    yield ids[at[r] : at[r + 1]]
 
 
 def encoder(path: str) -> Encoder:
@@ -84,15 +160,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> D
 
     def cut(batches):
         encode = encoder(path)
-        end = np.asarray([END], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py() or "") + end
-                total = len(ids) // 4
-                for k in range(0, total, size):
-                    part = ids[4 * k : 4 * (k + size)]
-                    rows.append((doc, k, len(part) // 4, zlib.crc32(part), total))
+            for doc, ids in zip(b.column(0).to_pylist(), encode.rows(b.column(1))):
+                for k in range(0, len(ids), size):
+                    part = ids[k : k + size]
+                    rows.append((doc, k, len(part), zlib.crc32(part), len(ids)))
             if rows:
                 yield arrow_batch(_SCHEMA, *zip(*rows))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import ALNUM, SPACED, arrow_batch, blocks, mix, word_hashes, written
+from memlake.llm.common import ALNUM, SPACED, arrow_batch, blocks, distinct, mix, word_hashes, written
 
 BITS = 20
 SLOTS = 3 << BITS
@@ -49,7 +49,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     srow = np.repeat(np.arange(len(sfirst) - 1), np.diff(sfirst))
     shift = np.uint64(64 - BITS)
     slots = np.concatenate([(h >> shift).astype(np.int64), (g >> shift).astype(np.int64) + (1 << BITS), (mix(s) >> shift).astype(np.int64) + (2 << BITS)])
-    at = np.unique(np.concatenate([row, row[1:][pair], srow]) * SLOTS + slots)
+    at = distinct(np.concatenate([row, row[1:][pair], srow]) * SLOTS + slots)
     return at % SLOTS, at // SLOTS
 
 
