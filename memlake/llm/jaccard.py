@@ -35,11 +35,12 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.common import SPACED, arrow_batch, blocks, distinct, shingle_hashes, word_hashes, written
@@ -72,6 +73,14 @@ def _sets(col: pa.Array, n: int):
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents have an n-gram, by its hash modulo 2**BITS: blocks are summed by Spark, 16 MB at any input."""
 
+    def row(k, part):
+        narrow = part.astype(np.min_scalar_type(part.max()))
+        return pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([zlib.compress(narrow.tobytes(), 1)], pa.binary())})
+
+    def numbers(v):
+        v = zlib.decompress(v)
+        return np.frombuffer(v, f"u{len(v) // _BLOCK}").astype(np.int32)
+
     def count(batches):
         total = np.zeros(1 << BITS, np.int32)
         for b in batches:
@@ -81,25 +90,21 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
         for k in range(0, len(total), _BLOCK):
             part = total[k : k + _BLOCK]
             if part.any():
-                narrow = part.astype(np.min_scalar_type(part.max()))
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([narrow.tobytes()], pa.binary())})
+                yield row(k, part)
 
     def merge(batches):
         out = {}
         for b in batches:
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a = np.frombuffer(v, f"u{len(v) // _BLOCK}").astype(np.int32)
-                out[k] = out[k] + a if k in out else a
+                out[k] = out[k] + numbers(v) if k in out else numbers(v)
         for k, a in out.items():
-            narrow = a.astype(np.min_scalar_type(a.max()))
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([narrow.tobytes()], pa.binary())})
+            yield row(k, a)
 
     kind = "k long, v binary"
     found = docs.select("text").mapInArrow(count, kind).repartition(16, "k").mapInArrow(merge, kind).toArrow()
     total = np.zeros(1 << BITS, np.int32)
     for k, v in zip(found.column(0), found.column(1)):
-        v = v.as_py()
-        total[k.as_py() : k.as_py() + _BLOCK] = np.frombuffer(v, f"u{len(v) // _BLOCK}")
+        total[k.as_py() : k.as_py() + _BLOCK] = numbers(v.as_py())
     return total
 
 
@@ -185,7 +190,8 @@ def _as_rows(sigs: list[np.ndarray], width: int) -> np.ndarray:
 def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): edges whose components hold every link; ``nodes`` (node, n, sig, short)."""
     post = nodes.select("node", "n", F.explode("short").alias("gram"))
-    lists = post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    # lists of one set, or of two whose sizes can't link, hold nothing
+    lists = post.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where(f"m > 2 or m = 2 and {den} * least >= {num} * most")
     live = post.select("node", "gram").join(lists, "gram").select("node", "gram", F.expr(f"cast(ceil(m / {_LIST}) as int)").alias("k"))
     rows = live.join(nodes.select("node", "n", "sig"), "node")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)")).withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
@@ -228,6 +234,10 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of edges (a, b): the smallest node reachable. Minimum labels with pointer jumping; each round is a written table."""
+    for _ in range(2):
+        # a node's smallest neighbour takes its place in its other edges: stars remain, and edges between their centres
+        star = edges.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("least"))
+        edges = star.select("a", F.col("least").alias("b")).union(star.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a != b").distinct()
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
