@@ -8,8 +8,8 @@ T = ceil(t * (n + m) / (1 + t)). The search has two levels.
 none of a set's ``n - ceil(t * n) + 1`` rarest lists cannot reach T. In each list a
 leader is compared by parity bits (sets differ in as many n-grams at least as their
 bits do) with the rest; who may link with it, or with someone that may, is joined to
-it. That gives a spanning forest, never the pairs of a list, whose components hold
-every link.
+it. That gives a spanning forest (fewer edges than rows), never the pairs of a list;
+the components of all forests hold every link.
 
 *Blocks.* Whole sets meet in the task of their component, which indexes them: lists
 of n-grams, short ones first. For a set, L = T - K of its lists are long; the rest are
@@ -158,6 +158,14 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -
 def forest(cell: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, leader) that connect, inside each cell (rows of one list, together), all rows that may link. ``sig``: parity bits, one row each."""
     alive, a, b = np.arange(len(cell)), [], []
+    up = np.arange(len(cell))  # joined rows point to one that stands for them
+
+    def found(rows):
+        top = up[rows]
+        while (up[top] != top).any():
+            top = up[top]
+        return top
+
     while len(alive):
         now = cell[alive]
         start = np.concatenate([[True], now[1:] != now[:-1]])
@@ -167,9 +175,12 @@ def forest(cell: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int)
         near = (den * low >= num * high) & ((num + den) * differ <= (den - num) * both)
         # a row near the leader leaves the list; whoever it may link with differs from the leader by both distances at most
         reach = (den * den * low >= num * num * high) & ((num + den) * num * differ <= (den - num) * (num * both + 2 * den * low))
-        pick = reach & (alive != lead)
-        a.append(alive[pick])
-        b.append(lead[pick])
+        mine, other = found(lead), found(alive)
+        pick = reach & (mine != other)
+        other, at = np.unique(other[pick], return_index=True)
+        up[other] = mine[pick][at]
+        a.append(other)
+        b.append(mine[pick][at])
         alive = alive[~near]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
@@ -229,15 +240,14 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
             yield from closed(held)
 
     dealt = rows.repartition("cell").sortWithinPartitions("cell", "turn", "node").select("cell", "node", "n", "as", "sig")
-    return dealt.mapInArrow(edges, "a long, b long").distinct()
+    return written(dealt.mapInArrow(edges, "a long, b long").distinct(), "candidates")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of edges (a, b): the smallest node reachable. Minimum labels with pointer jumping; each round is a written table."""
-    for _ in range(2):
-        # a node's smallest neighbour takes its place in its other edges: stars remain, and edges between their centres
-        star = edges.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("least"))
-        edges = star.select("a", F.col("least").alias("b")).union(star.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a != b").distinct()
+    # a node's smallest neighbour takes its place in its other edges: stars remain, and edges between their centres
+    star = edges.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("least"))
+    edges = star.select("a", F.col("least").alias("b")).union(star.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a != b")
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
