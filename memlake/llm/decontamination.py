@@ -9,13 +9,14 @@ window, carried by the rarest anchor's postings. ``proximity`` does the same wit
 terms that only need to stand within a span.
 
 Scale: postings are kept for anchor terms only; texts never leave their scan.
-What is broadcast comes from the benchmark, whose size is checked
-(``BROADCAST_ROWS``); larger ones are joined by shuffling. Intersection is an
+What is broadcast comes from the benchmark, in blocks of some ``BROADCAST_ROWS``
+anchors; a larger benchmark takes more scans, each like the first. Intersection is an
 aggregation with partial sums, so no list of a term is gathered in one task.
 
 Defined cases: null or empty text: no words, not contaminated. Null items have no
 windows. Equal windows of several items are looked up once and reported for all.
-Rows that share id and text are alike; extra columns are ignored.
+Rows that share id and text are alike, rows without id too; empty tables give no
+hits. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,14 +65,16 @@ def tokens(docs: DataFrame, *more: str) -> DataFrame:
     return w.select("doc_id", "h", *more, F.posexplode("w").alias("pos", "term")).withColumn("term", ascii_lower(F.col("term")))
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, h, start, n, items): all places of all windows."""
+def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, start, n, window_id): all places of all windows; and the windows."""
     windows = written(item_windows(benchmark, window), "windows")
     terms = windows.select("window_id", F.posexplode("terms").alias("off", "term"))
     vocabulary = written(terms.select("term").distinct(), "vocabulary")
-    n_terms = vocabulary.count()
-    counts = tokens(docs).select("term").join(_sized(vocabulary, n_terms), "term").groupBy("term").agg(F.count("*").alias("c"))
-    counts = written(vocabulary.join(counts, "term", "left").withColumn("c", F.coalesce("c", F.lit(0))), "counts")
+    met = tokens(docs).select("term")
+    if vocabulary.count() <= BROADCAST_ROWS:
+        met = met.join(F.broadcast(vocabulary), "term")
+    counts = vocabulary.join(met.groupBy("term").agg(F.count("*").alias("c")), "term", "left")
+    counts = written(counts.withColumn("c", F.coalesce("c", F.lit(0))), "counts")
     # the rarest distinct terms of a window, each at its first offset
     once = terms.groupBy("window_id", "term").agg(F.min("off").alias("off")).join(counts, "term")
     once = once.withColumn("rank", F.row_number().over(Window.partitionBy("window_id").orderBy("c", "term"))).where(F.col("rank") <= anchors)
@@ -83,14 +86,27 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anc
     other = anchor.select("window_id", F.col("rank").alias("other"), F.col("term").alias("mate"), F.col("off").alias("mate_off"))
     pair = (F.col("a.window_id") == F.col("o.window_id")) & (F.col("o.other") == F.when(F.col("rank") == 1, 2).otherwise(F.col("rank") - 1))
     paired = anchor.alias("a").join(other.alias("o"), pair, "left").select("a.*", "mate", (F.col("mate_off") - F.col("off")).alias("shift"))
-    postings = tokens(docs, "w").join(_sized(paired, n_anchor), "term").where(F.col("mate").isNull() | (ascii_lower(F.expr("get(w, pos + shift)")) == F.col("mate")))
-    start = F.expr("pos - off")
-    text = F.when(F.col("rank") == 1, F.when((start >= 0) & (start + F.col("n") <= F.size("w")), F.transform(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), ascii_lower)))
-    placed = postings.select("doc_id", "h", "window_id", (start - F.expr(_first_real())).alias("start"), "n", (F.lit(1) * F.col("rank")).alias("rank"), (text == F.col("terms")).alias("same"))
     need = anchor.groupBy("window_id").agg(F.count("*").alias("need"))
-    met = placed.groupBy("window_id", "doc_id", "h", "start", "n").agg(F.count_distinct("rank").alias("met"), F.bool_or("same").alias("same"))
+    # anchors in blocks of a size that is broadcast: each block reads the texts where they lie, and no text is shuffled
+    n_blocks = max(1, -(-n_anchor // BROADCAST_ROWS))
+    if n_blocks > 1:
+        paired = written(paired.withColumn("part", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(n_blocks).cast("long"))), "paired")
+    found = None
+    for k in range(n_blocks):
+        part = paired.where(F.col("part") == k).drop("part") if n_blocks > 1 else paired
+        now = _placed(docs, part)
+        found = now if found is None else found.unionByName(now)
+    met = found.groupBy("window_id", "doc_id", "h", "start", "n").agg(F.count_distinct("rank").alias("met"), F.bool_or("same").alias("same"))
     met = met.where("same").join(_sized(need, n_anchor), "window_id").where("met = need")
-    return met.join(windows.select("window_id", "items"), "window_id").select("doc_id", "h", "start", "n", "items")
+    return met.select("doc_id", "h", "start", "n", "window_id"), windows
+
+
+def _placed(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Postings of anchor terms, moved to where their window would start; the rarest anchor's compares the whole window."""
+    postings = tokens(docs, "w").join(F.broadcast(anchors), "term").where(F.col("mate").isNull() | (ascii_lower(F.expr("get(w, pos + shift)")) == F.col("mate")))
+    start = F.expr("pos - off")
+    text = F.when(F.col("rank") == 1, F.when((start >= 0) & (start + F.col("n") <= F.size("w")), F.transform(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), ascii_lower)))
+    return postings.select("doc_id", "h", "window_id", (start - F.expr(_first_real())).alias("start"), "n", (F.lit(1) * F.col("rank")).alias("rank"), (text == F.col("terms")).alias("same"))
 
 
 def proximity(docs: DataFrame, phrases: DataFrame, span: int = 20) -> DataFrame:
@@ -109,9 +125,11 @@ def proximity(docs: DataFrame, phrases: DataFrame, span: int = 20) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), contaminated: one row for each row of docs."""
-    hits = written(window_hits(docs, benchmark, window), "hits")
+    hits, windows = window_hits(docs, benchmark, window)
+    hits = written(hits, "hits")
     covered = hits.select("doc_id", "h", F.explode(F.sequence(F.col("start"), F.expr("start + n - 1"))).alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
-    items = hits.select("doc_id", "h", F.explode("items").alias("item")).distinct().groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = hits.select("doc_id", "h", "window_id").distinct().join(windows.select("window_id", "items"), "window_id")
+    items = items.select("doc_id", "h", F.explode("items").alias("item")).distinct().groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
     w = raw_words(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), w.alias("w"))
     rows = rows.select("doc_id", "h", F.expr("cast(size(w) - if(w[0] = '', 1, 0) - if(size(w) > 1 and w[size(w) - 1] = '', 1, 0) as long)").alias("n_words"))
@@ -123,6 +141,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any occurrence of a window, with its own columns only."""
-    bad = window_hits(docs, benchmark, window).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
+    bad = window_hits(docs, benchmark, window)[0].select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
     on = docs["doc_id"].cast("long").eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__h"])
     return docs.join(bad, on, "left_anti").select(docs.columns)

@@ -306,7 +306,7 @@ def scored(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     chunks = max(1, -(-((total.b or 0) + 64 * total.n) // CHUNK_BYTES))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks).cast("long")))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long")))
     counts = _counts(docs)
     model = _model(counts)
     in_chunks = counts.where("kind = 1").select("chunk", "key", "n")

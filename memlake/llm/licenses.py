@@ -7,13 +7,17 @@ and template with small gaps; what a chain covers of the template is its share.
 
 Scale: one pass over each text, no shuffle; templates are a fixed broadcast.
 
+``score`` is the largest share of a template that a chain covers.
+
 Defined cases: null or empty text: no words, no labels, score 0. Long texts are
-scanned whole. Repeated rows are alike; extra columns are ignored.
+scanned whole. Repeated rows are alike, equal spans of several templates all count.
+An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import cache
+import sys
+import types
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +31,19 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 TEMPLATES = {
     "agpl-3.0": ["licensed under the gnu affero general public license version 3"],
     "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd license", "licensed under the bsd license"],
+    "bsd": [
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd license", "licensed under the bsd license"],
     "cc-by-4.0": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc-4.0": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa-4.0": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "lgpl-2.1": ["licensed under the gnu lesser general public license version 2 1"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
 MIN_MATCH = 4
@@ -42,23 +52,23 @@ MIN_COVER = 0.7
 
 
 class SuffixAutomaton:
-    """Generalised: one state for each set of substrings with equal ends; ``at`` has, for a state, an end in each template that holds it."""
+    """Generalised: one state for each set of substrings with equal ends; ``at`` has, for a state of ``least`` tokens or more, all its ends in each template that holds it."""
 
-    def __init__(self, texts: list[list[int]]):
+    def __init__(self, texts: list[list[int]], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         for t in texts:
             last = 0
             for c in t:
                 last = self._add(last, c)
-        self.at: list[dict[int, int]] = [{} for _ in self.len]
+        self.at: list[dict[int, list[int]]] = [{} for _ in self.len]
         for n, t in enumerate(texts):
             s = 0
             for k, c in enumerate(t):
                 s = self.next[s][c]
                 x = s
-                while x > 0 and n not in self.at[x]:
-                    self.at[x][n] = k
+                while x > 0 and self.len[x] >= least:
+                    self.at[x].setdefault(n, []).append(k)
                     x = self.link[x]
 
     def _state(self, length: int) -> int:
@@ -105,15 +115,22 @@ class SuffixAutomaton:
             yield len(ids), n, s
 
 
-@cache
 def scanner() -> tuple[dict[bytes, int], SuffixAutomaton, list[tuple[str, int]]]:
+    """One for each worker process."""
+    kept = sys.modules.setdefault("_memlake_worker", types.ModuleType("_memlake_worker"))
+    if not hasattr(kept, "scanner"):
+        kept.scanner = _scanner()
+    return kept.scanner
+
+
+def _scanner() -> tuple[dict[bytes, int], SuffixAutomaton, list[tuple[str, int]]]:
     vocabulary: dict[bytes, int] = {}
     texts, names = [], []
     for label, notices in TEMPLATES.items():
         for t in notices:
             texts.append([vocabulary.setdefault(w, len(vocabulary)) for w in t.encode().split()])
             names.append((label, len(texts[-1])))
-    return vocabulary, SuffixAutomaton(texts), names
+    return vocabulary, SuffixAutomaton(texts, MIN_MATCH), names
 
 
 def runs(words: list[bytes], vocabulary: dict[bytes, int], least: int):
@@ -132,14 +149,14 @@ def runs(words: list[bytes], vocabulary: dict[bytes, int], least: int):
         k = j + 1
 
 
-def spans(words: list[bytes]) -> list[tuple[str, int, int, float]]:
-    """(label, first word, end word, share of the template) of covered template spans."""
+def spans(words: list[bytes], least: float = MIN_COVER) -> list[tuple[str, int, int, float]]:
+    """(label, first word, end word, share of the template) of template spans covered to ``least`` or more; for each place in a text where a chain of matches ends there is one."""
     vocabulary, automaton, names = scanner()
     by: dict[int, list[tuple[int, int, int]]] = {}
     for start, ids in runs(words, vocabulary, MIN_MATCH):
         for end, length, state in automaton.matches(ids, MIN_MATCH):
-            for t, at in automaton.at[state].items():
-                by.setdefault(t, []).append((start + end - length, length, at - length + 1))
+            for t, ends in automaton.at[state].items():
+                by.setdefault(t, []).extend((start + end - length, length, at - length + 1) for at in ends)
     out = []
     for t, found in by.items():
         label, size = names[t]
@@ -151,7 +168,7 @@ def spans(words: list[bytes]) -> list[tuple[str, int, int, float]]:
                 if te <= a + n and pe <= b + n and a - te <= MAX_GAP and b - pe <= MAX_GAP and over < n and c + n - over > best[0]:
                     best = (c + n - over, first)
             chain = [x for x in chain if a - x[0] <= MAX_GAP] + [(a + n, b + n, best[0], best[1], a + n)]
-            if best[0] >= MIN_COVER * size:
+            if best[0] >= least * size:
                 out.append((label, best[1], a + n, min(1.0, best[0] / size)))
     return out
 
@@ -170,9 +187,10 @@ def scanned(raw: bytes) -> tuple:
             places.append(line.count(b" ", 0, k))
             base.add(label)
             k = line.find(phrase, k + 1)
-    found = spans(words)
+    chains = spans(words, 0)
+    found = [x for x in chains if x[3] >= MIN_COVER]
     labels = sorted(base | {x[0] for x in found})
-    score = max([x[3] for x in found] + [1.0] * bool(base), default=0.0)
+    score = max((x[3] for x in chains), default=0.0)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, len(found)
 
 

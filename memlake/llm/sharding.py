@@ -1,19 +1,21 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers (native).
 
-Rows are numbered 0..N-1 in the order of (doc_id, text CRC, size); a generalised
-Feistel network on Z_a x Z_b, the smallest a * b >= N near the square root, walks
+Rows are numbered 0..N-1 in the order of (hash bucket, doc_id, text CRC, size), which
+their content and N decide; a generalised Feistel network on Z_a x Z_b, the smallest a * b >= N near the square root, walks
 until it lands below N. The image is the row's place in the shuffle: shard and
 slot are its remainder and quotient by the number of shards, so shard counts
 differ by one at most, slots have no gaps, and all of it can be recomputed from
 N, the seed and the row number alone.
 
-Scale: only ids, sizes and checksums are shuffled, never texts. Row numbers come
-from counts by id range (a window inside each range, running sums over ranges in
-two levels); no window holds all rows.
+Scale: only ids, sizes and checksums are shuffled, never texts. Rows alike are
+counted before they are shuffled and numbered as one run, so neither a spread of ids
+nor a repeated row fills a bucket. Row numbers come from counts by bucket (a window
+inside each of some 1024 rows, running sums over buckets in two levels); the upper
+one is a task's work over a millionth of the rows.
 
-Defined cases: null text: size 1, CRC 0. Null ids are numbered like others, in
-ranges of their CRC. Equal rows get places of their own, in any order among
-themselves. An empty table gives no rows. Extra columns are ignored.
+Defined cases: null text: size 1, CRC 0. Null ids are numbered like others. Equal
+rows get places of their own, in any order among themselves. Ids of any size serve.
+An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,19 +49,23 @@ def permuted(x: Column, a: int, b: int, seed: int) -> Column:
     return u * b + v
 
 
-def row_numbers(df: DataFrame, rows_in_range: int = 1024) -> tuple[DataFrame, int]:
+def row_numbers(df: DataFrame, rows_in_bucket: int = 1024, together: int = 1 << 16) -> tuple[DataFrame, int]:
     """``df`` (doc_id, text_crc32, size) with a global, gapless ``row_number``, and the number of rows."""
-    s = df.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    width = max(1, (s.hi - s.lo + 1) * rows_in_range // max(1, s.n)) if s.lo is not None else 1
-    ranged = df.withColumn("part", F.coalesce(F.expr(f"doc_id div {width}L"), F.expr("-1 - text_crc32 div 4194304L")))
-    counts = ranged.groupBy("part").agg(F.count("*").alias("c")).withColumn("upper", F.expr("part div 1024"))
-    # part 0 and part -0 share an upper range by truncation; both keep the order of their parts
-    inner = Window.partitionBy("upper").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    above = counts.groupBy("upper").agg(F.sum("c").alias("t"))
-    above = above.select("upper", F.coalesce(F.sum("t").over(Window.orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    first = counts.withColumn("before", F.coalesce(F.sum("c").over(inner), F.lit(0))).join(above, "upper").select("part", (F.col("base") + F.col("before")).alias("first"))
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    return ranged.withColumn("rn", F.row_number().over(order)).join(first, "part").withColumn("row_number", F.col("first") + F.col("rn") - 1).drop("part", "rn", "first"), s.n
+    key = ["doc_id", "text_crc32", "size"]
+    alike = df.groupBy(*key).agg(F.count("*").alias("c"))
+    n = df.count()
+    buckets = max(1, -(-n // rows_in_bucket))
+    alike = alike.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets).cast("long")))
+    counts = alike.groupBy("bucket").agg(F.sum("c").alias("c")).withColumn("upper", F.expr("bucket div 1024"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    above = counts.groupBy("upper").agg(F.sum("c").alias("t")).select("upper", F.coalesce(F.sum("t").over(earlier("upper")), F.lit(0)).alias("base"))
+    first = counts.withColumn("before", F.coalesce(F.sum("c").over(earlier("upper", "bucket")), F.lit(0))).join(above, "upper").select("bucket", (F.col("base") + F.col("before")).alias("first"))
+    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("rn", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(first, "bucket").withColumn("first", F.col("first") + F.col("rn"))
+    # rows alike take a run of numbers; a long run is made in several tasks
+    runs = placed.select(*key, "first", "c", F.explode(F.expr(f"sequence(0L, (c - 1) div {together}L)")).alias("run")).repartition("run", *key)
+    each = F.expr(f"sequence(first + run * {together}L, first + least(c, (run + 1) * {together}L) - 1)")
+    return runs.select(*key, F.explode(each).alias("row_number")), n
 
 
 def feistel_shards(docs: DataFrame, shards: int = 8, seed: int = 20240229) -> DataFrame:

@@ -8,11 +8,15 @@ sure. An inverted index (token -> rules) matches them to URLs: a rule fires when
 all its tokens have been met; the surest, then longest, then first rule decides.
 
 Scale: URLs are first reduced to distinct token sets with counts; hot hosts
-collapse before any join. Rules are bounded by support and confidence alone,
-whatever their number of tokens, and checked before broadcast.
+collapse before any join. Tokens of the very same URLs are mined as one. Rules are
+bounded by support and confidence alone, whatever their number of tokens; they and
+their matches are counted before they are broadcast. Long chains of nested tokens,
+each of enough support, still make as many sets as they have subsets.
 
 Defined cases: null URLs, or those without "://", have an empty host and path and
-no tokens; no rule fires and they are allowed. With no labels all are allowed.
+no tokens; no rule fires and they are allowed. With no labels all are allowed. URLs
+of any length are read whole, repeated rows judged alike, ties go to the longer rule,
+then to the larger rule id. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,11 +81,19 @@ def mined_rules(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     n = t.count()
     frequent = t.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= max(2, min_support * n)).select(F.col("item").alias("i"))
     numbered = t.withColumn("k", F.monotonically_increasing_id())
-    short = numbered.select("k", F.explode("items").alias("i")).join(frequent, "i", "left_semi").groupBy("k").agg(F.collect_list("i").alias("items"))
+    each = written(numbered.select("k", F.explode("items").alias("i")).join(frequent, "i", "left_semi"), "items")
+    # of tokens that stand in the very same URLs the first is mined for all: else each of their subsets would be a set of its own
+    alike = each.groupBy("i").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k")).alias("x"), F.sum(F.xxhash64("k", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    alike = written(alike.groupBy("c", "x", "y", F.col("i").startswith("label:").alias("is_label")).agg(F.array_sort(F.collect_list("i")).alias("same")).select("same", F.col("same")[0].alias("i")), "alike")
+    short = each.join(alike.select("i"), "i", "left_semi").groupBy("k").agg(F.collect_list("i").alias("items"))
     short = written(short.select("items"), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, 2 / max(n, 1))), minConfidence=min_confidence, numPartitions=8).fit(short)
     rules = model.associationRules.where("consequent[0] like 'label:%' and not exists(antecedent, x -> x like 'label:%')")
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence", "support")
+    rules = rules.select(F.xxhash64("antecedent", "consequent").alias("r"), "antecedent", F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence", "support")
+    # each token of a rule stands for all that are alike with it: a rule for each choice
+    choices = rules.select("r", F.explode("antecedent").alias("i")).join(alike, "i").groupBy("r").agg(F.collect_list("same").alias("same"))
+    product = "aggregate(same, array(cast(array() as array<string>)), (acc, c) -> flatten(transform(acc, x -> transform(c, y -> array_append(x, y)))))"
+    rules = rules.join(choices, "r").select(F.explode(F.expr(product)).alias("tokens"), "verdict", "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
     rules = written(rules.withColumn("rule_id", F.xxhash64("tokens", "verdict")), "rules")
     # pruned: a rule inside which a shorter one of the same verdict is as sure
     # a shorter rule is looked for at its rarest token only
@@ -107,14 +119,13 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def url_verdicts(pages: DataFrame, labels: DataFrame, listed: list[tuple[str, str]] = LISTED) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule, confidence."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    rules = mined_rules(labelled(pages, labels))
+    rules = written(mined_rules(labelled(pages, labels)), "pruned")
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), listed)
-    # tokens that no rule has cannot matter: the sets that remain are few
-    known = rules.select(F.explode("tokens").alias("t")).distinct().agg(F.sort_array(F.collect_list("t")).alias("known"))
-    rows = rows.crossJoin(F.broadcast(known)).withColumn("tokens", F.array_intersect(url_tokens(F.col("host"), F.col("path")), "known")).drop("known")
-    rows = rows.withColumn("rule", rule).withColumn("listed", verdict)
-    best = judged(rows.select("tokens").where("size(tokens) > 0").distinct(), rules)
+    rows = rows.withColumn("tokens", url_tokens(F.col("host"), F.col("path"))).withColumn("rule", rule).withColumn("listed", verdict)
+    best = written(judged(rows.select("tokens").where("size(tokens) > 0").distinct(), rules), "best")
+    if best.count() <= BROADCAST_RULES:
+        best = F.broadcast(best)
     out = rows.join(best, "tokens", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit("allow")).alias("verdict"), F.array_join("fired", " ").alias("mined_rule"), "confidence")
