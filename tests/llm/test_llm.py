@@ -33,6 +33,66 @@ def words(p, t):
     return p.findall((t or "").translate(LOW))
 
 
+def test_empty_tables_and_clashing_names(spark, none):
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for out in (resampling.resampled(none, labels), decontamination.contamination(none, bench), licenses.license_scan(none), rules.quality_rules(none), urls.url_verdicts(spark.createDataFrame([], "page_id long, url string"), labels), extraction.extracted(spark.createDataFrame([], "page_id long, url string, html string"))):
+        assert out.count() == 0
+    odd = spark.createDataFrame([(1, BASE, "x", 2, 3, "y")], "doc_id long, text string, w string, h int, kept int, `__d` string")
+    for out in (rules.kept(odd), resampling.kept(odd, labels), jaccard.deduplicated(odd), decontamination.decontaminated(odd, bench)):
+        assert out.columns == odd.columns and out.count() <= 1
+    assert decontamination.contamination(odd, bench).first().n_words == 300 and sharding.feistel_shards(odd).first().slot == 0
+
+
+def test_proximity(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 40)) for _ in range(20)] + [None]
+    phrases = {1: "A b c", 2: "h h g f", 3: "z a", 4: None}
+    got = {(r.doc_id, r.phrase_id): list(r.starts) for r in decontamination.proximity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(phrases.items()), "phrase_id long, text string"), span=6).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        w = words(ALNUM, t)
+        for p, x in phrases.items():
+            terms = set(words(ALNUM, x))
+            at = [k for k in range(len(w)) if w[k] in terms and terms <= set(w[k : k + 6])]
+            if terms and at:
+                want[d, p] = at
+    assert got == want and want
+
+
+def test_anchors_in_blocks(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, BASE), (2, "one TWO"), (3, "x x x x")], "item_id long, text string")
+    want = sorted(map(str, decontamination.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 100)
+    assert sorted(map(str, decontamination.contamination(docs, bench).collect())) == want
+
+
+def test_license_spans_against_plain_search():
+    """Longest matches by comparing all places, phrases by looking at every place."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["a", "b", "c"]
+    texts = [rng.integers(0, 3, 14).tolist() for _ in range(4)]
+    automaton = licenses.SuffixAutomaton(texts)
+    for _ in range(30):
+        ids = rng.integers(0, 3, 25).tolist()
+        longest = [max((n for n in range(k + 1) for t in texts for j in range(len(t) - n + 1) if t[j : j + n] == ids[k - n : k]), default=0) for k in range(len(ids) + 1)]
+        want = [(k, longest[k]) for k in range(1, len(ids) + 1) if longest[k] >= 3 and (k == len(ids) or longest[k + 1] <= longest[k])]
+        got = list(automaton.matches(ids, 3))
+        assert [(k, n) for k, n, _ in got] == want
+        for k, n, state in got:
+            ends = {(t, j + n - 1) for t, x in enumerate(texts) for j in range(len(x) - n + 1) if x[j : j + n] == ids[k - n : k]}
+            assert {(t, e) for t, at in automaton.at[state].items() for e in at} == ends
+    some = "cc by general public license all rights reserved the".split()
+    for _ in range(40):
+        w = rng.choice(some, 30).tolist()
+        places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        n_words, n_base, first, last, base, labels, score, _ = licenses.scanned(" ".join(w).upper().encode())
+        assert (n_words, n_base, first, last) == (30, len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert base == ",".join(sorted({x for _, x in places})) and set(base.split(",")) - {""} <= set(labels.split(",")) and 0 <= score <= 1
+    mit = licenses.TEMPLATES["mit"][2]
+    assert licenses.scanned(f"Some code. {mit.capitalize()}. More".encode())[5:7] == ("mit", 1.0)
+    assert 0.4 < licenses.scanned(" ".join(mit.split()[:35]).encode())[6] < 0.9
+
+
 def test_jaccard(docs, none):
     out = {r.doc_id: r for r in jaccard.jaccard_components(docs).collect()}
     sets = {}
@@ -203,6 +263,22 @@ def test_extraction_swallows_no_more_than_the_element(tag):
     assert extraction.main_text(f"<article><p>{tag}{PROSE}</p></article>") == PROSE
 
 
+@pytest.mark.parametrize("wrap", ["<div class='overflow-hidden'>{}</div>", "<body class='has-sidebar'>{}", "<div style='overflow:hidden'>{}</div>", "<div data-x=it's>{}</div>"])
+def test_extraction_reads_names_as_names(wrap):
+    assert extraction.main_text(wrap.format(ARTICLE)) == f"Title of it\n\n{PROSE}\n\nShort end."
+    assert extraction.main_text(wrap.format(ARTICLE.replace("<article>", "<article class='post tag-social'>"))) == f"Title of it\n\n{PROSE}\n\nShort end."
+    assert extraction.main_text(f"<article><p>{PROSE}</p><p hidden>{PROSE}</p><p style='display: none'>{PROSE}</p></article>").count(PROSE) == 1
+
+
+@pytest.mark.parametrize("hostile", ['<a "' * 40_000, "<a " * 60_000, "<div>" * 30_000 + "x" + "</b>" * 30_000, "<svg>" * 30_000, '<p a="' * 30_000 + "'" * 9, "<!--" * 40_000, "<b>" * 5_000 + "<p>x" * 5_000])
+def test_extraction_is_linear(hostile):
+    import time
+
+    began = time.process_time()
+    text = extraction.main_text(f"<article><p>{PROSE}</p></article>{hostile}")
+    assert text.startswith(PROSE) and time.process_time() - began < 5
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -391,6 +467,20 @@ def test_sharding(docs, none):
     assert sharding.feistel_shards(none).count() == 0
 
 
+def test_sharding_of_spread_and_repeated_ids(spark):
+    rows = [(0, "a"), (5, "b"), (2**62, "c"), (-(2**63), "d"), (2**63 - 1, "e"), *[(None, f"t{k % 3}") for k in range(50)], *[(7, "same")] * 300]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.feistel_shards(df).collect()
+    assert sorted(r.place for r in out) == sorted(r.row_number for r in out) == list(range(len(rows)))
+    by_shard = collections.defaultdict(list)
+    for r in out:
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values()) and max(map(len, by_shard.values())) - min(map(len, by_shard.values())) <= 1
+    assert collections.Counter((r.doc_id, r.text_crc32) for r in out) == collections.Counter((d, zlib.crc32(t.encode())) for d, t in rows)
+    numbers, n = sharding.row_numbers(df.selectExpr("doc_id", "crc32(encode(text, 'UTF-8')) text_crc32", "2L size"), rows_in_bucket=4, together=16)
+    assert n == len(rows) and sorted(r.row_number for r in numbers.collect()) == list(range(n))
+
+
 def test_resampling(spark):
     rng = np.random.default_rng(5)
     good = [f"g{k}" for k in range(60)]
