@@ -17,8 +17,9 @@ merged, sets met K times or more are candidates, and these are probed in the lon
 lists: by binary search, or by one bit each where a block has a bit row for each set.
 Links are counted in the task and leave it as a number for each set and as a forest.
 
-Scale: n-gram frequencies come from a counter array of fixed size, summed over all
-documents; it orders and never decides. Long lists are split into cells of bounded
+Scale: n-gram frequencies come from a counter array of bounded size (32 MB), summed
+over all documents; it orders and never decides: where it fills up, more lists are
+shared and the result is the same. Long lists are split into cells of bounded
 size, so are components; a cell holds two of their blocks. Nothing that leaves a
 task grows with the pairs of a group. The work on a component, and how often its
 sets are sent, grows with the square of its different sets, as its links do, over
@@ -45,9 +46,8 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import SPACED, arrow_batch, blocks, distinct, shingle_hashes, word_hashes, written
 
-BITS = 22
+LEAST_BITS, MOST_BITS = 22, 25
 _BLOCK = 1 << 16
-_MASK = np.uint64((1 << BITS) - 1)
 #: Bits of the filter for sets to fetch.
 _FILTER = 25
 #: Rows of a list, sets and bytes of a component that one block takes; a cell has two blocks.
@@ -71,38 +71,44 @@ def _sets(col: pa.Array, n: int):
 
 
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents have an n-gram, by its hash modulo 2**BITS: blocks are summed by Spark, 16 MB at any input."""
+    """How many documents have an n-gram, up to 255, by its hash modulo the length: some counters for each n-gram of the input, 2**LEAST_BITS to 2**MOST_BITS of them, summed by Spark."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // 24).bit_length()))
+    mask = np.uint64((1 << bits) - 1)
 
     def row(k, part):
-        narrow = part.astype(np.min_scalar_type(part.max()))
-        return pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([zlib.compress(narrow.tobytes(), 1)], pa.binary())})
+        return pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     def numbers(v):
-        v = zlib.decompress(v)
-        return np.frombuffer(v, f"u{len(v) // _BLOCK}").astype(np.int32)
+        return np.frombuffer(zlib.decompress(v), np.uint8)
 
     def count(batches):
-        total = np.zeros(1 << BITS, np.int32)
+        total = np.zeros(1 << bits, np.uint8)
         for b in batches:
             for _, s in _sets(b.column(0), n):
                 if s is not None:
-                    np.add.at(total, (s & _MASK).astype(np.int64), 1)
+                    at = (s & mask).astype(np.int64)
+                    now = total[at]
+                    total[at] = now + (now < 255)
         for k in range(0, len(total), _BLOCK):
-            part = total[k : k + _BLOCK]
-            if part.any():
-                yield row(k, part)
+            if total[k : k + _BLOCK].any():
+                yield row(k, total[k : k + _BLOCK])
 
     def merge(batches):
         out = {}
         for b in batches:
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out[k] = out[k] + numbers(v) if k in out else numbers(v)
+                now = numbers(v)
+                if k in out:
+                    out[k] += np.minimum(now, 255 - out[k])
+                else:
+                    out[k] = now.copy()
         for k, a in out.items():
             yield row(k, a)
 
     kind = "k long, v binary"
-    found = docs.select("text").mapInArrow(count, kind).repartition(16, "k").mapInArrow(merge, kind).toArrow()
-    total = np.zeros(1 << BITS, np.int32)
+    found = docs.select("text").mapInArrow(count, kind).repartition(64, "k").mapInArrow(merge, kind).toArrow()
+    total = np.zeros(1 << bits, np.uint8)
     for k, v in zip(found.column(0), found.column(1)):
         total[k.as_py() : k.as_py() + _BLOCK] = numbers(v.as_py())
     return total
@@ -142,7 +148,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -
                 if s is None:
                     rows.append((doc, 0, None, None, row, [], []))
                     continue
-                c = counts[(s & _MASK).astype(np.int64)]
+                c = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
                 p = len(s) - -(-num * len(s) // den) + 1
                 o = np.lexsort((s, c))[:p]
                 rows.append((doc, len(s), *_digest(s), row, _parity(s, _width(len(s))), s[o].view(np.int64)))
