@@ -19,7 +19,7 @@ NOISE_NAMES = [
     r"(系统|价格|费用|概率|阈值|机制|规则|服务)$",
     r"^技术\d+$",
     r"^(项目|迁移)",
-    r"^(?i)migration",
+    r"(?i)^migration",
     r"^\d+.*抽$",
     r"^\d+张.*卡牌$",
     r"^(传说|史诗|普通|稀有|特典|神话)卡$",
@@ -75,18 +75,85 @@ def topic_similarity(a: Column, b: Column) -> Column:
     return F.when(F.arrays_overlap(topics(a), topics(b)), 0.7).otherwise(0.0)
 
 
-def claim_kind(c: Column) -> Column:
-    return F.when(c.rlike(r"(?i)\b(must|never|always|required?)\b|禁止|必须|不得|不要"), "constraint").otherwise("fact")
+#: Words of a constraint, and marks in the first 200 characters of a sub-agent's query.
+CONSTRAINT = ["必须", "禁止", "不要", "always", "never", "required", "must"]
+SUB_AGENT = ["CONTEXT", "analyze-mode", "search-mode", "SYSTEM", "System:"]
+#: Words of lasting and of passing facts.
+STATIC_WORDS = ["叫", "姓", "职业是", "工作是", "职位是", "喜欢", "不喜欢", "偏好", "过敏", "信仰", "学历是", "毕业", "专业是", "技能是", "擅长"]
+DYNAMIC_WORDS = ["今天", "昨天", "明天", "本周", "上周", "下周", "正在", "最近", "目前", "暂时", "现在", "计划", "准备", "打算"]
+#: Patterns of a new and of an old statement that contradict each other, and words that add to it.
+CONTRADICTIONS = [
+    (r"现在(.+?)(工作|住|在)", r"以前(.+?)(工作|住|在)"),
+    (r"目前在(.+?)", r"之前在(.+?)"),
+    (r"目前是(.+?)", r"之前是(.+?)"),
+    (r"(不喜欢|不爱)(.+)", r"(喜欢|爱)\1"),
+    (r"(喜欢|爱)(.+)", r"(不喜欢|不爱)\1"),
+    (r"现在(.+?)是(.+)", r"(.+?)是(.+)"),
+    (r"(\d+)(岁|年|月|天)", r"(\d+)\1"),
+]
+NOW_WORDS, PAST_WORDS = ["现在", "目前", "最近", "已经"], ["以前", "之前", "过去", "原来"]
+CHANGE_WORDS = ["换了", "改了", "变成", "不再", "现在", "已经"]
+#: Marks of code (2 points each), and patterns with their points.
+CODE_WORDS = ["def ", "class ", "import ", "from ", "export ", "function ", "const ", "let ", "var ", "async ", "await ", "return ", "interface ", "type ", "enum ", "pub fn ", "fn ", "impl ", "package ", "func ", "struct "]
+CODE_ONCE = [(r"(?m)^\s*(def |class |function |const |async |import |export )", 5), (r"[:：]\s*->\s*\w", 3), (r"(?m)^\s*@\w+", 3), (r"(?m)^    [a-zA-Z_]", 2)]
+MARKDOWN_EACH = [r"(?m)^#{1,6}\s+\S", r"(?m)^\*{3,}$|^-{3,}$|^_{3,}$", r"(?m)^\s*[-*+]\s+\S", r"(?m)^\s*\d+\.\s+\S"]
+MARKDOWN_ONCE = [(r"`{3}\w*\n", 3), (r"\[.+?\]\(.+?\)", 2)]
+CONVERSATION_EACH = [r"(?mi)^(user|assistant|system|human|ai)[:：]\s*", r"(?mi)^(q|a|question|answer)[:：]\s*", r"(?mi)^>\s*(用户|助手|问题|回答)"]
 
 
-def content_type(c: Column) -> Column:
-    """code, markdown or conversation by counts of their marks; the first wins a tie; none: document."""
-    code = F.regexp_count(c, F.lit(r"(?m)^\s*(def |class |import |from |function |const |let |var |public |private |#include|return\b)"))
-    markdown = F.regexp_count(c, F.lit(r"(?m)^(#{1,6} |[-*] |\d+\. |> |```)"))
-    conversation = F.regexp_count(c, F.lit(r"(?m)^\s*\[?(user|assistant|system|human|用户|助手)\]?\s*[:：]"))
-    best = F.greatest(code, markdown, conversation)
-    return F.when(best == 0, "document").when(code == best, "code").when(markdown == best, "markdown").otherwise("conversation")
+def claim_kind(c: Column) -> Column:
+    return F.when(_any(F.lower(c), CONSTRAINT), "constraint").otherwise("fact")
 
 
 def sub_agent_query(c: Column) -> Column:
-    return (F.length(c) > 800) | (c.startswith("[") & F.substring(c, 1, 200).rlike(r"(?i)sub-?agent|task|子任务"))
+    """Opens with a bracket and names a mode early on, or is long. Null or empty: no."""
+    q = F.trim(F.coalesce(c, F.lit("")))
+    return (F.length(q) > 800) | (q.startswith("[") & _any(F.substring(q, 1, 200), SUB_AGENT))
+
+
+def content_type(c: Column) -> Column:
+    """code, markdown or conversation by points; the first wins a tie; none: document; blank: unknown."""
+    points = lambda hit, n: F.when(hit, n).otherwise(0)
+    each = lambda patterns: sum((F.regexp_count(c, F.lit(p)) for p in patterns), F.lit(0))
+    once = lambda patterns: sum((points(c.rlike(p), n) for p, n in patterns), F.lit(0))
+    braces = F.length(F.replace(c, F.lit("}"), F.lit(""))) - F.length(F.replace(c, F.lit("{"), F.lit("")))
+    code = sum((points(c.contains(w), 2) for w in CODE_WORDS), F.lit(0)) + once(CODE_ONCE) + points(c.contains("{") & (F.abs(braces) <= 2), 2)
+    markdown, conversation = each(MARKDOWN_EACH) + once(MARKDOWN_ONCE), each(CONVERSATION_EACH) * 3
+    best = F.greatest(code, markdown, conversation)
+    typed = F.when(best == 0, "document").when(code == best, "code").when(markdown == best, "markdown").otherwise("conversation")
+    return F.when(F.coalesce(F.trim(c), F.lit("")).rlike(r"^\s*$"), "unknown").otherwise(typed)
+
+
+def is_static(c: Column) -> Column:
+    """Whether a text has words of lasting facts and none of passing ones."""
+    return _any(F.lower(c), STATIC_WORDS) & ~_any(F.lower(c), DYNAMIC_WORDS)
+
+
+def contradiction(new: Column, old: Column) -> Column:
+    """struct(contradicts, score): 0.3 for each pair of patterns with unlike values, 0.2 for now against then, 0.2 for words of change; from 0.5 on they contradict."""
+    score = F.lit(0.0)
+    for a, b in CONTRADICTIONS:
+        x, y = F.regexp_extract(new, a, 1), F.regexp_extract(old, b, 1)
+        score = score + F.when((x != "") & (y != "") & (x != y), 0.3).otherwise(0.0)
+    score = score + F.when(_any(new, NOW_WORDS) & _any(old, PAST_WORDS), 0.2).otherwise(0.0) + F.when(_any(new, CHANGE_WORDS), 0.2).otherwise(0.0)
+    score = F.round(F.least(score, F.lit(1.0)), 4)
+    return F.struct((score >= 0.5).alias("contradicts"), score.alias("score"))
+
+
+def stale_suffix(content: Column, relation: Column, age_days: Column, chinese: bool = False, after: int = 90) -> Column:
+    """The content with its relation's label, and how long ago it was recorded if that is long."""
+    #: Labels of relations.
+    labels = {"updates": "更新", "extends": "补充", "derives": "推断"} if chinese else {"updates": "updated", "extends": "extended", "derives": "derived"}
+    label = relation
+    for k, v in labels.items():
+        label = F.when(relation == k, v).otherwise(label)
+    out = F.when(F.coalesce(relation, F.lit("")) == "", content).otherwise(F.concat(content, F.lit(" ["), label, F.lit("]")))
+    age = F.greatest(age_days, F.lit(0)).cast("string")
+    tail = F.concat(F.lit("（记录于 "), age, F.lit(" 天前）")) if chinese else F.concat(F.lit(" (recorded "), age, F.lit(" days ago)"))
+    return F.when(age_days > after, F.concat(out, tail)).otherwise(out)
+
+
+def relation_kept(source: Column, target: Column, kind: Column, confidence: Column, known: list[str]) -> Column:
+    """struct(kind, confidence) of a relation whose fields are all set and that is sure enough (0.3), else null; unknown kinds are related_to."""
+    whole = (F.coalesce(source, F.lit("")) != "") & (F.coalesce(target, F.lit("")) != "") & (F.coalesce(kind, F.lit("")) != "")
+    return F.when(whole & (confidence >= 0.3), F.struct(F.when(kind.isin(known), kind).otherwise("related_to").alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence")))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _HAN = re.compile(r"[一-鿿]")
 _END = re.compile(r"[。！？.!?]+\s*|\n\s*\n")
+_SENTENCE = re.compile(r"[^。！？]+[。！？]")
 _FENCE = re.compile(r"```.*?```", re.S)
 
 
@@ -18,39 +20,46 @@ def estimate(text: str) -> int:
     return len(_HAN.findall(text)) + len(re.findall(r"[a-zA-Z]+", text)) + len(re.findall(r"\d+", text)) + len(re.findall(r"[^\w\s]", text)) // 2
 
 
-def boundaries(text: str) -> list[int]:
-    """Ends of fenced code, paragraphs and sentences outside it."""
-    fences = [m.span() for m in _FENCE.finditer(text)]
-    inside = lambda k: any(a < k < b for a, b in fences)
-    return sorted({b for _, b in fences} | {m.end() for m in _END.finditer(text) if not inside(m.end())} | {len(text)})
+def segments(text: str) -> list[str]:
+    """Stripped pieces between ends of fenced code and, outside it, of paragraphs and sentences."""
+    ends, at = [], 0
+    for fence in [*(m.span() for m in _FENCE.finditer(text)), (len(text), len(text))]:
+        ends += [m.end() for m in _END.finditer(text, at, fence[0])] + [fence[1]]
+        at = fence[1]
+    return [p for a, b in zip([0, *ends], ends) if (p := text[a:b].strip())]
 
 
-def packed(text: str, most: int = 800, least: int = 50) -> list[tuple[str, int]]:
-    """(content, tokens): stripped segments joined up to ``most`` tokens; a tail under ``least`` joins the chunk before."""
+def packed(text: str, most: int = 800, least: int = 50, overlap: int = 50) -> list[tuple[str, int]]:
+    """(content, tokens): runs of segments of ``most`` tokens, cut where the running count passes it; a tail under ``least`` joins the run before. Each run but the first begins with the last sentences of the run before, up to ``overlap`` tokens."""
     if not text.strip():
         return []
     if (n := estimate(text)) <= most:
         return [(text.strip(), n)]
-    out: list[tuple[str, int]] = []
-    now, size, last = [], 0, 0
-    for b in boundaries(text):
-        part, last = text[last:b].strip(), b
-        if not part:
-            continue
-        n = estimate(part)
-        if size + n > most and now:
-            out.append(("".join(now), size))
-            now, size = [], 0
-        now.append(part)
-        size += n
-    if now:
-        if size < least and out:
-            out[-1] = (out[-1][0] + "\n" + "".join(now), out[-1][1] + size)
-        elif size >= least:
-            out.append(("".join(now), size))
+    parts = segments(text)
+    total = np.concatenate([[0], np.cumsum([estimate(p) for p in parts], dtype=np.int64)])
+    cuts = [0]
+    while cuts[-1] < len(parts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, total[cuts[-1]] + most, "right")) - 1))
+    runs = [("".join(parts[i:j]), int(total[j] - total[i])) for i, j in zip(cuts, cuts[1:])]
+    if runs and runs[-1][1] < least:
+        tail, n = runs.pop()
+        if runs:
+            runs[-1] = (f"{runs[-1][0]}\n{tail}", runs[-1][1] + n)
+    out = runs[:1]
+    for text_, n in runs[1:]:
+        before = last_sentences(out[-1][0], overlap)
+        out.append((f"{before}\n{text_}", estimate(f"{before}\n{text_}")) if before else (text_, n))
     return out
 
 
+def last_sentences(text: str, most: int) -> str:
+    """The whole sentences at the end of a text that have ``most`` tokens at most."""
+    found = _SENTENCE.findall(text) or [p for x in re.split(r"[.!?]+", text) if (p := x.strip())]
+    counts = np.cumsum([estimate(p) for p in found[::-1]])
+    keep = int(np.searchsorted(counts, most, "right"))
+    return "".join(found[len(found) - keep :]).strip()
+
+
 def headings(text: str, most: int = 3000, least: int = 300) -> list[str]:
     """Sections by heading; short ones join the one before, long ones split at paragraphs. What stands before the first heading is left out."""
     at = [m.start() for m in re.finditer(r"(?m)^#{1,6} ", text)]
@@ -96,9 +105,12 @@ def incremental(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def conversation_chunks(turns: DataFrame, most: int = 3000) -> DataFrame:
-    """conv_id, chunk, content from (conv_id, turn, role, text): whole turns packed by a running sum of lengths."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = turns.withColumn("chunk", F.floor((F.sum(F.length("text")).over(w) - 1) / most).cast("int"))
-    line = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("text"))
-    g = t.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
-    return g.select("conv_id", "chunk", F.array_join("l.line", "\n").alias("content"))
+    """conv_id, chunk, content from (conv_id, turn, role, text): whole turns in order, a new chunk where the next turn would pass ``most`` characters. A turn that is longer stands alone."""
+    line = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.coalesce("text", F.lit("")))
+    g = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"), F.coalesce(F.length("text"), F.lit(0)).alias("n")))).alias("l"))
+    begin = "cast(null as struct<n: int, chunk: int, of: array<int>>)"
+    full = f"acc is not null and acc.n + x.n > {most}"
+    step = f"struct(if({full} or acc is null, x.n, acc.n + x.n) as n, coalesce(acc.chunk, 0) + if({full}, 1, 0) as chunk, concat(coalesce(acc.of, array()), array(coalesce(acc.chunk, 0) + if({full}, 1, 0))) as of)"
+    g = g.withColumn("of", F.expr(f"aggregate(l, {begin}, (acc, x) -> cast({step} as struct<n: int, chunk: int, of: array<int>>)).of"))
+    each = g.select("conv_id", F.explode(F.arrays_zip("of", "l")).alias("z")).groupBy("conv_id", F.col("z.of").alias("chunk")).agg(F.array_sort(F.collect_list("z.l")).alias("l"))
+    return each.select("conv_id", "chunk", F.array_join("l.line", "\n").alias("content"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.functions.scoring import evidence_strength, prior_confidence, reinforced
+from memlake.functions.scoring import evidence_strength, prior_confidence
 
 POISON_LIMIT = 3
 MOST_CHARS = 1500
@@ -15,6 +15,12 @@ def isolated(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("isolated", F.length("content") > MOST_CHARS)
 
 
+def _moved(confidence, first, left):
+    """A confidence after all its supports, whatever their order: each takes its share of what is missing; one that is unknown begins at the first."""
+    begun = 1 - (1 - F.least(first, F.lit(1.0))) * left / (1 - first * 0.2)
+    return F.when(left.isNull(), confidence).when(confidence.isNull(), F.round(begun, 4)).otherwise(F.round(1 - (1 - confidence) * left, 4))
+
+
 def apply_judgements(evidence: DataFrame, claims: DataFrame, judgements: DataFrame) -> dict[str, DataFrame]:
     """evidence (evidence_id, source_kind, extraction_type, session_id, claim_kind), claims (claim_id, content_confidence, status, session_id), judgements (evidence_id, claim_no, judgment, target_claim_id).
 
@@ -26,10 +32,10 @@ def apply_judgements(evidence: DataFrame, claims: DataFrame, judgements: DataFra
     made = new.select("evidence_id", "claim_no", "claim_kind", F.concat_ws("_", F.lit("cl"), "evidence_id", "claim_no").alias("claim_id"), prior_confidence(F.col("source_kind"), F.col("claim_kind"), F.col("extraction_type")).alias("content_confidence"), F.lit("active").alias("status")).dropDuplicates(["claim_id"])
     edges = new.where("judgment = 'CONFLICT'").select(F.col("target_claim_id").alias("from_claim"), F.concat_ws("_", F.lit("cl"), "evidence_id", "claim_no").alias("to_claim"), F.lit("supersedes").alias("type"), "evidence_id").distinct()
     link = backs.select(F.col("target_claim_id").alias("claim_id"), "evidence_id", F.col("session_id").alias("s"), evidence_strength(F.col("source_kind"), F.col("extraction_type")).alias("w")).distinct()
-    gain = link.join(claims.select("claim_id", "session_id"), "claim_id").where("not (s <=> session_id)").groupBy("claim_id").agg(F.max("w").alias("w"))
+    gain = link.join(claims.select("claim_id", "session_id"), "claim_id").where("not (s <=> session_id)").where("w > 0").groupBy("claim_id").agg(F.product(1 - F.col("w") * 0.2).alias("left"), F.min_by("w", "evidence_id").alias("w"))
     gone = edges.select(F.col("from_claim").alias("claim_id")).distinct().withColumn("gone", F.lit(True))
     state = claims.join(gain, "claim_id", "left").join(gone, "claim_id", "left")
-    state = state.select("claim_id", F.when(F.col("w").isNotNull(), reinforced(F.col("content_confidence"), F.col("w"))).otherwise(F.col("content_confidence")).alias("content_confidence"), F.when(F.col("gone"), "superseded").otherwise(F.col("status")).alias("status"))
+    state = state.select("claim_id", _moved(F.col("content_confidence"), F.col("w"), F.col("left")).alias("content_confidence"), F.when(F.col("gone"), "superseded").otherwise(F.col("status")).alias("status"))
     poison = edges.groupBy("evidence_id").agg(F.count("*").alias("n")).where(F.col("n") > POISON_LIMIT)
     return {"claims": state, "new_claims": made, "edges": edges, "links": link.select("claim_id", "evidence_id"), "poison": poison}
 

@@ -32,7 +32,7 @@ def first_seen(items: DataFrame, key: list[str], order: str = "ordinal") -> Data
 
 
 def fused(items: DataFrame, threshold: float = 0.85, caps: dict[str, int] = CAPS) -> DataFrame:
-    """request_id, ordinal, source, content, position, kept: memories equal to a profile item go first, then near ones of lower priority, then what is over a cap."""
+    """request_id, ordinal, source, content, position: memories equal to a profile item go first, then near ones of lower priority, then what is over a cap."""
     text = F.trim("content")
     profile = items.where("source = 'profile'").select("request_id", text.alias("t")).distinct()
     memory = items.where("source != 'profile'").withColumn("t", text).join(profile, ["request_id", "t"], "left_anti").drop("t")

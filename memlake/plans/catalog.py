@@ -508,7 +508,9 @@ def chunk_documents(t: Tables) -> DataFrame:
     return chunking.chunks(t.documents)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT conv_id, k, n AS size, 0 AS chunk FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.k, CASE WHEN f.size + t.n > 3000 THEN t.n ELSE f.size + t.n END, CASE WHEN f.size + t.n > 3000 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
+SELECT conv_id, chunk::INT AS chunk, string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS content FROM f JOIN t USING (conv_id, k) GROUP BY conv_id, chunk""")
 def chunk_conversations(t: Tables) -> DataFrame:
     return chunking.conversation_chunks(t.conversations)
 
@@ -540,7 +542,7 @@ def reinforce_scores(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(scoring.reinforced(c, w), 4).alias("confidence"))
 
 
-@query()
+@query("""SELECT 'cl_' || user_id AS claim_id, 0.5::DOUBLE AS content_confidence, CASE WHEN max(event_type = 'purchase') THEN 'superseded' ELSE 'active' END AS status FROM events GROUP BY user_id""")
 def claim_reconciliation(t: Tables) -> DataFrame:
     """Events judge claims (one for each user): views support, purchases conflict."""
     e = t.events
