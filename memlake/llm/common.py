@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"{KEY} has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="memlake-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
