@@ -9,7 +9,8 @@ none of a set's ``n - ceil(t * n) + 1`` rarest lists cannot reach T. In each lis
 leader is compared by parity bits (sets differ in as many n-grams at least as their
 bits do) with the rest; who may link with it, or with someone that may, is joined to
 it. That gives a spanning forest (fewer edges than rows), never the pairs of a list;
-the components of all forests hold every link.
+the components of all forests hold every link. Of lists with the very same sets (as
+many, the same first and last, the same XOR of their hashes) one is searched.
 
 *Blocks.* Whole sets meet in the task of their component, which indexes them: lists
 of n-grams, short ones first. For a set, L = T - K of its lists are long; the rest are
@@ -202,8 +203,12 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): edges whose components hold every link; ``nodes`` (node, n, sig, short)."""
     post = nodes.select("node", "n", F.explode("short").alias("gram"))
     # lists of one set, or of two whose sizes can't link, hold nothing
-    lists = post.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where(f"m > 2 or m = 2 and {den} * least >= {num} * most")
-    live = post.select("node", "gram").join(lists, "gram").select("node", "gram", F.expr(f"cast(ceil(m / {_LIST}) as int)").alias("k"))
+    lists = post.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    lists = lists.where(f"m > 2 or m = 2 and {den} * least >= {num} * most")
+    # n-grams of the very same sets (those of copies and of shared passages) make one list, which gives the edges of all
+    lists = lists.groupBy("m", "first", "last", "all").agg(F.min("gram").alias("gram"))
+    lists = written(lists.select("gram", F.expr(f"cast(ceil(m / {_LIST}) as int)").alias("k")), "lists")
+    live = post.select("node", "gram").join(lists, "gram")
     rows = live.join(nodes.select("node", "n", "sig"), "node")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)")).withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
     # a list is dealt by the width of parity rows; a set whose partners may be of the class below is met there too
