@@ -55,7 +55,7 @@ _FILTER = 25
 _LIST = 4096
 _CELL_SETS = 1024
 _CELL_BYTES = 4 << 20
-#: Postings that one step of the forest takes.
+#: Postings that one step of the forest takes; 1024 parity bits count as one more.
 _STEP = 1 << 16
 #: K: occurrences in short lists that make a candidate. Binary probes of one set before bit rows serve.
 OCCURRENCES = 2
@@ -116,8 +116,8 @@ def _parity(s: np.ndarray, width: int) -> np.ndarray:
 
 
 def _width(n: int) -> int:
-    """Bits of a set's parity row: a power of two above its size, 512 to 4096."""
-    return min(4096, max(512, 1 << int(n).bit_length()))
+    """Bits of a set's parity row: a power of two above 5/4 of its size, where bits of unlike sets still differ by more than the forest joins; 512 to 2**17."""
+    return min(1 << 17, max(512, 1 << int(n + n // 4).bit_length()))
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -212,7 +212,7 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     rows = live.join(nodes.select("node", "n", "sig"), "node")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)")).withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
     # a list is dealt by the width of parity rows; a set whose partners may be of the class below is met there too
-    below = f"size(sig) > 8 and n * {num} < {den} * size(sig) * 32"
+    below = f"size(sig) > 8 and 5 * n * {num} < {den} * (128L * size(sig) + 5)"
     rows = rows.withColumn("as", F.explode(F.expr(f"if({below}, array(size(sig), size(sig) div 2), array(size(sig)))")))
     rows = rows.select(F.xxhash64("gram", F.least("block", "with"), F.greatest("block", "with"), "as").alias("cell"), F.xxhash64("node").alias("turn"), "node", "n", "as", "sig")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -220,6 +220,9 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     def edges(batches):
         held, size = [], 0
 
+        def weight(part):
+            return sum(1 + len(s) // 16 for s in part[4])
+
         def closed(part):
             cell, node, n, width = (np.concatenate([x[k] for x in part]) for k in range(4))
             sigs = [s for x in part for s in x[4]]
@@ -232,7 +235,7 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
         for x in batches:
             part = [*(x.column(k).to_numpy(zero_copy_only=False) for k in range(4)), _folded(x.column(4))]
             held.append(part)
-            size += x.num_rows
+            size += weight(part)
             if size < _STEP:
                 continue
             last = part[0][-1]
@@ -240,7 +243,7 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
             if any(cut):
                 yield from closed([[c[:k] for c in h] for h, k in zip(held, cut) if k])
                 held = [[c[k:] for c in h] for h, k in zip(held, cut) if k < len(h[0])]
-                size = sum(len(h[0]) for h in held)
+                size = sum(weight(h) for h in held)
         if held:
             yield from closed(held)
 
