@@ -24,7 +24,8 @@ size, so are components; a cell holds two of their blocks. Nothing that leaves a
 task grows with the pairs of a group. The work on a component, and how often its
 sets are sent, grows with the square of its different sets, as its links do, over
 ``_CELL_SETS``. A Bloom filter of fixed size spares most texts outside components
-the second shuffle; where it fills up, more sets travel and the result is the same.
+the second shuffle, another one spares postings of n-grams that no other set has;
+where they fill up, more sets and postings travel and the result is the same.
 
 Defined cases: null or empty text: no set, its own component. Fewer words than
 n: the whole sequence is the only n-gram. Null ids: linked like all others, but
@@ -51,6 +52,9 @@ _BLOCK = 1 << 16
 _MASK = np.uint64((1 << BITS) - 1)
 #: Bits of the filter for sets to fetch.
 _FILTER = 25
+#: Bits of the filter for n-grams of two sets or more, and low bits of their hashes that it leaves out (they choose the counter).
+_SHARED = 27
+_LOW = 24
 #: Rows of a list, sets and bytes of a component that one block takes; a cell has two blocks.
 _LIST = 4096
 _CELL_SETS = 1024
@@ -199,9 +203,30 @@ def _as_rows(sigs: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+def _shared_postings(nodes: DataFrame) -> DataFrame:
+    """A written table (node, n, gram): the postings of n-grams of two sets at least, and others that the filter lets by. Most n-grams are one set's alone; of these only 40 bits are shuffled, once."""
+    met = nodes.select(F.explode("short").alias("gram")).groupBy(F.expr(f"shiftrightunsigned(gram, {_LOW})").alias("key")).agg(F.count("*").alias("m"))
+    shared = nodes.sparkSession.sparkContext.broadcast(_filter(met.where("m > 1"), _SHARED))
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("gram", pa.int64())])
+
+    def pick(batches):
+        words = shared.value
+        for b in batches:
+            gram = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            key = gram.view(np.uint64) >> np.uint64(_LOW)
+            word = words[((key >> np.uint64(6)) & np.uint64(len(words) - 1)).astype(np.int64)]
+            at = np.flatnonzero(word >> (key & np.uint64(63)) & np.uint64(1))
+            row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy(zero_copy_only=False))[at]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(gram[at])], schema=schema)
+
+    out = written(nodes.select("node", "n", "short").mapInArrow(pick, "node long, n long, gram long"), "postings")
+    shared.destroy()
+    return out
+
+
 def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): edges whose components hold every link; ``nodes`` (node, n, sig, short)."""
-    post = nodes.select("node", "n", F.explode("short").alias("gram"))
+    post = _shared_postings(nodes)
     # lists of one set, or of two whose sizes can't link, hold nothing
     lists = post.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("all"))
     lists = lists.where(f"m > 2 or m = 2 and {den} * least >= {num} * most")
@@ -346,11 +371,11 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
     return links, root
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2**_FILTER bits of the column ``key``, as 64-bit words."""
-    found = keys.select(F.expr(f"shiftrightunsigned(key, 6) & {(1 << _FILTER - 6) - 1}").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+def _filter(keys: DataFrame, bits: int = _FILTER) -> np.ndarray:
+    """A Bloom filter of 2**bits bits of the column ``key``, as 64-bit words."""
+    found = keys.select(F.expr(f"shiftrightunsigned(key, 6) & {(1 << bits - 6) - 1}").alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
     found = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << _FILTER - 6, np.int64)
+    out = np.zeros(1 << bits - 6, np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out.view(np.uint64)
 
