@@ -187,6 +187,20 @@ def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination, row by row. No BLAS or LAPACK: their threads can wait for ever beside the driver's JVM."""
+    n = len(basis)
+    both = np.concatenate([basis, np.eye(n)], axis=1)
+    for k in range(n):
+        top = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
 def cutting_stock(demand: np.ndarray, most_rounds: int = 2000) -> list[tuple[int, np.ndarray]]:
     """demand[c]: pieces of size c (1..capacity). Patterns as (times used, counts by size) that cover the demand exactly."""
     capacity = len(demand) - 1
@@ -198,8 +212,8 @@ def cutting_stock(demand: np.ndarray, most_rounds: int = 2000) -> list[tuple[int
     basis = np.diag([float(capacity // c) for c in used])
     for turn in range(most_rounds):
         if turn % 64 == 0:
-            inverse = np.linalg.inv(basis)
-        x, y = inverse @ n, inverse.sum(axis=0)
+            inverse = inverted(basis)
+        x, y = (inverse * n).sum(axis=1), inverse.sum(axis=0)
         value = np.full(capacity + 1, -1.0)
         value[used] = y
         worth, counts = knapsack(value, capacity)
@@ -209,14 +223,14 @@ def cutting_stock(demand: np.ndarray, most_rounds: int = 2000) -> list[tuple[int
         column = np.zeros(len(used))
         for c in np.flatnonzero(counts):
             column[pos[int(c)]] = counts[c]
-        d = inverse @ column
+        d = (inverse * column).sum(axis=1)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         leaving = int(np.argmin(ratio))
         basis[:, leaving] = column
         pivot = inverse[leaving] / d[leaving]
-        inverse -= np.outer(d, pivot)
+        inverse -= d[:, None] * pivot
         inverse[leaving] = pivot
-    x = np.maximum(np.linalg.solve(basis, n), 0)
+    x = np.maximum((inverted(basis) * n).sum(axis=1), 0)
     left, out = demand.astype(np.int64).copy(), []
     for k in np.argsort(-x):
         counts = np.zeros(capacity + 1, np.int64)
