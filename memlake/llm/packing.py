@@ -77,13 +77,14 @@ def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Encoder:
     """Ids of texts. A unit is encoded when it is first met; its ids are kept by its hash, for at most ``_KEPT_UNITS`` units."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, split=units, lower: bool = True, end: int = END):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.split, self.lower, self.end = split, lower, end
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -102,10 +103,9 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with its end, and the n+1 bounds of the rows."""
-        low = _LOWER[data]
         raw = data.tobytes()
-        starts, ends, first = units(data, bounds)
-        h = span_hashes(low, starts, ends)
+        starts, ends, first = self.split(data, bounds)
+        h = span_hashes(_LOWER[data] if self.lower else data, starts, ends)
         met = pa.array(h).dictionary_encode()
         known, which = met.dictionary.to_numpy(), met.indices.to_numpy()
         if len(self.hashes) > _KEPT_UNITS:
@@ -125,7 +125,7 @@ class Encoder:
         lengths = np.ones(len(h) + n, np.int64)
         lengths[at] = length[which]
         cuts = np.concatenate([[0], np.cumsum(lengths)])
-        out = np.full(cuts[-1], END, "<u4")
+        out = np.full(cuts[-1], self.end, "<u4")
         to = np.repeat(cuts[at] - np.concatenate([[0], np.cumsum(length[which])[:-1]]) if len(h) else cuts[:0], length[which])
         source = np.repeat(begin[which] - np.concatenate([[0], np.cumsum(length[which])[:-1]]) if len(h) else cuts[:0], length[which])
         k = np.arange(len(to))
@@ -141,16 +141,17 @@ class Encoder:
             odd = any(t in raw for t in self.special)
             for r in range(j - i):
                 if odd and any(t in raw[bounds[r] : bounds[r + 1]] for t in self.special):
-                    yield np.append(np.asarray(self.tokenizer.encode(col[i + r].as_py(), add_special_tokens=False).ids, "<u4"), np.uint32(END)).astype("<u4")
+                    yield np.append(np.asarray(self.tokenizer.encode(col[i + r].as_py(), add_special_tokens=False).ids, "<u4"), np.uint32(self.end)).astype("<u4")
                 else:
                     yield ids[at[r] : at[r + 1]]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, split=units, lower: bool = True, end: int = END) -> Encoder:
     """One for each worker process."""
     kept = sys.modules.setdefault("_memlake_worker", types.ModuleType("_memlake_worker"))
-    if getattr(kept, "encoder_path", None) != path:
-        kept.encoder, kept.encoder_path = Encoder(path), path
+    asked = (path, split.__name__, lower, end)
+    if getattr(kept, "encoder_of", None) != asked:
+        kept.encoder, kept.encoder_of = Encoder(path, split, lower, end), asked
     return kept.encoder
 
 
@@ -261,8 +262,13 @@ def first_fit_decreasing(left: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, step: int = STEP) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, size).withColumn("cls", F.expr(f"cast((length + {step - 1}) div {step} as int)")), "pieces")
+    return dealt(pieces(docs, tokenizer, size), size, step, cutting_stock).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def dealt(cut: DataFrame, size: int, step: int, patterns) -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, ...) with sequence_id and offset, by the patterns made of the counts of their length classes."""
+    spark = cut.sparkSession
+    cut = written(cut.withColumn("cls", F.expr(f"cast((length + {step - 1}) div {step} as int)")), "pieces")
     salts = max(16, cut.count() // 50_000)
     cut = cut.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32), {salts})"))
     counts = written(cut.groupBy("cls", "salt").agg(F.count("*").alias("c")), "classes")
@@ -270,7 +276,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, step
     for r in counts.groupBy("cls").agg(F.sum("c").alias("c")).collect():
         demand[r.cls] = r.c
     table, sequence, rank = [], 0, np.zeros(len(demand), np.int64)
-    for times, pattern in cutting_stock(demand):
+    for times, pattern in patterns(demand):
         for c in np.flatnonzero(pattern):
             each = int(pattern[c])
             table.append((int(c), int(rank[c]), int(rank[c]) + times * each, each, sequence))
@@ -282,6 +288,6 @@ def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, step
     inside = Window.partitionBy("cls", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = cut.withColumn("rn", F.row_number().over(inside)).join(offsets, ["cls", "salt"]).withColumn("rank", F.col("first") + F.col("rn") - 1)
     # the table of places is bounded by patterns and classes, not by data
-    dealt = ranked.join(F.broadcast(places), "cls").where("rank >= lo and rank < hi").withColumn("sequence_id", F.expr("base + (rank - lo) div each"))
+    placed = ranked.join(F.broadcast(places), "cls").where("rank >= lo and rank < hi").withColumn("sequence_id", F.expr("base + (rank - lo) div each"))
     along = Window.partitionBy("sequence_id").orderBy(F.desc("cls"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(along), F.lit(0)).alias("offset"))
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0))).drop("cls", "salt", "rn", "first", "rank", "lo", "hi", "each", "base")

@@ -500,3 +500,14 @@ def test_resampling(spark):
 def test_kth_largest(spark):
     df = spark.range(1000).selectExpr("cast(id * id as double) as x")
     assert resampling.kth_largest(df, "x", 10, bins=8, few=4) == 990.0**2
+
+
+def test_cutting_stock_over_all_classes_beside_the_jvm(spark):
+    """As many classes as in production: the driver's algebra has to return while the JVM is up."""
+    demand = np.random.default_rng(3).integers(1, 4000, 129)
+    demand[0] = 0
+    found = packing.cutting_stock(demand)
+    assert (sum(t * c for t, c in found) == demand).all()
+    assert sum(t for t, _ in found) <= sum(t for t, _ in packing.first_fit_decreasing(demand))
+    m = np.random.default_rng(4).normal(size=(60, 60))
+    assert np.abs((packing.inverted(m)[:, :, None] * m[None]).sum(axis=1) - np.eye(60)).max() < 1e-8
