@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bestfit, decontamination, extraction, jaccard, language, licenses, packing, resampling, rules, sharding, urls
+from memlake.llm import bestfit, decontamination, extraction, jaccard, language, licenses, packing, resampling, rules, sharding, trie, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,12 +54,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.best_fit_packed(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_license_scan, op4_html_extraction, op5_quality_rules, op6_url_filter, op7_ngram_jaccard_join, op8_packing, op9_lm_scoring, op10_sharding, op12_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_license_scan, op4_html_extraction, op5_quality_rules, op6_url_filter, op7_ngram_jaccard_join, op8_packing, op9_lm_scoring, op10_sharding, op11_conversation_prefix_trie, op12_best_fit_packing)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
