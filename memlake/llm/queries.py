@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bestfit, decontamination, extraction, jaccard, language, licenses, packing, resampling, rules, sharding, trie, urls
+from memlake.llm import bestfit, collocations, decontamination, extraction, jaccard, language, licenses, packing, resampling, rules, sharding, trie, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.best_fit_packed(_read(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_license_scan, op4_html_extraction, op5_quality_rules, op6_url_filter, op7_ngram_jaccard_join, op8_packing, op9_lm_scoring, op10_sharding, op11_conversation_prefix_trie, op12_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_license_scan, op4_html_extraction, op5_quality_rules, op6_url_filter, op7_ngram_jaccard_join, op8_packing, op9_lm_scoring, op10_sharding, op11_conversation_prefix_trie, op12_best_fit_packing, op13_phrase_collocations)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -82,6 +86,20 @@ cov AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(ra
 it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op13_phrase_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (VALUES (1), (2), (3)) s(k)),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND c >= 10),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, j.i, array_to_string(w[1:j.i], ' ') AS x, array_to_string(w[j.i + 1:], ' ') AS y FROM c JOIN (VALUES (1), (2)) j(i) ON j.i < c.k),
+s AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, i, fx.c AS l, fy.c AS r, ((1000000::HUGEINT * a * a) // (fx.c::HUGEINT * fy.c))::BIGINT AS score
+FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer ON best.k = 2 AND longer.lang = best.lang AND longer.phrase = best.phrase WHERE longer.a IS NULL OR 100 * longer.a < 50 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
 
 
