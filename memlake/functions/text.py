@@ -40,6 +40,12 @@ def dense_token_estimate(c: Column) -> Column:
     return F.when(n == 0, 0).when(han_count(c) / n > 0.3, F.regexp_count(c, F.lit(r"\S"))).otherwise(F.greatest(F.floor(n / 4).cast("int"), F.lit(1)))
 
 
+def visible_token_estimate(c: Column) -> Column:
+    """Mostly Han: visible characters; else a quarter of them, 1 at least."""
+    visible = F.regexp_count(c, F.lit(r"(?U)\S"))
+    return F.when(han_count(c) / F.greatest(F.length(c), F.lit(1)) > 0.3, visible).otherwise(F.greatest(F.floor(visible / 4).cast("int"), F.lit(1)))
+
+
 def document_language(c: Column) -> Column:
     visible = F.regexp_count(c, F.lit(r"\S"))
     return F.when((visible > 0) & (han_count(c) / F.greatest(visible, F.lit(1)) > 0.3), "zh").otherwise("en")

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import text as texts
+from memlake.operators.code import dense_estimate
+
 _HAN = re.compile(r"[一-鿿]")
 _END = re.compile(r"[。！？.!?]+\s*|\n\s*\n")
 _SENTENCE = re.compile(r"[^。！？]+[。！？]")
@@ -97,6 +100,69 @@ def chunks(docs: DataFrame, kind: str = "text", most: int = 800, least: int = 50
     return out.withColumn("content_hash", F.sha2(F.encode("content", "UTF-8"), 256))
 
 
+_SENTENCE_END = re.compile(r"[。！？.!?]\s*")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+
+
+def document_pieces(text: str | None, most: int = 3000, least: int = 200, overlap: int = 5) -> list[tuple[str, str, int, int, int]]:
+    """(content, what is new in it, tokens, first character, end character): runs of segments that end with a paragraph or sentence, cut where the running count would pass ``most``.
+
+    A last run under ``least`` tokens joins the run before. Every run but the first
+    begins with the last ``overlap`` lines of the run before, what that took over
+    included. Offsets are those of a run's own segments.
+    """
+    if not text or not text.strip():
+        return []
+    total = dense_estimate(text)
+    if total <= most:
+        whole = text.strip()
+        return [(whole, whole, dense_estimate(whole), 0, len(text))]
+    ends = sorted({m.end() for p in (_PARAGRAPH, _SENTENCE_END) for m in p.finditer(text)} | {len(text)})
+    parts = [(a, b, p) for a, b in zip([0, *ends], ends) if (p := text[a:b].strip())]
+    sums = np.concatenate([[0], np.cumsum([dense_estimate(p) for *_, p in parts])])
+    cuts = [0]
+    while cuts[-1] < len(parts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(sums, sums[cuts[-1]] + most, "right")) - 1))
+    runs = []
+    for i, j in zip(cuts, cuts[1:]):
+        body = "".join(p for *_, p in parts[i:j])
+        last = j == len(parts)
+        if last and runs and sums[j] - sums[i] < least:
+            content, new, n, a, b = runs[-1]
+            runs[-1] = (f"{content}\n{body}", new, n + int(sums[j] - sums[i]), a, b)
+            continue
+        end = len(text) if last else parts[j][0]
+        runs.append((body, body, dense_estimate(body), end - len(body), end))
+    for k in range(1, len(runs) if overlap > 0 else 0):
+        before = "\n".join(runs[k - 1][0].split("\n")[-overlap:])
+        if before.strip():
+            content, new, _, a, b = runs[k]
+            runs[k] = (f"{before}\n{content}", new, dense_estimate(f"{before}\n{content}"), a, b)
+    return runs
+
+
+def context_header(title, summary, most_tokens: int = 150):
+    """What is put before an embedded chunk: the document's theme and its summary, cut to four times ``most_tokens`` characters where it has more tokens. Empty without both."""
+    short = F.when(texts.visible_token_estimate(summary) <= most_tokens, summary).otherwise(F.concat(F.substring(summary, 1, 4 * most_tokens), F.lit("...")))
+    line = lambda name, c: F.when(F.length(c) > 0, F.concat(F.lit(name), c))
+    return F.concat_ws("\n", line("文档主题: ", title), F.when(F.length(summary) > 0, F.concat(F.lit("文档摘要: "), short)))
+
+
+def document_chunks(docs: DataFrame, most: int = 3000, least: int = 200, overlap: int = 5) -> DataFrame:
+    """doc_id, position, content, embedded_content, token_count, start_offset, end_offset from (doc_id, text, title, summary): chunks with the lines before them, embedded without these lines but under a header."""
+    columns = ["content", "new", "token_count", "start_offset", "end_offset"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(doc, head, k, *piece) for doc, text, head in zip(b["doc_id"], b["text"], b["header"]) for k, piece in enumerate(document_pieces(text, most, least, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "header", "position", *columns])
+
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), context_header(F.col("title"), F.col("summary")).alias("header"))
+    out = out.mapInPandas(fold, "doc_id long, header string, position int, content string, new string, token_count int, start_offset int, end_offset int")
+    embedded = F.when(F.col("header") == "", F.col("new")).otherwise(F.concat("header", F.lit("\n\n"), "new"))
+    return out.select("doc_id", "position", "content", embedded.alias("embedded_content"), "token_count", "start_offset", "end_offset")
+
+
 def incremental(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, position, action (keep, update, insert, delete) by comparing hashes at each position."""
     a, b = old.select("doc_id", "position", F.col("content_hash").alias("was")), new.select("doc_id", "position", F.col("content_hash").alias("now"))

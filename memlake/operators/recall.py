@@ -43,6 +43,7 @@ def fused(items: DataFrame, threshold: float = 0.85, caps: dict[str, int] = CAPS
 
 
 def hybrid(memories: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Two ranked lists by similarity; memories first at ties."""
+    """Two ranked lists of each query by similarity (to 9 places); memories first at ties."""
     both = memories.withColumn("source_rank", F.lit(0)).unionByName(chunks.withColumn("source_rank", F.lit(1)))
-    return both.orderBy(F.desc("similarity"), "source_rank", "id").limit(n)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "source_rank", "id")
+    return both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")

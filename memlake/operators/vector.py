@@ -1,36 +1,10 @@
-"""Similarity search and semantic deduplication.
-
-Queries are the small side: their number is bounded by the caller, checked before
-they are broadcast; the corpus is read once and each task keeps k rows a query.
-"""
+"""Semantic deduplication inside small requests. Searches are in ``ann``."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from memlake.functions.vectors import cosine_normed, norm
-
-MOST_QUERIES = 10_000
-
-
-def similarities(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """queries (query_id, query_vec) against corpus (id, vec): query_id, id, similarity. A stated query set against all rows."""
-    q = queries.select("query_id", "query_vec", norm(F.col("query_vec")).alias("qn"))
-    if q.count() <= MOST_QUERIES:
-        q = F.broadcast(q)
-    c = corpus.withColumn("cn", norm(F.col("vec")))
-    return c.crossJoin(q).withColumn("similarity", cosine_normed(F.col("query_vec"), F.col("qn"), F.col("vec"), F.col("cn"))).drop("query_vec", "vec", "qn", "cn")
-
-
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = 0.6, strict: bool = False) -> DataFrame:
-    s = similarities(queries, corpus)
-    s = s.where(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
+from pyspark.sql import DataFrame
 
 def greedy_dedup(items: DataFrame, threshold: float = 0.85) -> DataFrame:
     """request_id, ordinal, source, priority, embedding -> kept, duplicate_of, position. Inside a request: by falling priority, an item goes if it is as near to a kept one; items without vectors stay, last. Requests are small by their caps."""

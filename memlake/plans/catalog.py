@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import rules, scoring, text
-from memlake.functions.vectors import cosine, cosine_normed, norm
-from memlake.operators import chunking, claims, graph, recall, relational, vector
+from memlake.operators import ann, chunking, claims, graph, recall, relational, vector
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -48,118 +47,89 @@ def oracle_sql() -> dict[str, str]:
 
 
 # ---------------------------------------------------------------- vectors
+# Queries of a search are all rows whose id is divisible by 50, against all rows.
 _SIM = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
+_EVERY_50 = "q.vec_id % 50 = 0"
+_BY_SIM = f"PARTITION BY q.vec_id ORDER BY round({_SIM}, 9) DESC, e.vec_id"
 
 
-def _search(t: Tables, seeds: str):
-    q = t.embeddings.where(seeds).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+def _searched(t: Tables) -> tuple[DataFrame, DataFrame]:
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
     return q, t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
 
 
-def _topk(t: Tables, seeds: str) -> DataFrame:
-    q, c = _search(t, seeds)
-    s = vector.similarities(q, c).where("query_id <> id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+_TOP_10 = f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity, row_number() OVER ({_BY_SIM})::INT AS rank
+FROM embeddings q, embeddings e WHERE {_EVERY_50} AND q.vec_id <> e.vec_id QUALIFY rank <= 10"""
 
 
-def _threshold(t: Tables, seeds: str) -> DataFrame:
-    q = t.embeddings.where(seeds).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("query_vec"))
-    c = t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
-    s = c.join(F.broadcast(q), F.col("label") == F.col("ql")).withColumn("similarity", cosine(F.col("query_vec"), F.col("vec"))).where("similarity >= 0.25")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 10").select("query_id", "id", F.round("similarity", 6).alias("similarity"))
-
-
-def _nearest(t: Tables, seeds: str) -> DataFrame:
-    q, c = _search(t, seeds)
-    s = vector.similarities(q, c).where("query_id <> id and similarity > 0.2")
-    return s.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("n"))).alias("m")).select("query_id", (-F.col("m.n")).alias("id"), F.round("m.similarity", 6).alias("similarity"))
-
-
-def _prefiltered(t: Tables, seeds: str) -> DataFrame:
-    q, c = _search(t, seeds)
-    s = vector.similarities(q, c.where("label < 6")).withColumn("confidence", F.when(F.col("label") % 4 != 0, (F.col("label") % 4) * 0.25))
-    s = s.withColumn("final", (F.col("similarity") + 1) / 2 * F.coalesce("confidence", F.lit(scoring.UNKNOWN_FACTOR)))
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "id"))).where("rank <= 16")
-    return s.select("query_id", "id", F.round("final", 6).alias("final"), "rank", F.when(F.col("rank") <= 8, "ranked").otherwise("cap_limit").alias("state"), F.coalesce(F.col("confidence") < 0.4, F.lit(True)).alias("low_confidence"))
-
-
-@query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id)::INT AS rank
-FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND q.vec_id <> e.vec_id QUALIFY rank <= 10""")
+@query(_TOP_10)
 def vector_topk(t: Tables) -> DataFrame:
-    return _topk(t, "vec_id < 20")
+    return ann.exact_top_k(*_searched(t), 10, but_self=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e
-WHERE q.vec_id < 20 AND q.label = e.label AND {_SIM} >= 0.25
-QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) <= 10""")
+WHERE {_EVERY_50} AND q.label = e.label AND {_SIM} >= 0.25 QUALIFY row_number() OVER ({_BY_SIM}) <= 10""")
 def vector_threshold_search(t: Tables) -> DataFrame:
-    return _threshold(t, "vec_id < 20")
+    return ann.exact_top_k(*_searched(t), 10, 0.25, by=["label"]).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e
-WHERE q.vec_id < 20 AND q.vec_id <> e.vec_id AND {_SIM} > 0.2 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) = 1""")
+WHERE {_EVERY_50} AND q.vec_id <> e.vec_id AND {_SIM} > 0.2 QUALIFY row_number() OVER ({_BY_SIM}) = 1""")
 def nearest_duplicate_excluding_self(t: Tables) -> DataFrame:
-    return _nearest(t, "vec_id < 20")
-
-
-@query(f"""SELECT e.vec_id AS id, q.vec_id AS other, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e WHERE e.vec_id < q.vec_id AND e.label = q.label AND {_SIM} >= 0.35""")
-def pairwise_near_duplicates(t: Tables) -> DataFrame:
-    """Candidates of one container only: containers bound the pairs."""
-    a = t.embeddings.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n"))
-    b = a.select(F.col("id").alias("other"), "label", F.col("v").alias("w"), F.col("n").alias("m"))
-    s = a.join(b, "label").where("id < other").withColumn("similarity", cosine_normed(F.col("v"), F.col("n"), F.col("w"), F.col("m")))
-    return s.where("similarity >= 0.35").select("id", "other", F.round("similarity", 6).alias("similarity"))
+    return ann.exact_top_k(*_searched(t), 1, 0.2, strict=True, but_self=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, ({_SIM} + 1) / 2 AS relevance, CASE e.label % 4 WHEN 0 THEN NULL ELSE (e.label % 4) * 0.25 END AS confidence FROM embeddings q, embeddings e WHERE q.vec_id < 10 AND e.label < 6),
-f AS (SELECT *, relevance * coalesce(confidence, 0.4)::DOUBLE AS final FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id)::INT AS rank FROM f)
-SELECT query_id, id, round(final, 6) AS final, rank, CASE WHEN rank <= 8 THEN 'ranked' ELSE 'cap_limit' END AS state, coalesce(confidence < 0.4, true) AS low_confidence FROM r WHERE rank <= 16""")
-def prefilter_then_rank(t: Tables) -> DataFrame:
-    return _prefiltered(t, "vec_id < 10")
+def _index(t: Tables) -> tuple[ann.Index, DataFrame, DataFrame]:
+    q, rows = _searched(t)
+    return ann.build(rows), q, rows
 
 
-@query(f"""WITH s AS (SELECT e.vec_id AS id, {_SIM} AS sim, e.vec_id % 2 AS source_rank FROM embeddings q, embeddings e WHERE q.vec_id = 0 AND e.vec_id <> 0)
-SELECT id, source_rank::INT AS source_rank, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, source_rank, id LIMIT 12""")
-def hybrid_merge(t: Tables) -> DataFrame:
-    q, c = _search(t, "vec_id = 0")
-    s = vector.similarities(q, c).where("id <> 0").select("id", "similarity")
-    return recall.hybrid(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 12).select("id", "source_rank", F.round("similarity", 6).alias("similarity"))
-
-
-# The SQL of the five searches above asks for a few rows only; these ask for the stated query set, every row whose id is divisible by 50.
-_EVERY_50 = "vec_id % 50 = 0"
+@query()
+def ann_top_k(t: Tables) -> DataFrame:
+    """The ten nearest rows by the index, with as many probes as a bounded sample of rows asked for."""
+    index, q, rows = _index(t)
+    return ann.search(index, q, 10, ann.calibrated(index, rows), but_self=True).select("query_id", "id", "similarity", "rank")
 
 
-@query(_SQL["vector_topk"].replace("q.vec_id < 20", f"q.{_EVERY_50}"))
-def vector_topk_every_50(t: Tables) -> DataFrame:
-    return _topk(t, _EVERY_50)
+@query()
+def ann_recall(t: Tables) -> DataFrame:
+    """What of the exact ten nearest rows the index finds, for each query."""
+    index, q, rows = _index(t)
+    return ann.recall(ann.search(index, q, 10, ann.calibrated(index, rows), but_self=True), ann.exact_top_k(q, rows, 10, but_self=True))
 
 
-@query(_SQL["vector_threshold_search"].replace("q.vec_id < 20", f"q.{_EVERY_50}"))
-def vector_threshold_search_every_50(t: Tables) -> DataFrame:
-    return _threshold(t, _EVERY_50)
+@query(_TOP_10)
+def ann_all_lists(t: Tables) -> DataFrame:
+    """The index's exact way: every list is probed."""
+    index, q, _ = _index(t)
+    return ann.search(index, q, 10, None, but_self=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query(_SQL["nearest_duplicate_excluding_self"].replace("q.vec_id < 20", f"q.{_EVERY_50}"))
-def nearest_duplicate_excluding_self_every_50(t: Tables) -> DataFrame:
-    return _nearest(t, _EVERY_50)
+@query(f"""SELECT e.vec_id AS id, q.vec_id AS other, round({_SIM}, 6) AS similarity FROM embeddings q, embeddings e WHERE e.vec_id < q.vec_id AND e.label = q.label AND {_SIM} >= 0.35""")
+def pairwise_near_duplicates(t: Tables) -> DataFrame:
+    """Of one container only, in blocks."""
+    return ann.pairs(_searched(t)[1], 0.35, ["label"]).select("id", "other", F.round("similarity", 6).alias("similarity"))
 
 
-@query(_SQL["prefilter_then_rank"].replace("q.vec_id < 10", f"q.{_EVERY_50}"))
-def prefilter_then_rank_every_50(t: Tables) -> DataFrame:
-    return _prefiltered(t, _EVERY_50)
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, ({_SIM} + 1) / 2 AS relevance, CASE e.label % 4 WHEN 0 THEN NULL ELSE (e.label % 4) * 0.25 END AS confidence FROM embeddings q, embeddings e WHERE {_EVERY_50} AND e.label < 6),
+f AS (SELECT *, relevance * coalesce(confidence, 0.4)::DOUBLE AS final FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, id)::INT AS rank FROM f)
+SELECT query_id, id, round(final, 6) AS final, rank, CASE WHEN rank <= 8 THEN 'ranked' ELSE 'cap_limit' END AS state, coalesce(confidence < 0.4, true) AS low_confidence FROM r WHERE rank <= 16""")
+def prefilter_then_rank(t: Tables) -> DataFrame:
+    """Claims of the first containers by relevance times confidence."""
+    q, rows = _searched(t)
+    rows = rows.where("label < 6").withColumn("confidence", F.when(F.col("label") % 4 != 0, (F.col("label") % 4) * 0.25))
+    s = ann.exact_top_k(q, rows.withColumn("weight", F.coalesce("confidence", F.lit(scoring.UNKNOWN_FACTOR))), 16).join(rows.select("id", "confidence"), "id")
+    return s.select("query_id", "id", F.round("score", 6).alias("final"), "rank", F.when(F.col("rank") <= 8, "ranked").otherwise("cap_limit").alias("state"), F.coalesce(F.col("confidence") < 0.4, F.lit(True)).alias("low_confidence"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_SIM} AS sim, e.vec_id % 2 AS source_rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
-SELECT query_id, id, source_rank::INT AS source_rank, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, source_rank, id) <= 12""")
-def hybrid_merge_every_50(t: Tables) -> DataFrame:
-    q, c = _search(t, _EVERY_50)
-    s = vector.similarities(q, c).where("query_id <> id").withColumn("source_rank", F.expr("cast(id % 2 as int)"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "source_rank", "id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 12").select("query_id", "id", "source_rank", F.round("similarity", 6).alias("similarity"))
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_SIM} AS sim, e.vec_id % 2 AS source_rank FROM embeddings q, embeddings e WHERE {_EVERY_50} AND e.vec_id <> q.vec_id)
+SELECT query_id, id, source_rank::INT AS source_rank, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, source_rank, id) <= 12""")
+def hybrid_merge(t: Tables) -> DataFrame:
+    """Memories (even ids) and chunks (odd ids) merged by similarity, memories first at ties."""
+    q, rows = _searched(t)
+    kind = lambda k: ann.exact_top_k(q, rows.where(f"id % 2 = {k}"), 12, but_self=True).select("query_id", "id", "similarity")
+    return recall.hybrid(kind(0), kind(1), 12).select("query_id", "id", "source_rank", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -383,32 +353,19 @@ def _edges(t: Tables) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey + 1000 AS a, c_nationkey::BIGINT AS b FROM customer UNION ALL SELECT n_nationkey::BIGINT, n_regionkey::BIGINT + 500 FROM nation), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(seed, id, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT a FROM s WHERE a < 25) UNION SELECT r.seed, s.b, r.depth + 1 FROM r JOIN s ON s.a = r.id WHERE r.depth < 2)
+r(seed, id, depth) AS (SELECT a, a, 0 FROM (SELECT DISTINCT a FROM s WHERE a % 50 = 0) UNION SELECT r.seed, s.b, r.depth + 1 FROM r JOIN s ON s.a = r.id WHERE r.depth < 2)
 SELECT seed, id, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
 def reachability_depth2(t: Tables) -> DataFrame:
     e = _edges(t)
-    seeds = e.select(F.col("from_id").alias("id")).union(e.select("to_id")).where("id < 25").distinct()
-    return graph.reachable(seeds, e, 2)
-
-
-@query()
-def dfs_traverse(t: Tables) -> DataFrame:
-    e = _edges(t)
-    return graph.dfs_order(e.where("from_id < 25").select(F.col("from_id").alias("id")).distinct(), e, 2, 5)
+    return graph.reachable(_every_50th_vertex(e), e, 2)
 
 
 def _every_50th_vertex(e: DataFrame) -> DataFrame:
     return e.select(F.col("from_id").alias("id")).union(e.select("to_id")).where("id % 50 = 0").distinct()
 
 
-@query(_SQL["reachability_depth2"].replace("WHERE a < 25", "WHERE a % 50 = 0"))
-def reachability_depth2_every_50(t: Tables) -> DataFrame:
-    e = _edges(t)
-    return graph.reachable(_every_50th_vertex(e), e, 2)
-
-
 @query()
-def dfs_traverse_every_50(t: Tables) -> DataFrame:
+def dfs_traverse(t: Tables) -> DataFrame:
     e = _edges(t)
     return graph.dfs_order(_every_50th_vertex(e), e, 2, 5)
 

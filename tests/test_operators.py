@@ -103,7 +103,7 @@ def test_searches_answer_every_50th_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     spark.createDataFrame([(k, k % 3) for k in range(1, 60)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(k, k % 2) for k in range(3)], "n_nationkey int, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
-    got = {name: q(spark, str(tmp_path)).collect() for name, q in catalog.queries().items() if name.endswith("_every_50")}
+    got = {name: q(spark, str(tmp_path)).collect() for name, q in catalog.queries().items() if name in ("vector_topk", "hybrid_merge", "reachability_depth2", "dfs_traverse", "vector_threshold_search", "nearest_duplicate_excluding_self", "prefilter_then_rank")}
     searches = [name for name in got if "traverse" not in name and "reachability" not in name]
     assert len(searches) == 5 and all({x.query_id for x in got[name]} == {0, 50, 100} for name in searches)
 
@@ -111,11 +111,11 @@ def test_searches_answer_every_50th_row(spark, tmp_path):
         return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
 
     best = {q: sorted((i for i in range(120) if i != q), key=lambda i: -cosine_of(rows[q][2], rows[i][2])) for q in (0, 50, 100)}
-    assert {(x.query_id, x["rank"]): x.id for x in got["vector_topk_every_50"]} == {(q, k + 1): best[q][k] for q in best for k in range(10)}
-    assert {q: {x.id for x in got["hybrid_merge_every_50"] if x.query_id == q} for q in best} == {q: set(best[q][:12]) for q in best}
+    assert {(x.query_id, x["rank"]): x.id for x in got["vector_topk"]} == {(q, k + 1): best[q][k] for q in best for k in range(10)}
+    assert {q: {x.id for x in got["hybrid_merge"] if x.query_id == q} for q in best} == {q: set(best[q][:12]) for q in best}
     seeds = {0, 500, 1050}
-    assert {x.seed for x in got["reachability_depth2_every_50"]} == seeds == {x.seed for x in got["dfs_traverse_every_50"]}
-    assert {x.id for x in got["reachability_depth2_every_50"] if x.seed == 1050} == {1050, 2, 500} | {1000 + k for k in range(1, 60) if k % 3 == 2}
+    assert {x.seed for x in got["reachability_depth2"]} == seeds == {x.seed for x in got["dfs_traverse"]}
+    assert {x.id for x in got["reachability_depth2"] if x.seed == 1050} == {1050, 2, 500} | {1000 + k for k in range(1, 60) if k % 3 == 2}
 
 
 def test_containment_looks_for_whole_items(spark, tmp_path):
