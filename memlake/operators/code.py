@@ -7,7 +7,7 @@ every other unit gets one that tells its scope, what it defines and what it uses
 
 Defined cases: null and blank code gives no chunks. A block begins with the brace that
 its declaration ends in, or else with the next one; an unclosed brace reaches to the
-last line. Units may overlap (a class and the functions in it, in JavaScript).
+last line; a brace in a comment counts. Units may overlap (a class and the functions in it, in JavaScript).
 Positions run through the whole file.
 """
 
