@@ -113,13 +113,6 @@ def graph_view(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each.select("type", "name").distinct(), each.select("id", "type", "name", "confidence").distinct()
 
 
-def lineage(edges: DataFrame, claims: DataFrame) -> DataFrame:
-    """Edges in and out of each claim, and how many claims it stands above in supersede chains of one step."""
-    out = edges.groupBy(F.col("from_claim").alias("claim_id")).agg(F.count("*").alias("n_out"))
-    into = edges.groupBy(F.col("to_claim").alias("claim_id")).agg(F.count("*").alias("n_in"))
-    return claims.join(out, "claim_id", "left").join(into, "claim_id", "left").fillna(0, ["n_out", "n_in"])
-
-
 def next_batch(processing: DataFrame, now: str, stale_seconds: int = 30, n: int = 50) -> DataFrame:
     """The oldest rows that wait, failed, or have been in work for too long, and are not isolated."""
     late = (F.col("state") == "processing") & (F.col("since") < F.expr(f"timestamp_ntz'{now}' - interval {stale_seconds} seconds"))

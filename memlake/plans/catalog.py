@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import rules, scoring, text
-from memlake.operators import ann, chunking, claims, graph, recall, relational, vector
+from memlake.operators import ann, chunking, graph, recall, relational, vector
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -497,13 +497,3 @@ def reinforce_scores(t: Tables) -> DataFrame:
     w = F.when(F.col("event_type") == "view", 0.8).when(F.col("event_type") == "click", 0.3).when(F.col("event_type") == "error", 0.0).otherwise(0.6)
     c = F.when(F.col("event_id") % 5 != 0, (F.col("event_id") % 97) / F.lit(97.0))
     return t.events.select("event_id", F.round(scoring.reinforced(c, w), 4).alias("confidence"))
-
-
-@query("""SELECT 'cl_' || user_id AS claim_id, 0.5::DOUBLE AS content_confidence, CASE WHEN max(event_type = 'purchase') THEN 'superseded' ELSE 'active' END AS status FROM events GROUP BY user_id""")
-def claim_reconciliation(t: Tables) -> DataFrame:
-    """Events judge claims (one for each user): views support, purchases conflict."""
-    e = t.events
-    evidence = e.select(F.concat(F.lit("ev_"), F.col("event_id")).alias("evidence_id"), F.lit("agent_add").alias("source_kind"), F.when(F.col("event_type") == "click", "inference").otherwise("verbatim").alias("extraction_type"), F.col("event_type").alias("session_id"), F.lit("fact").alias("claim_kind"))
-    state = e.select(F.concat(F.lit("cl_"), F.col("user_id")).alias("claim_id")).distinct().withColumns({"content_confidence": F.lit(0.5), "status": F.lit("active"), "session_id": F.lit("view")})
-    judged = e.select(F.concat(F.lit("ev_"), F.col("event_id")).alias("evidence_id"), F.lit(0).alias("claim_no"), F.when(F.col("event_type").isin("view", "click"), "SUPPORT").when(F.col("event_type") == "purchase", "CONFLICT").otherwise("UNRELATED").alias("judgment"), F.concat(F.lit("cl_"), F.col("user_id")).alias("target_claim_id"))
-    return claims.apply_judgements(evidence, state, judged)["claims"]

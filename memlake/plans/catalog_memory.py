@@ -148,12 +148,6 @@ def claim_evidence_join(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(t.orders, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_custkey").alias("claim_id")).agg(F.count("o_orderkey").alias("evidences"), F.max("o_orderdate").alias("last_seen"))
 
 
-@query("WITH e AS (SELECT c_custkey AS from_claim, c_custkey + 1 AS to_claim FROM customer WHERE c_custkey % 3 = 0) SELECT c_custkey AS claim_id, coalesce(o.n, 0)::BIGINT AS n_out, coalesce(i.n, 0)::BIGINT AS n_in FROM customer LEFT JOIN (SELECT from_claim, count(*) AS n FROM e GROUP BY 1) o ON o.from_claim = c_custkey LEFT JOIN (SELECT to_claim, count(*) AS n FROM e GROUP BY 1) i ON i.to_claim = c_custkey")
-def claim_lineage(t: Tables) -> DataFrame:
-    edges = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("from_claim"), (F.col("c_custkey") + 1).alias("to_claim"))
-    return memory.lineage(edges, t.customer.select(F.col("c_custkey").alias("claim_id")))
-
-
 @query("SELECT e.event_id, c.c_mktsegment AS claim_scope FROM events e JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase'")
 def claim_activity(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("c_custkey")).join(t.customer.select("c_custkey", F.col("c_mktsegment").alias("claim_scope")), "c_custkey").select("event_id", "claim_scope")
