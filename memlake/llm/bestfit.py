@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import arrow_batch
+from memlake.llm.common import arrow_batch, thrifty
 from memlake.llm.packing import dealt, encoder
 
 END = 2
@@ -146,6 +146,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE)
     path = tokenizer or default_tokenizer()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
+    @thrifty
     def cut(batches):
         encode = encoder(path, byte_units, False, END)
         for b in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import _LOWER, arrow_batch, blocks, mix, span_hashes, word_spans, written
+from memlake.llm.common import _LOWER, arrow_batch, blocks, mix, span_hashes, thrifty, word_spans, written
 
 LEAST = 10
 TOP = 2000
@@ -82,6 +82,7 @@ _COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("h", pa.int
 def words(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, word, h, c of frequent words; a row without word has the number of all words of its language."""
 
+    @thrifty
     def tally(batches):
         held: dict = {}
         totals: dict = {}
@@ -173,6 +174,7 @@ def tallies(docs: DataFrame, size: int, shorter: BitFilter, n_blocks: int) -> Da
         cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
         return arrow_batch(_TALLY_ARROW, *zip(*((int(block[a]), b - a, keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts, cuts[1:]))))
 
+    @thrifty
     def tally(batches):
         held, n = [], 0
         for b in batches:

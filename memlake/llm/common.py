@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -173,5 +175,26 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray
     return out, out_first
 
 
+def hand_back() -> None:
+    """Freed memory of this worker back to the machine: it may wait, idle, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def thrifty(task):
+    """A task over batches that hands freed memory back at its end."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            hand_back()
+
+    return run
+
+
 def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)

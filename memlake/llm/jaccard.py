@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import SPACED, arrow_batch, blocks, distinct, shingle_hashes, word_hashes, written
+from memlake.llm.common import arrow_batch, blocks, distinct, shingle_hashes, SPACED, thrifty, word_hashes, written
 
 BITS = 22
 _BLOCK = 1 << 16
@@ -86,6 +86,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
         v = zlib.decompress(v)
         return np.frombuffer(v, f"u{len(v) // _BLOCK}").astype(np.int32)
 
+    @thrifty
     def count(batches):
         total = np.zeros(1 << BITS, np.int32)
         for b in batches:
@@ -97,6 +98,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
             if part.any():
                 yield row(k, part)
 
+    @thrifty
     def merge(batches):
         out = {}
         for b in batches:
@@ -137,6 +139,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("row", pa.int64()), ("sig", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))])
 
+    @thrifty
     def make(batches):
         counts, row = shared.value, TaskContext.get().partitionId() << 40
         for b in batches:
@@ -209,6 +212,7 @@ def _shared_postings(nodes: DataFrame) -> DataFrame:
     shared = nodes.sparkSession.sparkContext.broadcast(_filter(met.where("m > 1"), _SHARED))
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("gram", pa.int64())])
 
+    @thrifty
     def pick(batches):
         words = shared.value
         for b in batches:
@@ -242,6 +246,7 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.select(F.xxhash64("gram", F.least("block", "with"), F.greatest("block", "with"), "as").alias("cell"), F.xxhash64("node").alias("turn"), "node", "n", "as", "sig")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @thrifty
     def edges(batches):
         held, size = [], 0
 
@@ -384,6 +389,7 @@ def _whole_sets(docs: DataFrame, shared, n: int) -> DataFrame:
     """(h1, h2, grams): the sorted sets of the rows that pass the filter, one for each task that meets them."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("grams", pa.binary())])
 
+    @thrifty
     def make(batches):
         words, seen = shared.value, set()
         for b in batches:
@@ -414,6 +420,7 @@ def links(docs: DataFrame, nodes: DataFrame, labels: DataFrame, n: int, num: int
     cells = cells.select("label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.expr("case when block = with then 2 when block < with then 0 else 1 end").alias("side"), "node", "grams")
     schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("root", pa.int64())])
 
+    @thrifty
     def count(batches):
         key, held = None, {}
 

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import _LOWER, arrow_batch, blocks, span_hashes, written
+from memlake.llm.common import _LOWER, arrow_batch, blocks, span_hashes, thrifty, written
 
 END = 1
 SIZE = 2048
 STEP = 16
 #: Of a worker: what it keeps of units is bounded.
-_KEPT_UNITS = 1_000_000
+_KEPT_UNITS = 400_000
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
@@ -159,6 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> D
     """doc_id, start, length, ids_crc32, doc_tokens of all pieces."""
     path = tokenizer or default_tokenizer()
 
+    @thrifty
     def cut(batches):
         encode = encoder(path)
         for b in batches:

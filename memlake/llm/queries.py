@@ -86,6 +86,20 @@ cov AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(ra
 it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op5_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM d)),
+n AS (SELECT *, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n, len(regexp_extract_all(line, '[#*$%&|<>{}\[\]\\^~=_+/]')) AS marks FROM l),
+f AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
+(marks > 0.1 * strlen(line) AND marks > 2) OR (n < 10 AND NOT regexp_matches(line, '[.!?;:]|…|。|！|？')) OR (marks > 0 AND len(regexp_extract_all(line, '[|]|»|›|•|·| [>/] ')) > greatest(2, 0.15 * n))
+OR (n < 40 AND regexp_matches(line, 'all rights reserved|cookie (policy|notice|settings)|uses cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our|sign up for our|powered by|licen[cs]ed under|copyright \W*[0-9]{4}', 'i')) AS fails FROM n WHERE n > 0),
+lines AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (again OR fails) AS n_lines_failed, coalesce(sum(n) FILTER (again OR fails), 0)::BIGINT AS n_words_lost FROM f GROUP BY 1),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w) WHERE i + 2 <= len(w)),
+c AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM c, (VALUES (0), (1), (2)) o(k) GROUP BY 1),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines_failed, 0)::BIGINT AS n_lines_failed, coalesce(n_words_lost, 0)::BIGINT AS n_words_lost FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_lost <= 0.5 * n_words AS kept FROM m""",
     "op13_phrase_collocations": r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import ALNUM, SPACED, arrow_batch, blocks, distinct, mix, word_hashes, written
+from memlake.llm.common import ALNUM, arrow_batch, blocks, distinct, mix, SPACED, thrifty, word_hashes, written
 
 BITS = 20
 SLOTS = 3 << BITS
@@ -77,6 +77,7 @@ def ratio_tables(docs: DataFrame, sample: dict, n: int) -> tuple[np.ndarray, np.
     known = docs.sparkSession.sparkContext.broadcast(sample)
     good = [sum(g and h == half for g, h in sample.values()) for half in (0, 1)]
 
+    @thrifty
     def count(batches):
         total = np.zeros((3, SLOTS), np.int32)
         for b in batches:
@@ -94,6 +95,7 @@ def ratio_tables(docs: DataFrame, sample: dict, n: int) -> tuple[np.ndarray, np.
             if part.any():
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "v": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
+    @thrifty
     def compare(batches):
         out = {}
         for b in batches:
@@ -123,6 +125,7 @@ def importance(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
     shared = docs.sparkSession.sparkContext.broadcast((sample, slots, w))
     schema = pa.schema([("doc_id", pa.int64()), ("weight", pa.float64()), ("noise", pa.int64()), ("h", pa.int64())])
 
+    @thrifty
     def weigh(batches):
         known, slots_, w_ = shared.value
         table = np.zeros((3, SLOTS), np.float32)

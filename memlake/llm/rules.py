@@ -8,7 +8,8 @@ that fails the base rules (too short, or made of repeated 3-word windows).
 
 Defined cases: null or empty text has no words and is rejected. Long texts are
 judged whole; work is linear in the text. Repeated rows are judged alike. Extra
-columns are ignored; ``clean`` adds struct column ``as_`` to all of them.
+columns are ignored; ``kept`` passes them through, whatever their names. A text that is
+not rejected goes on without its failing lines; blank lines stay.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import SPACED, arrow_batch, blocks, mix, word_hashes, word_spans
+from memlake.llm.common import SPACED, arrow_batch, blocks, mix, thrifty, word_hashes, word_spans
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -32,7 +33,7 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _SYMBOL = re.compile(rb"[#*$%&|<>{}\[\]\\^~=_+/]")
 _SENTENCE = re.compile(rb"[.!?;:]|\xe2\x80\xa6|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
-_SEPARATOR = re.compile("[|»›•·]| [>/] ".encode())
+_SEPARATOR = re.compile("[|]|»|›|•|·| [>/] ".encode())
 _MENU = re.compile(rb"^\W*(home|menu|login|log in|sign in|sign up|register|search|contact( us)?|about( us)?|next|previous|back|top|share|tweet|print|read more|click here|skip to content|subscribe)\W*$", re.I)
 _NOTICE = re.compile(rb"all rights reserved|cookie (policy|notice|settings)|uses cookies|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our|sign up for our|powered by|licen[cs]ed under|copyright \W*\d{4}", re.I)
 
@@ -51,8 +52,11 @@ def line_fails(line: bytes, n_words: int) -> str:
     return ""
 
 
-def measured(col: pa.Array):
-    """For each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_failed, words_lost."""
+def measured(col: pa.Array, left: list[bytes | None] | None = None):
+    """For each row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_failed, words_lost.
+
+    ``left`` gets what remains of each text without its failing lines, or None where no line fails.
+    """
     for i, j, data, bounds in blocks(col):
         starts, ends, first = word_spans(data, bounds, SPACED)
         h, _ = word_hashes(data, bounds, SPACED, lower=False)
@@ -63,17 +67,18 @@ def measured(col: pa.Array):
         repeat = _repeat_words(h, first, words)
         raw = data.tobytes()
         for r in range(j - i):
-            seen, dup, failed, lost = set(), 0, 0, 0
+            seen, dup, failed, lost, good = set(), 0, 0, 0, []
             for line in raw[bounds[r] : bounds[r + 1]].split(b"\n"):
-                if not (n := len(line.split())):
-                    continue
-                if line in seen:
-                    dup += 1
-                    failed, lost = failed + 1, lost + n
-                    continue
-                seen.add(line)
-                if line_fails(line, n):
-                    failed, lost = failed + 1, lost + n
+                if n := len(line.split()):
+                    again = line in seen
+                    dup += again
+                    seen.add(line)
+                    if again or line_fails(line, n):
+                        failed, lost = failed + 1, lost + n
+                        continue
+                good.append(line)
+            if left is not None:
+                left.append(b"\n".join(good) if failed else None)
             yield int(words[r]), int(chars[r]), int(symbols[r]), dup, int(repeat[r]), failed, lost
 
 
@@ -106,6 +111,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), *((f.split()[0], pa.bool_() if f.en
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id and the figures and verdicts of each row."""
 
+    @thrifty
     def judge(batches):
         for b in batches:
             rows = [(*m, *verdict(m)) for m in measured(b.column(1))]
@@ -115,33 +121,23 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judge, f"doc_id long, {FIELDS}")
 
 
-def clean(docs: DataFrame, as_: str = "rules_verdict") -> DataFrame:
-    """``docs`` with a struct of its figures and verdicts, in the same pass and order."""
-
-    @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ': ') for f in FIELDS.split(', '))}>")
-    def judge(text: pd.Series) -> pd.DataFrame:
-        rows = [(*m, *verdict(m)) for m in measured(pa.array(text, pa.string(), from_pandas=True))]
-        return pd.DataFrame(rows, columns=_SCHEMA.names[1:])
-
-    return docs.withColumn(as_, judge(F.col("text").cast("string")))
-
-
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with its own columns only."""
-    own = "__rules"
-    while own in docs.columns:
-        own += "_"
-    return clean(docs, own).where(F.col(own)["kept"]).select(docs.columns)
-
-
-def cleaned_text(text: str | None) -> str:
-    """A text without its failing lines."""
-    out, seen = [], set()
-    for line in (text or "").split("\n"):
-        b = line.encode()
-        n = len(b.split())
-        if n and (b in seen or line_fails(b, n)):
-            continue
-        seen.add(b)
-        out.append(line)
-    return "\n".join(out)
+    """The rows of ``docs`` that pass, with its own columns only: texts without their failing lines, and ``n_chars``, where there is such a column, counted anew."""
+    schema = docs.schema
+    text, names = docs.columns.index("text"), docs.columns
+
+    @thrifty
+    def judge(batches):
+        for b in batches:
+            left: list[bytes | None] = []
+            keep = pa.array([verdict(m)[1] for m in measured(b.column(text).cast(pa.string()), left)], pa.bool_())
+            cut = pa.array([x is not None for x in left], pa.bool_())
+            new = pc.if_else(cut, pa.array([x or b"" for x in left], pa.binary()).cast(pa.string()), b.column(text))
+            columns = list(b.columns)
+            columns[text] = new.cast(columns[text].type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                columns[at] = pc.if_else(cut, pc.utf8_length(new).cast(columns[at].type), columns[at])
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(keep)
+
+    return docs.mapInArrow(judge, schema)
