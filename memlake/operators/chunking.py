@@ -163,6 +163,31 @@ def document_chunks(docs: DataFrame, most: int = 3000, least: int = 200, overlap
     return out.select("doc_id", "position", "content", embedded.alias("embedded_content"), "token_count", "start_offset", "end_offset")
 
 
+def sections(text: str | None, most: int) -> list[str]:
+    """Paragraphs in runs of ``most`` characters (blank lines between them not counted); a paragraph that is longer stands alone."""
+    if text is None or len(text) <= most:
+        return [] if text is None else [text]
+    out, size = [], most + 1
+    for p in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+        if size + len(p) > most:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += len(p)
+    return ["\n\n".join(run) for run in out]
+
+
+def document_sections(docs: DataFrame, most: int = 3000) -> DataFrame:
+    """doc_id, position, content."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(doc, k, x) for doc, text in zip(b["doc_id"], b["text"]) for k, x in enumerate(sections(text, most))]
+            yield pd.DataFrame(rows, columns=["doc_id", "position", "content"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(cut, "doc_id long, position int, content string")
+
+
 def incremental(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, position, action (keep, update, insert, delete) by comparing hashes at each position."""
     a, b = old.select("doc_id", "position", F.col("content_hash").alias("was")), new.select("doc_id", "position", F.col("content_hash").alias("now"))

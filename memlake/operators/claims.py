@@ -146,3 +146,22 @@ def search(requests: DataFrame, claims: DataFrame, limit: int = 10, coarse: int
     ranked = both.withColumn("final", final).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("final"), "id"))).where(F.col("rank") <= limit)
     n = _asked(requests).join(keyed.groupBy(*_KEYS).agg(F.count("*").alias("n")), _KEYS).groupBy("request_id").agg(F.sum("n").alias("n_candidates"))
     return ranked.join(n, "request_id").select("request_id", "id", "relevance", "final", "rank", F.coalesce(F.col("content_confidence") < low, F.lit(True)).alias("low_confidence"), "n_candidates")
+
+
+def context(requests: DataFrame, claims: DataFrame, excluded: DataFrame, kind: str = "preference", most: int = 20, limit: int = 10) -> DataFrame:
+    """request_id, id, source (preference or search), rank: the surest ``most`` claims of a kind that a request sees, then what its search finds and they don't have; without excluded ones (request_id, id)."""
+    own = _keyed(claims).where((F.col("claim_kind") == kind) & (F.col("kind_key") != "*"))
+    asked = _asked(requests.withColumn("claim_kind", F.lit(kind)))
+    order = Window.partitionBy("request_id").orderBy(F.desc_nulls_last("content_confidence"), "id")
+    sure = asked.join(own.select(*_KEYS, "id", "content_confidence"), _KEYS).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    sure = sure.select("request_id", "id", F.lit("preference").alias("source"), "rank")
+    found = search(requests, claims, limit).select("request_id", "id", F.lit("search").alias("source"), "rank").join(sure.select("request_id", "id"), ["request_id", "id"], "left_anti")
+    return sure.unionByName(found).join(excluded.select("request_id", "id"), ["request_id", "id"], "left_anti")
+
+
+def review(evidence: DataFrame, judgements: DataFrame, claims: DataFrame, low: float = 0.4) -> DataFrame:
+    """list, id, reason: evidence that was isolated, and active claims of low or unknown confidence, for a person to look at."""
+    alone = isolated(evidence, judgements).where("isolated is not null").select(F.lit("isolated").alias("list"), F.col("evidence_id").cast("string").alias("id"), F.col("isolated").alias("reason"))
+    unsure = claims.where((F.col("status") == "active") & (F.col("content_confidence").isNull() | (F.col("content_confidence") < low)))
+    reason = F.when(F.col("content_confidence").isNull(), "unknown").otherwise("low")
+    return alone.unionByName(unsure.select(F.lit("low_confidence").alias("list"), F.col("claim_id").cast("string").alias("id"), reason.alias("reason")))

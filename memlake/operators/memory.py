@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.vectors import cosine
+from memlake.operators import ann
 
 
 # ---------------------------------------------------------------- reading
@@ -55,14 +55,30 @@ def spoofed(scope: Column) -> Column:
     return scope.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 
 
-def merged_on_write(new: DataFrame, old: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """new and old (id, tag, embedding; old also merged_count): new rows that are near none of their container, and old ones with the near rows counted at the nearest (ties: the smallest id)."""
-    n = new.select(F.col("id").alias("new_id"), "tag", F.col("embedding").alias("v"))
-    near = n.join(old.select("id", "tag", "embedding"), "tag").withColumn("s", cosine(F.col("v"), F.col("embedding"))).where(F.col("s") >= threshold)
-    best = near.groupBy("new_id").agg(F.max(F.struct("s", (-F.col("id")).alias("m"))).alias("b")).select("new_id", (-F.col("b.m")).alias("id"))
-    count = best.groupBy("id").agg(F.count("*").alias("c"))
-    kept = new.join(best.select(F.col("new_id").alias("id")), "id", "left_anti")
-    return kept, old.join(count, "id", "left").withColumn("merged_count", F.col("merged_count") + F.coalesce("c", F.lit(0))).drop("c")
+#: How near a new memory may be to an old one: those written on purpose, those captured, those distilled.
+MERGE, CAPTURE, DISTIL = 0.95, 0.80, 0.80
+
+
+def written_dedup(new: DataFrame, old: DataFrame, merge: float = MERGE, capture: float = CAPTURE) -> DataFrame:
+    """new (id, tag, embedding, is_capture) against old (id, tag, embedding): id, action (kept, merged or dropped), other (the most similar old memory of its tag, if it is near enough), similarity. A captured memory is dropped from ``capture`` on, any other merged from ``merge`` on; one without a vector is kept."""
+    q = new.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"), "tag")
+    v = old.select("id", F.col("embedding").alias("vec"), "tag")
+    best = ann.exact_top_k(q, v, 1, min(merge, capture), by=["tag"]).select(F.col("query_id").alias("id"), F.col("id").alias("other"), "similarity")
+    out = new.select("id", F.coalesce("is_capture", F.lit(False)).alias("is_capture")).join(best, "id", "left")
+    near = F.col("similarity") >= F.when(F.col("is_capture"), capture).otherwise(merge)
+    action = F.when(~F.coalesce(near, F.lit(False)), "kept").when(F.col("is_capture"), "dropped").otherwise("merged")
+    return out.select("id", action.alias("action"), F.when(near, F.col("other")).alias("other"), F.when(near, F.col("similarity")).alias("similarity"))
+
+
+def merged(old: DataFrame, found: DataFrame) -> DataFrame:
+    """old (id, merged_count, ..) with one more for each memory that was merged into it."""
+    n = found.where("action = 'merged'").groupBy(F.col("other").alias("id")).agg(F.count("*").alias("__n"))
+    return old.join(n, "id", "left").withColumn("merged_count", F.col("merged_count") + F.coalesce("__n", F.lit(0))).drop("__n")
+
+
+def distilled(found: DataFrame) -> DataFrame:
+    """What a distilled candidate is told: kept, or dropped with the reason ``similar_to:<id>``."""
+    return found.select("id", (F.col("action") != "kept").alias("dropped"), F.when(F.col("action") != "kept", F.concat(F.lit("similar_to:"), F.col("other").cast("string"))).alias("reason"))
 
 
 # ---------------------------------------------------------------- profiles and recall
@@ -152,11 +168,11 @@ def non_inferior(scores: DataFrame, margin: float = 0.3) -> DataFrame:
 
 
 def bootstrap_interval(scores: DataFrame, rounds: int = 4000, seed: int = 7) -> DataFrame:
-    """scores (cluster, difference): mean, and 95 % interval of the mean over clusters drawn again and again. Each round weighs a cluster by a Poisson number (mean 1) of its hash, so no round is gathered in one task."""
+    """scores (cluster, difference): mean, and 95 % interval of the mean over clusters drawn again and again. A round doesn't draw as many clusters as there are: it weighs each by a Poisson number (mean 1) of its hash, to which drawing comes close for many clusters, so no round is gathered in one task."""
     each = scores.groupBy("cluster").agg(F.sum("difference").alias("s"), F.count("*").alias("n"))
     u = (F.pmod(F.xxhash64(F.lit(seed), "round", "cluster"), F.lit(1 << 53).cast("long")) + 0.5) / float(1 << 53)
     weight, below, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 9):
+    for k in range(1, 21):
         below += term
         weight, term = weight + F.when(u > below, 1).otherwise(0), term / k
     drawn = each.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)

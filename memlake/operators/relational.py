@@ -65,3 +65,19 @@ def timeline(df: DataFrame, ts: str, unit: str, start: str, end: str, zone: str
 
 def percentile_report(df: DataFrame, column: str) -> list[Column]:
     return [F.count("*").alias("n"), F.round(F.avg(column), 1).alias("avg_ms"), F.round(F.expr(f"percentile_cont(0.95) within group (order by {column})"), 4).alias("p95_ms")]
+
+
+#: Characters of needles that are broadcast at once.
+NEEDLES = 8_000_000
+
+
+def containing(texts: DataFrame, needles: DataFrame, most: int = NEEDLES) -> DataFrame:
+    """All pairs of a row of ``texts`` (text, ..) and one of ``needles`` (needle, ..) that stands in it. Needles are few and short; where they have more than ``most`` characters they go in blocks, each a scan of the texts. An empty needle stands in every text, a null one in none."""
+    total = needles.agg(F.sum(F.length("needle") + 32)).first()[0] or 0
+    parts = max(1, -(-total // most))
+    out = None
+    for k in range(parts):
+        part = needles if parts == 1 else needles.where(F.pmod(F.xxhash64("needle", F.monotonically_increasing_id()), F.lit(parts)) == k)
+        now = texts.join(F.broadcast(part), F.col("text").contains(F.col("needle")))
+        out = now if out is None else out.unionByName(now)
+    return out

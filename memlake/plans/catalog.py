@@ -382,15 +382,21 @@ def exact_doc_dedup(t: Tables) -> DataFrame:
     return t.documents.groupBy(text.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query(r"""SELECT doc_id, (len(regexp_extract_all(text, '[a-zA-Z]+')) + len(regexp_extract_all(text, '[0-9]+')))::INT AS latin_tokens, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(length(text) // 4, 1) END::INT AS dense_tokens, len(regexp_extract_all(text, '[^ \t\n\r\f]+'))::INT AS words FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, text || repeat('汉字1', (doc_id % 40)::INT) AS text FROM documents), n AS (SELECT *, len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) AS han, len(regexp_extract_all(text, '[^\pL\pM\p{Nd}\p{Pc}\s\p{Z}]')) AS symbols FROM d)
+SELECT doc_id, (han + len(regexp_extract_all(text, '[a-zA-Z]+')) + len(regexp_extract_all(text, '[0-9]+')) + symbols // 2)::INT AS tokens, CASE WHEN length(text) = 0 THEN 0 WHEN han / length(text) > 0.3 THEN len(regexp_extract_all(text, '[^\s]')) ELSE greatest(length(text) // 4, 1) END::INT AS dense_tokens, len(regexp_extract_all(text, '[^ \t\n\r\f]+'))::INT AS words FROM n""")
 def token_estimates(t: Tables) -> DataFrame:
+    """Documents with some Han characters behind them."""
+    d = t.documents.select("doc_id", F.expr("concat(text, repeat('汉字1', cast(doc_id % 40 as int)))").alias("text"))
     c = F.col("text")
-    return t.documents.select("doc_id", (F.regexp_count(c, F.lit("[a-zA-Z]+")) + F.regexp_count(c, F.lit("[0-9]+"))).alias("latin_tokens"), text.dense_token_estimate(c).alias("dense_tokens"), F.regexp_count(c, F.lit(r"[^ \t\n\r\f]+")).alias("words"))
+    return d.select("doc_id", text.token_estimate(c).alias("tokens"), text.dense_token_estimate(c).alias("dense_tokens"), F.regexp_count(c, F.lit(r"[^ \t\n\r\f]+")).alias("words"))
 
 
-@query(r"""SELECT doc_id, 'en' AS language, len(regexp_extract_all(text, '\p{L}'))::INT AS letters FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, substr(text, 1, (doc_id % 200)::INT) || repeat('中', (doc_id % 70)::INT) AS text FROM documents), n AS (SELECT doc_id, len(regexp_extract_all(text, '\S')) AS visible, doc_id % 70 AS han, len(regexp_extract_all(text, '\p{L}'))::INT AS letters FROM d)
+SELECT doc_id, CASE WHEN visible > 0 AND han / visible > 0.3 THEN 'zh' ELSE 'en' END AS language, CASE WHEN letters = 0 THEN 'unknown' WHEN han / letters > 0.3 THEN 'chinese' ELSE 'english' END AS by_letters, letters FROM n""")
 def language_ratio(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.document_language(F.col("text")).alias("language"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
+    """Beginnings of documents with Han characters behind them."""
+    d = t.documents.select("doc_id", F.expr("concat(substring(text, 1, cast(doc_id % 200 as int)), repeat('中', cast(doc_id % 70 as int)))").alias("text"))
+    return d.select("doc_id", text.document_language(F.col("text")).alias("language"), text.alpha_language(F.col("text")).alias("by_letters"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
 
 
 @query(r"""SELECT page_id, regexp_matches(html, '^\s*<[a-zA-Z/!]') AS noise, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS stripped FROM pages""")
@@ -433,18 +439,10 @@ def session_summary(t: Tables) -> DataFrame:
     return g.select("conv_id", F.array_join("l.line", "\n").alias("summary"), "turns")
 
 
-@query("""SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, substr(text, 1, 40) AS part FROM benchmark) ON contains(text, part)""")
-def substring_containment_join(t: Tables) -> DataFrame:
-    """Few short needles, broadcast; each text is looked through where it lies."""
-    parts = t.benchmark.select("item_id", F.substring("text", 1, 40).alias("part"))
-    return t.documents.select("doc_id", "text").join(F.broadcast(parts), F.col("text").contains(F.col("part"))).select("doc_id", "item_id")
-
-
 @query("""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)""")
-def substring_containment_whole(t: Tables) -> DataFrame:
-    """Whole items as needles; the SQL of the query above looks for their first 40 characters only."""
-    items = t.benchmark.select("item_id", F.col("text").alias("needle"))
-    return t.documents.select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("needle"))).select("doc_id", "item_id")
+def substring_containment_join(t: Tables) -> DataFrame:
+    """Whole items as needles."""
+    return relational.containing(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("needle"))).select("doc_id", "item_id")
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS rn, sha256(text) AS h FROM documents)
@@ -482,14 +480,16 @@ def context_fuse(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- claims
-_GRID = "(SELECT s, k, x, a FROM (VALUES ('agent_add','fact',4),('agent_add','preference',5),('agent_add','constraint',4),('agent_add','learned-pattern',3),('user_correction','fact',6),('document','preference',2),('outcome_trace','fact',3)) g(s, k, a), (VALUES ('verbatim'),('inference')) y(x))"
+_GIVEN = "CASE event_type WHEN 'view' THEN 'agent_add' WHEN 'click' THEN 'user_correction' WHEN 'error' THEN 'outcome_trace' WHEN 'purchase' THEN 'document' ELSE 'bogus' END AS s, CASE user_id % 5 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' WHEN 2 THEN 'constraint' WHEN 3 THEN 'learned-pattern' ELSE 'bogus' END AS k, CASE event_id % 3 WHEN 0 THEN 'inference' WHEN 1 THEN 'verbatim' END AS x"
 
 
-@query(f"SELECT s AS source_kind, k AS claim_kind, x AS extraction_type, round((a * CASE x WHEN 'inference' THEN 0.7 ELSE 1.0 END)::DOUBLE / (a * CASE x WHEN 'inference' THEN 0.7 ELSE 1.0 END + 1), 4) AS confidence FROM {_GRID}")
+@query(f"""WITH g AS (SELECT event_id, {_GIVEN} FROM events), a AS (SELECT *, CASE WHEN k = 'bogus' THEN NULL WHEN s = 'user_correction' THEN 6 WHEN s = 'outcome_trace' THEN 3 WHEN s = 'document' THEN 2 WHEN s = 'agent_add' THEN CASE k WHEN 'preference' THEN 5 WHEN 'learned-pattern' THEN 3 ELSE 4 END END * CASE WHEN x = 'inference' THEN 0.7 ELSE 1.0 END AS a FROM g)
+SELECT s AS source_kind, k AS claim_kind, x AS extraction_type, round(a / (a + 1), 4)::DOUBLE AS confidence, count(*) AS n FROM a GROUP BY ALL""")
 def claim_priors(t: Tables) -> DataFrame:
-    rows = [(s, k, x) for s, k in (("agent_add", "fact"), ("agent_add", "preference"), ("agent_add", "constraint"), ("agent_add", "learned-pattern"), ("user_correction", "fact"), ("document", "preference"), ("outcome_trace", "fact")) for x in ("verbatim", "inference")]
-    g = t.spark.createDataFrame(rows, "source_kind string, claim_kind string, extraction_type string")
-    return g.withColumn("confidence", scoring.prior_confidence(F.col("source_kind"), F.col("claim_kind"), F.col("extraction_type")))
+    """What a claim is believed before anything supports it, by what the events say of its source."""
+    g = t.events.selectExpr("event_id", *_GIVEN.replace(" AS s, ", " AS s|").replace(" AS k, ", " AS k|").split("|"))
+    g = g.select(F.col("s").alias("source_kind"), F.col("k").alias("claim_kind"), F.col("x").alias("extraction_type"))
+    return g.withColumn("confidence", scoring.prior_confidence(F.col("source_kind"), F.col("claim_kind"), F.col("extraction_type"))).groupBy("source_kind", "claim_kind", "extraction_type", "confidence").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, round(CASE WHEN w <= 0 THEN c WHEN c IS NULL THEN least(w, 1.0) ELSE c + (1 - c) * w * 0.2 END, 4) AS confidence FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 0.8 WHEN 'click' THEN 0.3 WHEN 'error' THEN 0.0 ELSE 0.6 END AS w, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 97) / 97.0 END AS c FROM events)""")

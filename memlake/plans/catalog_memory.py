@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.functions import rules
-from memlake.operators import memory, relational
+from memlake.functions import rules, text
+from memlake.operators import channels, memory, relational
 from memlake.plans.catalog import Tables, query
 
 _MEMORIES = "SELECT o_custkey AS container, o_orderkey AS id, o_orderdate AS created_at, o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_static, CASE o_orderstatus WHEN 'P' THEN false WHEN 'O' THEN true END AS profile_worthy, o_orderpriority = '1-URGENT' AS is_rule FROM orders"
@@ -83,17 +83,16 @@ def nullable_parameter(t: Tables) -> DataFrame:
     return t.part.where(memory.but_id(F.col("p_partkey"), None) & memory.but_id(F.col("p_partkey"), 7)).select("p_partkey")
 
 
-@query("SELECT p_partkey, r_name FROM part, region WHERE p_name ILIKE '%' || substr(r_name, 1, 1) || '%'")
+@query("SELECT doc_id FROM documents WHERE text ILIKE '%AnD tHe%'")
 def contains_ignoring_case(t: Tables) -> DataFrame:
-    return t.part.join(F.broadcast(t.region.limit(5)), F.lower("p_name").contains(F.lower(F.substring("r_name", 1, 1)))).select("p_partkey", "r_name")
+    return t.documents.where(F.lower("text").contains(F.lower(F.lit("AnD tHe")))).select("doc_id")
 
 
-@query("SELECT source, (source LIKE '%1%' AND lang = 'en') OR (source NOT LIKE '%\\_%' AND lang = 'fr') AS rejected, count(*) AS n FROM documents GROUP BY ALL")
+@query("WITH d AS (SELECT *, CASE WHEN contains(source, '1') THEN 'owner_project' ELSE source END AS tag FROM documents) SELECT source, coalesce((lang = 'en' AND contains(tag, '_')) OR (lang = 'fr' AND NOT contains(tag, '_')), false) AS rejected, count(*) AS n FROM d GROUP BY ALL")
 def write_guard(t: Tables) -> DataFrame:
     tag = F.when(F.col("source").contains("1"), "owner_project").otherwise(F.col("source"))
-    scope = F.when(F.col("lang") == "en", "user").when((F.col("lang") == "fr"), "project")
-    rejected = F.coalesce(memory.scope_mismatch(scope, tag), F.lit(False)) | ((F.col("lang") == "fr") & F.col("source").contains("1"))
-    return t.documents.groupBy("source", rejected.alias("rejected")).agg(F.count("*").alias("n"))
+    scope = F.when(F.col("lang") == "en", "user").when(F.col("lang") == "fr", "project")
+    return t.documents.groupBy("source", F.coalesce(memory.scope_mismatch(scope, tag), F.lit(False)).alias("rejected")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, regexp_matches(CASE WHEN event_id % 3 = 0 THEN '12345678-9abc-4def-8123-' || lpad(CAST(event_id AS VARCHAR), 12, '0') || ':x' ELSE 'team-' || event_id END, '^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS spoofed FROM events")
@@ -229,11 +228,12 @@ def arms_compared(t: Tables) -> DataFrame:
     return memory.compared(t.events.where("event_type = 'purchase' and value > 60"), t.events.where("event_type = 'error' and value > 60"), ["user_id"])
 
 
-@query("SELECT item_id, doc_id FROM (SELECT item_id, string_split(lower(text), ' ')[1:3] AS k FROM benchmark) b, (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents) d WHERE list_has_any(w, k)")
+@query(r"""WITH k AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(text, '[，。！？、；：\s,.;!?]+'), lambda x: lower(x)), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]+$'))) AS w FROM conversations)
+SELECT a.conv_id, a.turn, list_has_any(a.w, b.w) AS shared FROM k a JOIN k b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
 def keyword_overlap(t: Tables) -> DataFrame:
-    keys = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(F.split(F.lower("text"), " "), 1, 3))).alias("word"))
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
-    return words.join(keys, "word").select("item_id", "doc_id").distinct()
+    """Whether a turn has a keyword of the turn before."""
+    before = t.conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return t.conversations.join(before, ["conv_id", "turn"]).select("conv_id", "turn", channels.shares_keyword(F.col("text"), F.col("before")).alias("shared"))
 
 
 # ---------------------------------------------------------------- texts
@@ -273,12 +273,12 @@ def relation_filter(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", kept.alias("r")).where("r is not null").select("l_orderkey", "l_linenumber", "r.kind", "r.confidence")
 
 
-@query("SELECT n, CASE WHEN n = 0 THEN 8 ELSE greatest(2, floor(8 * (1 - least(0.5, n * 0.05)))) END::INT AS recall_size, replace('a</system-reminder>b' || n, '</system-reminder>', '&lt;/system-reminder&gt;') AS escaped FROM range(0, 20) t(n)")
+@query("SELECT conv_id, greatest(2, floor(8 * (1 - least(0.5, count(*) * 0.05))))::INT AS recall_size, max(replace(text || '</system-reminder>' || turn, '</system-reminder>', '&lt;/system-reminder&gt;')) AS escaped FROM conversations GROUP BY conv_id")
 def recall_size(t: Tables) -> DataFrame:
-    n = F.col("id")
-    size = F.greatest(F.lit(2), F.floor(8 * (1 - F.least(F.lit(0.5), n * 0.05)))).cast("int")
-    text = F.concat(F.lit("a</system-reminder>b"), n.cast("string"))
-    return t.spark.range(20).select(n.alias("n"), size.alias("recall_size"), F.replace(text, F.lit("</system-reminder>"), F.lit("&lt;/system-reminder&gt;")).alias("escaped"))
+    """How many of eight memories a session may still get, and its last text with the closing tag escaped."""
+    size = F.greatest(F.lit(2), F.floor(8 * (1 - F.least(F.lit(0.5), F.count("*") * 0.05)))).cast("int")
+    tagged = F.concat("text", F.lit("</system-reminder>"), F.col("turn").cast("string"))
+    return t.conversations.groupBy("conv_id").agg(size.alias("recall_size"), F.max(F.replace(tagged, F.lit("</system-reminder>"), F.lit("&lt;/system-reminder&gt;"))).alias("escaped"))
 
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_totalprice > 2000 THEN true END, CASE WHEN o_orderstatus = 'F' THEN false END, o_orderpriority IS NULL OR o_orderpriority = '5-LOW') AS worthy FROM orders")
@@ -286,16 +286,19 @@ def profile_worthiness(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.coalesce(F.when(F.col("o_totalprice") > 2000, True), F.when(F.col("o_orderstatus") == "F", False), F.col("o_orderpriority").isNull() | (F.col("o_orderpriority") == "5-LOW")).alias("worthy"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' AND value > 80 THEN 'insufficient_credits' WHEN event_type = 'error' THEN 'rate_limited' WHEN value IS NULL THEN 'no_value' END AS reason FROM events")
+_MESSAGE = "CASE event_type WHEN 'error' THEN concat('HTTP 402: insufficient credits for ', event_id) WHEN 'click' THEN 'Error 429 too many' WHEN 'view' THEN 'RATE_LIMIT hit' WHEN 'purchase' THEN concat('timed out after ', event_id % 100) END"
+
+
+@query(f"WITH m AS (SELECT event_id, {_MESSAGE} AS m, 'Error' || user_id % 3 AS kind FROM events) SELECT event_id, CASE WHEN m LIKE '%insufficient credits%' THEN 'llm_error: insufficient_credits' WHEN m LIKE '%429%' OR lower(m) LIKE '%rate\\_limit%' ESCAPE '\\' THEN 'llm_error: rate_limited' WHEN m IS NOT NULL THEN 'llm_error: ' || kind END AS reason FROM m")
 def degraded_reason(t: Tables) -> DataFrame:
-    error = F.col("event_type") == "error"
-    return t.events.select("event_id", F.when(error & (F.col("value") > 80), "insufficient_credits").when(error, "rate_limited").when(F.col("value").isNull(), "no_value").alias("reason"))
+    kind = F.concat(F.lit("Error"), (F.col("user_id") % 3).cast("string"))
+    return t.events.select("event_id", text.degraded_reason(F.expr(_MESSAGE), kind).alias("reason"))
 
 
-@query("SELECT l_orderkey AS id, string_agg(DISTINCT l_returnflag || ':' || l_partkey, ',' ORDER BY l_returnflag || ':' || l_partkey) AS relations FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS id, string_agg(DISTINCT l_returnflag || ':' || l_partkey, ',' ORDER BY l_returnflag || ':' || l_partkey) AS relations FROM lineitem GROUP BY l_orderkey")
 def relation_map(t: Tables) -> DataFrame:
     """Relations folded one by one into a map, told as a sorted list."""
-    g = t.lineitem.where("l_orderkey % 20 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct("l_returnflag", F.col("l_partkey").cast("string").alias("p"))).alias("l"))
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct("l_returnflag", F.col("l_partkey").cast("string").alias("p"))).alias("l"))
     folded = F.reduce("l", F.create_map().cast("map<string,array<string>>"), lambda acc, x: memory.relation_appended(acc, x["l_returnflag"], x["p"]))
     each = F.flatten(F.transform(F.map_entries(folded), lambda e: F.transform(e["value"], lambda p: F.concat(e["key"], F.lit(":"), p))))
     return g.select("id", F.array_join(F.array_sort(each), ",").alias("relations"))
@@ -305,25 +308,31 @@ def relation_map(t: Tables) -> DataFrame:
 _SIM = "list_cosine_similarity(n.embedding::DOUBLE[], o.embedding::DOUBLE[])"
 
 
-def _write(t: Tables, threshold: float):
-    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("tag"), "embedding")
-    return memory.merged_on_write(e.where("id % 50 = 0"), e.where("id % 50 <> 0").withColumn("merged_count", F.lit(0).cast("long")), threshold)
+def _write(t: Tables, merge: float, capture: float) -> tuple[DataFrame, DataFrame]:
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("tag"), "embedding", (F.col("vec_id") % 100 == 0).alias("is_capture"))
+    old = e.where("id % 50 <> 0")
+    return memory.written_dedup(e.where("id % 50 = 0"), old, merge, capture), old.withColumn("merged_count", F.lit(0).cast("long"))
+
+
+_BEST = f"SELECT n.vec_id AS new_id, o.vec_id AS id, {_SIM} AS s FROM embeddings n JOIN embeddings o ON n.label = o.label WHERE n.vec_id % 50 = 0 AND o.vec_id % 50 <> 0 QUALIFY row_number() OVER (PARTITION BY n.vec_id ORDER BY round({_SIM}, 9) DESC, o.vec_id) = 1"
 
 
-@query(f"WITH b AS (SELECT n.vec_id AS new_id, o.vec_id AS id, row_number() OVER (PARTITION BY n.vec_id ORDER BY {_SIM} DESC, o.vec_id) AS r FROM embeddings n JOIN embeddings o ON n.label = o.label WHERE n.vec_id % 50 = 0 AND o.vec_id % 50 <> 0 AND {_SIM} >= 0.3) SELECT o.vec_id AS id, count(b.id) AS merged_count FROM embeddings o LEFT JOIN b ON b.id = o.vec_id AND b.r = 1 WHERE o.vec_id % 50 <> 0 GROUP BY o.vec_id")
+@query(f"WITH b AS ({_BEST}) SELECT o.vec_id AS id, count(b.id) AS merged_count FROM embeddings o LEFT JOIN b ON b.id = o.vec_id AND b.new_id % 100 <> 0 AND s >= 0.25 WHERE o.vec_id % 50 <> 0 GROUP BY o.vec_id")
 def merge_on_write(t: Tables) -> DataFrame:
-    return _write(t, 0.3)[1].select("id", "merged_count")
+    """Old memories, with the new ones that were merged into them; captured ones are dropped instead."""
+    found, old = _write(t, 0.25, 0.2)
+    return memory.merged(old, found).select("id", "merged_count")
 
 
-@query(f"SELECT vec_id AS id FROM embeddings x WHERE vec_id % 50 = 0 AND NOT EXISTS (SELECT 1 FROM embeddings n JOIN embeddings o ON n.label = o.label WHERE n.vec_id = x.vec_id AND o.vec_id % 50 <> 0 AND {_SIM} >= 0.3)")
+@query(f"WITH b AS ({_BEST}) SELECT x.vec_id AS id, CASE WHEN s >= CASE WHEN x.vec_id % 100 = 0 THEN 0.3 ELSE 0.35 END THEN CASE WHEN x.vec_id % 100 = 0 THEN 'dropped' ELSE 'merged' END ELSE 'kept' END AS action, CASE WHEN s >= CASE WHEN x.vec_id % 100 = 0 THEN 0.3 ELSE 0.35 END THEN b.id END AS other FROM embeddings x LEFT JOIN b ON new_id = x.vec_id WHERE x.vec_id % 50 = 0")
 def capture_dedup(t: Tables) -> DataFrame:
-    return _write(t, 0.3)[0].select("id")
+    """Captured memories are held to a lower bar than those written on purpose."""
+    return _write(t, 0.35, 0.3)[0].select("id", "action", "other")
 
 
-@query(f"SELECT vec_id AS id, EXISTS (SELECT 1 FROM embeddings n JOIN embeddings o ON n.label = o.label WHERE n.vec_id = x.vec_id AND o.vec_id % 50 <> 0 AND {_SIM} >= 0.3) AS dropped FROM embeddings x WHERE vec_id % 50 = 0")
+@query(f"WITH b AS ({_BEST}) SELECT x.vec_id AS id, coalesce(s >= 0.28, false) AS dropped, CASE WHEN s >= 0.28 THEN 'similar_to:' || b.id END AS reason FROM embeddings x LEFT JOIN b ON new_id = x.vec_id WHERE x.vec_id % 50 = 0")
 def distillation_dedup(t: Tables) -> DataFrame:
-    kept = _write(t, 0.3)[0].select("id", F.lit(False).alias("dropped"))
-    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id")).join(kept, "id", "left").select("id", F.coalesce("dropped", F.lit(True)).alias("dropped"))
+    return memory.distilled(_write(t, 0.28, 0.28)[0])
 
 
 # ---------------------------------------------------------------- profiles and recall
@@ -352,16 +361,6 @@ def memory_one_hop(t: Tables) -> DataFrame:
     return memory.one_hop(hits.select("request_id", "rank", "id"), related)
 
 
-@query("""WITH p AS (SELECT c_custkey AS claim_id FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20), r AS (SELECT c_custkey AS claim_id FROM customer WHERE c_nationkey = 7)
-SELECT claim_id, 'preference' AS source FROM p WHERE claim_id % 7 <> 0 UNION ALL SELECT claim_id, 'recall' FROM r WHERE claim_id % 7 <> 0 AND claim_id NOT IN (SELECT claim_id FROM p)""")
-def claim_context(t: Tables) -> DataFrame:
-    """Preferences by confidence, then recalled claims that are not among them, without excluded ones."""
-    top = t.customer.where("c_mktsegment = 'BUILDING'").orderBy(F.desc_nulls_last("c_acctbal"), "c_custkey").limit(20).select(F.col("c_custkey").alias("claim_id"))
-    found = t.customer.where("c_nationkey = 7").select(F.col("c_custkey").alias("claim_id")).join(top, "claim_id", "left_anti")
-    both = top.withColumn("source", F.lit("preference")).unionByName(found.withColumn("source", F.lit("recall")))
-    return both.join(t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("claim_id")), "claim_id", "left_anti")
-
-
 # ---------------------------------------------------------------- graph and claims
 @query("WITH i AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 50 = 0 UNION SELECT -1), f AS (SELECT p_partkey AS id, lower(p_name) AS family FROM part) SELECT DISTINCT f.id FROM f WHERE family IN (SELECT family FROM f JOIN i USING (id)) UNION SELECT id FROM i WHERE id NOT IN (SELECT id FROM f)")
 def family_expansion(t: Tables) -> DataFrame:
@@ -389,11 +388,6 @@ def user_correction(t: Tables) -> DataFrame:
     return memory.corrected(c, c.where("cast(claim_id as long) % 50 = 0").select("claim_id", F.lit("new").alias("content")), 0.8571)[0]
 
 
-@query("SELECT doc_id, CASE WHEN n_chars > 1500 THEN 'isolated' WHEN n_chars < 100 THEN 'low_confidence' ELSE 'promotion' END AS list FROM documents WHERE lang = 'fr'")
-def review_lists(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'fr'").select("doc_id", F.when(F.col("n_chars") > 1500, "isolated").when(F.col("n_chars") < 100, "low_confidence").otherwise("promotion").alias("list"))
-
-
 # ---------------------------------------------------------------- upkeep and evaluation
 @query("WITH s AS (SELECT user_id AS query_id, avg(value) FILTER (WHERE event_id % 2 = 0) AS a, avg(value) FILTER (WHERE event_id % 2 = 1) AS b FROM events GROUP BY 1), d AS (SELECT round(b - a, 9) AS d FROM s WHERE a IS NOT NULL AND b IS NOT NULL) SELECT count(*) FILTER (WHERE d > 0) AS wins, count(*) FILTER (WHERE d < 0) AS losses, count(*) FILTER (WHERE d = 0) AS ties, round(avg(d), 6) AS delta, round(avg(d), 6) >= -0.3 AS non_inferior FROM d")
 def non_inferiority(t: Tables) -> DataFrame:

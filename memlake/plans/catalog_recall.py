@@ -260,3 +260,23 @@ def migrated_evidence(t: Tables) -> DataFrame:
     path = shared.new_path(t.spark, "migration")
     migration.migrate(rows, keys, path, "run")
     return migration.migrated(t.spark, path).select("evidence_id", "migrated_from_memory_id", "owner_id", "scope", "processing_state")
+
+
+@query(f"""WITH c AS ({_CLAIM}), a AS ({_ASKS}),
+p AS (SELECT q.request_id, e.id, row_number() OVER (PARTITION BY q.request_id ORDER BY confidence DESC NULLS LAST, e.id)::INT AS rank FROM a q JOIN c e ON q.owner_id = e.owner_id AND e.active AND (e.scope IS NULL OR e.scope = q.scope) AND e.claim_kind = 'k2' QUALIFY rank <= 5),
+s AS (SELECT q.request_id, e.id, e.confidence, CASE WHEN e.embedding IS NOT NULL THEN {_SIM} END AS s FROM a q JOIN c e ON {_SEEN}),
+r AS (SELECT *, CASE WHEN s IS NOT NULL AND row_number() OVER (PARTITION BY request_id ORDER BY round(s, 9) DESC NULLS LAST, id) <= 50 THEN round((s + 1) / 2, 4) ELSE 0 END AS relevance FROM s),
+f AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY round(relevance * coalesce(confidence, 0.4)::DOUBLE, 4) DESC, id)::INT AS rank FROM r QUALIFY rank <= 10),
+u AS (SELECT request_id, id, 'preference' AS source, rank FROM p UNION ALL SELECT request_id, id, 'search', rank FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.request_id = f.request_id AND p.id = f.id))
+SELECT * FROM u WHERE NOT (id % 7 = 0 AND request_id % 100 = 0)""")
+def claim_context(t: Tables) -> DataFrame:
+    """The surest claims of one kind and what the search finds, without what a session has had."""
+    asks, rows = _claims(t)
+    excluded = asks.where("request_id % 100 = 0").select("request_id").join(rows.where("id % 7 = 0").select("id", "owner_id").join(asks.select("owner_id", "request_id"), "owner_id").select("request_id", "id"), "request_id")
+    return claims.context(asks, rows, excluded, "k2", 5)
+
+
+@query(f"""WITH {_JUDGED}, c AS ({_CLAIM}) SELECT 'isolated' AS list, 'ev_' || event_id AS id, 'too_long' AS reason FROM events WHERE event_id % 10 = 9 UNION ALL SELECT 'low_confidence', id::VARCHAR, CASE WHEN confidence IS NULL THEN 'unknown' ELSE 'low' END FROM c WHERE active AND (confidence IS NULL OR confidence < 0.4)""")
+def review_lists(t: Tables) -> DataFrame:
+    _, evidence, judgements = _evidence(t)
+    return claims.review(evidence, judgements, _claims(t)[1].withColumnRenamed("id", "claim_id"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from memlake.functions import text
 from memlake.operators import chunking, code, extraction
 from memlake.plans.catalog import Tables, query
+from memlake.streaming import injection
 
 # ---------------------------------------------------------------- code
 _LINES = "SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INT AS n, l_partkey AS part, l_quantity::INT AS q FROM lineitem"
@@ -93,3 +94,55 @@ def entity_dimensions(t: Tables) -> DataFrame:
     """How many types, and how many texts, each dimension has."""
     types = extraction.rule_entities(_messages(t)).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
     return types.groupBy(extraction.dimension(F.col("type")).alias("dimension")).agg(F.count("*").alias("n_texts"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+# ---------------------------------------------------------------- pieces of texts
+@query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 500) AS head, regexp_extract(substr(text, 1, 500), '(?s)^(.*[。！？.!?])', 1) AS whole FROM documents) SELECT doc_id, CASE WHEN length(text) <= 500 THEN text WHEN length(whole) - 1 > 400 THEN whole ELSE head END AS cut FROM h""")
+def sentence_cuts(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.cut_at_sentence(F.col("text"), 500).alias("cut"))
+
+
+@query()
+def document_sections(t: Tables) -> DataFrame:
+    return chunking.document_sections(t.documents)
+
+
+_TIMES = "concat('请看', CASE c_custkey % 7 WHEN 0 THEN '今天' WHEN 1 THEN '昨天和今天' WHEN 2 THEN '前天' WHEN 3 THEN '最近' WHEN 4 THEN '本周' WHEN 5 THEN '上周' ELSE '明年' END, '的', c_name)"
+
+
+@query("""WITH d AS (SELECT c_custkey, DATE '2024-01-01' + (c_custkey % 365)::INT AS day, c_custkey % 7 AS k FROM customer), m AS (SELECT *, (day - (isodow(day) - 1)::INT)::DATE AS monday FROM d)
+SELECT c_custkey, CASE k WHEN 0 THEN day WHEN 1 THEN day WHEN 2 THEN day - 2 WHEN 3 THEN day - 7 WHEN 4 THEN monday WHEN 5 THEN monday - 7 END::DATE AS first, CASE k WHEN 0 THEN day WHEN 1 THEN day WHEN 2 THEN day - 2 WHEN 3 THEN day WHEN 4 THEN monday + 6 WHEN 5 THEN monday - 1 END::DATE AS last, CASE k WHEN 0 THEN '今天' WHEN 1 THEN '今天' WHEN 2 THEN '前天' WHEN 3 THEN '最近' WHEN 4 THEN '本周' WHEN 5 THEN '上周' END AS word FROM m""")
+def time_ranges(t: Tables) -> DataFrame:
+    """Messages with words for times, each read on a day of its own."""
+    day = F.expr("date_add(date'2024-01-01', cast(c_custkey % 365 as int))")
+    return t.customer.select("c_custkey", text.time_range(F.expr(_TIMES), day).alias("r")).select("c_custkey", "r.first", "r.last", "r.word")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 3 THEN props END AS json FROM events""")
+def salvaged_json(t: Tables) -> DataFrame:
+    """Answers that are JSON, hold it in a fence or in a sentence, or don't hold any."""
+    answer = F.expr("CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('Here {it} is:\n```json\n', props, '\n```\nmore') WHEN 2 THEN concat('Sure: ', props, ' as asked.') WHEN 3 THEN concat('{', user_id, ' is no object}') ELSE 'nothing' END")
+    return t.events.select("event_id", text.salvaged_json(answer).alias("json"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, replace(replace(text, '#', ''), chr(34), '') AS x FROM conversations)
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '【发现/决策】' || chr(10) || regexp_replace(x, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || '[代码已省略]' || chr(10) || chr(10) || 'end' WHEN 1 THEN '【明确约束】' || chr(10) || '- never ' || conv_id || chr(10) || '- always' WHEN 2 THEN '【发现/决策】' || chr(10) || 'one' || chr(10) || chr(10) || '【明确约束】' || chr(10) || '- never' END AS sections FROM c""")
+def summary_sections(t: Tables) -> DataFrame:
+    """Summaries made of turns: discoveries with code, constraints, both or none."""
+    c = t.conversations.withColumn("x", F.regexp_replace("text", '[#"]', ""))
+    summary = F.expr("""CASE turn % 4 WHEN 0 THEN concat('# S\n## Discoveries\n', x, '\n\n```py\ncode ## \n```\n\n\nend\n\n## Next\nmore') WHEN 1 THEN concat('## 3. Explicit Constraints\nas said:\n- "never ', conv_id, '"\n-  "always"\n\ntail') WHEN 2 THEN '## Discoveries\none\n## Explicit Constraints\n- "never"' ELSE x END""")
+    return c.select("conv_id", "turn", text.important_sections(summary).alias("sections"))
+
+
+@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{w}'" for w in injection.KEYWORDS) + " END AS keyword FROM conversations")
+def trigger_keywords(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", text.first_of(F.col("text"), injection.KEYWORDS).alias("keyword"))
+
+
+@query("""SELECT source, count(*) AS n, count(*) - count(*) FILTER (n_chars > 500) - count(*) FILTER (n_chars < 100) AS history, round(100.0 * count(*) FILTER (n_chars > 500) / count(*))::INT AS active_percent, round(100.0 * count(*) / max(count(*)) OVER ())::INT AS bar FROM documents GROUP BY source""")
+def dashboard_bars(t: Tables) -> DataFrame:
+    """Containers with what is neither active nor forgotten, the share that is active, and the height of their bars."""
+    active, gone = F.count_if(F.col("n_chars") > 500), F.count_if(F.col("n_chars") < 100)
+    g = t.documents.groupBy("source").agg(F.count("*").alias("n"), (F.count("*") - active - gone).alias("history"), F.round(100 * active / F.count("*")).cast("int").alias("active_percent"))
+    most = g.agg(F.max("n").alias("most"))
+    return g.crossJoin(F.broadcast(most)).select("source", "n", "history", "active_percent", F.round(100 * F.col("n") / F.col("most")).cast("int").alias("bar"))

@@ -125,4 +125,4 @@ def test_containment_looks_for_whole_items(spark, tmp_path):
     docs = [(1, f"before {item}after"), (2, item[:40] + " goes on in another way"), (3, item[41:]), (4, None), (5, "")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, item), (8, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert [tuple(r) for r in catalog.queries()["substring_containment_whole"](spark, str(tmp_path)).collect()] == [(1, 7)]
+    assert [tuple(r) for r in catalog.queries()["substring_containment_join"](spark, str(tmp_path)).collect()] == [(1, 7)]

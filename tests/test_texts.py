@@ -206,3 +206,46 @@ def test_dimensions_and_graph_entities(spark):
     e = spark.createDataFrame(rows, "doc_id long, type string, text string, position int")
     assert {r.doc_id: r.dimension for r in extraction.primary_dimension(e).collect()} == {1: "person", 2: "meta", 3: "meta"}
     assert {(r.text, r.type) for r in extraction.graph_entities(e, ["person", "skill"]).collect()} == {("a", "person"), ("b", "thing"), ("d", "skill"), ("e", "thing"), ("f", "thing")}
+
+
+# ---------------------------------------------------------------- pieces of texts
+def column(spark, values, make, schema="x string"):
+    from pyspark.sql import functions as F
+
+    return [r[0] for r in spark.createDataFrame([(v,) for v in values], schema).select(make(F.col("x"))).collect()]
+
+
+def test_sections():
+    text = "a" * 10 + "\n\n" + "b" * 25 + "\n \n\n" + "c" * 5 + "\n\n" + "d" * 5
+    assert chunking.sections(text, 20) == ["a" * 10, "b" * 25, "c" * 5 + "\n\n" + "d" * 5]
+    assert chunking.sections(None, 5) == [] and chunking.sections("", 5) == [""] and chunking.sections("x\n\ny", 50) == ["x\n\ny"] and chunking.sections(" \n\n " * 9, 5) == []
+
+
+def test_small_functions(spark):
+    from pyspark.sql import functions as F
+
+    from memlake.functions import text as t
+
+    assert column(spark, ["short.", "a" * 90 + ". " + "b" * 50, "a" * 70 + ". " + "b" * 50, None], lambda c: t.cut_at_sentence(c, 100)) == ["short.", "a" * 90 + ".", ("a" * 70 + ". " + "b" * 50)[:100], None]
+    assert column(spark, ['{"a": 1}', "x ```json\n[1, 2]\n``` y", 'so {"a": {"b": 2}} it is', "```json\nbroken", "no", None, "12"], t.salvaged_json) == ['{"a": 1}', "[1, 2]", '{"a": {"b": 2}}', None, None, None, "12"]
+    assert column(spark, ["insufficient credits", "got 429", "Rate_Limit", "other", None], lambda c: t.degraded_reason(c, F.lit("KeyError"))) == ["llm_error: insufficient_credits", "llm_error: rate_limited", "llm_error: rate_limited", "llm_error: KeyError", None]
+    assert column(spark, ["2024-01-01|é|x"], lambda c: F.array_join(t.cursor_parts(t.cursor(*(F.split(c, r"\|")[k] for k in range(3)))), "#")) == ["2024-01-01#é#x"]
+    assert column(spark, [["abc", "中文字a"], ["abc", ""], [], ["a中bcdefg"]], t.is_chinese, "x array<string>") == [True, False, False, False]
+    found = column(spark, ["昨天 本周", "nothing", "上周见"], lambda c: t.time_range(c, F.lit("2024-05-15").cast("timestamp")))
+    assert [None if r is None else (str(r.first), str(r.last), r.word) for r in found] == [("2024-05-14", "2024-05-14", "昨天"), None, ("2024-05-06", "2024-05-12", "上周")]
+    assert column(spark, ["## Discoveries\n\n\n\n", "## Discoveries\nx\n```\ny\n```", "none", None], t.important_sections) == [None, "【发现/决策】\nx\n\n[代码已省略]", None, None]
+
+
+def test_written_memories_and_needles(spark, monkeypatch):
+    from memlake.operators import memory, relational
+
+    new = spark.createDataFrame([(1, "a", [1.0, 0.0], False), (2, "a", [1.0, 0.1], True), (3, "a", [1.0, 0.5], True), (4, "a", [1.0, 0.5], None), (5, "b", [1.0, 0.0], True), (6, "a", None, True)], "id long, tag string, embedding array<double>, is_capture boolean")
+    old = spark.createDataFrame([(10, "a", [1.0, 0.0], 2), (11, "a", [0.0, 1.0], 0)], "id long, tag string, embedding array<double>, merged_count long")
+    found = memory.written_dedup(new, old)
+    assert {r.id: (r.action, r.other) for r in found.collect()} == {1: ("merged", 10), 2: ("dropped", 10), 3: ("dropped", 10), 4: ("kept", None), 5: ("kept", None), 6: ("kept", None)}
+    assert {r.id: r.merged_count for r in memory.merged(old, found).collect()} == {10: 3, 11: 0}
+    assert {r.id: r.reason for r in memory.distilled(found).where("dropped").collect()} == {1: "similar_to:10", 2: "similar_to:10", 3: "similar_to:10"}
+    texts_ = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, None)], "id long, text string")
+    needles = spark.createDataFrame([("a", "two"), ("b", "three"), ("c", None), ("d", "two"), ("e", "x" * 50)], "name string, needle string")
+    for most in (10**6, 60):
+        assert sorted((r.id, r.name) for r in relational.containing(texts_, needles, most).collect()) == [(1, "a"), (1, "b"), (1, "d"), (2, "a"), (2, "d")]
