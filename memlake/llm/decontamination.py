@@ -3,12 +3,14 @@
 The index holds postings (term, document, position) of training texts. Test
 phrases are windows of consecutive item words. Each window is looked up from its
 rarest terms (by their counts over all documents): the postings of its anchor
-terms are shifted by the term's offset in the window and intersected by
+terms are shifted by the term's offset in the window, stored, and intersected by
 (window, document, start); what all anchors agree on is compared with the whole
-window, carried by the rarest anchor's postings. ``proximity`` does the same with
-terms that only need to stand within a span.
+window, carried by the rarest anchor's postings. From the same stored postings come
+near matches: places where all words of a window stand within ``REACH`` words of its
+rarest one, in any order and with others between. ``proximity`` looks for phrases of
+any words within a span.
 
-Scale: postings are kept for anchor terms only; texts never leave their scan.
+Scale: of anchor terms those postings are stored that a match can need; texts never leave their scan.
 What is broadcast comes from the benchmark, in blocks of some ``BROADCAST_ROWS``
 anchors; a larger benchmark takes more scans, each like the first. Intersection is an
 aggregation with partial sums, so no list of a term is gathered in one task.
@@ -29,6 +31,8 @@ from memlake.llm.common import ascii_lower, written
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 ANCHORS = 3
+#: Words to either side of a window's rarest one, for a near match.
+REACH = 10
 BROADCAST_ROWS = 200_000
 
 
@@ -59,14 +63,14 @@ def _first_real(w: str = "w") -> str:
     return f"if({w}[0] = '', 1, 0)"
 
 
-def tokens(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, h, pos, term): every word of every text with its position; h tells texts of one id apart. ``w``: the raw words."""
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, pos, term): every word of every text with its position; h tells texts of one id apart."""
     w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), raw_words(F.col("text")).alias("w"))
-    return w.select("doc_id", "h", *more, F.posexplode("w").alias("pos", "term")).withColumn("term", ascii_lower(F.col("term")))
+    return w.select("doc_id", "h", F.posexplode("w").alias("pos", "term")).withColumn("term", ascii_lower(F.col("term")))
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, start, n, window_id): all places of all windows; and the windows."""
+def stored_postings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS, reach: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written index (doc_id, h, window_id, start, n, rank, fits, same, near): postings of anchor terms, moved to where their window would start; the windows; and how many anchors each window needs. ``fits``: the next anchor is in its place; ``near`` (only with ``reach``): all words are in reach of the rarest one."""
     windows = written(item_windows(benchmark, window), "windows")
     terms = windows.select("window_id", F.posexplode("terms").alias("off", "term"))
     vocabulary = written(terms.select("term").distinct(), "vocabulary")
@@ -94,19 +98,39 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anc
     found = None
     for k in range(n_blocks):
         part = paired.where(F.col("part") == k).drop("part") if n_blocks > 1 else paired
-        now = _placed(docs, part)
+        now = _placed(docs, part, reach)
         found = now if found is None else found.unionByName(now)
-    met = found.groupBy("window_id", "doc_id", "h", "start", "n").agg(F.count_distinct("rank").alias("met"), F.bool_or("same").alias("same"))
-    met = met.where("same").join(_sized(need, n_anchor), "window_id").where("met = need")
-    return met.select("doc_id", "h", "start", "n", "window_id"), windows
+    return written(found, "postings"), windows, _sized(need, n_anchor)
+
+
+def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, start, n, window_id): all places of all windows; and the windows."""
+    postings, windows, need = stored_postings(docs, benchmark, window, anchors)
+    return _intersected(postings, need), windows
+
+
+def _intersected(postings: DataFrame, need: DataFrame) -> DataFrame:
+    met = postings.where("fits").groupBy("window_id", "doc_id", "h", "start", "n").agg(F.count_distinct("rank").alias("met"), F.bool_or("same").alias("same"))
+    met = met.where("same").join(need, "window_id").where("met = need")
+    return met.select("doc_id", "h", "start", "n", "window_id")
 
 
-def _placed(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+def _placed(docs: DataFrame, anchors: DataFrame, reach: int | None) -> DataFrame:
     """Postings of anchor terms, moved to where their window would start; the rarest anchor's compares the whole window."""
-    postings = tokens(docs, "w").join(F.broadcast(anchors), "term").where(F.col("mate").isNull() | (ascii_lower(F.expr("get(w, pos + shift)")) == F.col("mate")))
+    # no expression below the texts' own rows may leave generated code: a posting then never carries its text's words along
+    w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
+    fits = F.col("mate").isNull() | F.coalesce(F.expr("get(w, pos + shift)") == F.col("mate"), F.lit(False))
+    postings = w.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term")).join(F.broadcast(anchors), "term").withColumn("fits", fits)
+    if reach is None:
+        postings = postings.where("fits").withColumn("near", F.lit(False))
+    else:
+        first = F.greatest(F.col("pos") - reach, F.lit(0))
+        around = F.slice("w", first + 1, F.col("pos") + reach + 1 - first)
+        near = F.when(F.col("rank") == 1, F.size(F.array_except("terms", around)) == 0).otherwise(F.lit(False))
+        postings = postings.withColumn("near", near).where("fits or near")
     start = F.expr("pos - off")
-    text = F.when(F.col("rank") == 1, F.when((start >= 0) & (start + F.col("n") <= F.size("w")), F.transform(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), ascii_lower)))
-    return postings.select("doc_id", "h", "window_id", (start - F.expr(_first_real())).alias("start"), "n", (F.lit(1) * F.col("rank")).alias("rank"), (text == F.col("terms")).alias("same"))
+    text = F.when(F.col("rank") == 1, F.when((start >= 0) & (start + F.col("n") <= F.size("w")), F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n"))))
+    return postings.select("doc_id", "h", "window_id", (start - F.expr(_first_real())).alias("start"), "n", (F.lit(1) * F.col("rank")).alias("rank"), "fits", (text == F.col("terms")).alias("same"), "near")
 
 
 def proximity(docs: DataFrame, phrases: DataFrame, span: int = 20) -> DataFrame:
@@ -124,19 +148,23 @@ def proximity(docs: DataFrame, phrases: DataFrame, span: int = 20) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted), contaminated: one row for each row of docs."""
-    hits, windows = window_hits(docs, benchmark, window)
-    hits = written(hits, "hits")
+    """doc_id, n_words, n_hit, items (sorted), contaminated, near_items (sorted): one row for each row of docs."""
+    postings, windows, need = stored_postings(docs, benchmark, window, reach=REACH)
+    hits = written(_intersected(postings, need), "hits")
     covered = hits.select("doc_id", "h", F.explode(F.sequence(F.col("start"), F.expr("start + n - 1"))).alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
     items = hits.select("doc_id", "h", "window_id").distinct().join(windows.select("window_id", "items"), "window_id")
     items = items.select("doc_id", "h", F.explode("items").alias("item")).distinct().groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    near = postings.where("near").select("doc_id", "h", "window_id").distinct().join(windows.select("window_id", "items"), "window_id")
+    near = near.select("doc_id", "h", F.explode("items").alias("item")).distinct().groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("item")).alias("near_items"))
     w = raw_words(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), w.alias("w"))
     rows = rows.select("doc_id", "h", F.expr("cast(size(w) - if(w[0] = '', 1, 0) - if(size(w) > 1 and w[size(w) - 1] = '', 1, 0) as long)").alias("n_words"))
     i = items.withColumnsRenamed({"doc_id": "i_id", "h": "i_h"})
     both = covered.join(i, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("h") == F.col("i_h"))).drop("i_id", "i_h").withColumnsRenamed({"doc_id": "d", "h": "g"})
+    # all that is hit is near too
+    both = near.join(both, near.doc_id.eqNullSafe(both.d) & (near.h == both.g), "left").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_hit", "items", "near_items")
     out = rows.join(both, (rows.doc_id.eqNullSafe(both.d)) & (rows.h == both.g), "left")
-    return out.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -35,20 +35,20 @@ _ATTRIBUTES = r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)(?:>|\Z)"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)" + _ATTRIBUTES + r"|<[!?][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: What these hold is no text, up to their end tag.
-_SWALLOWED = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea svg iframe object select".split()}
+_SWALLOWED = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template textarea svg iframe select".split()}
 _CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Costs of the text right below an element; each block element on the way down takes _STEP off, an article _ARTICLE.
-_OUTSIDE = {"head": 1000, "title": 1000} | dict.fromkeys("nav footer aside button menu dialog".split(), 120) | {"form": 50}
+_OUTSIDE = {"head": 1000, "title": 1000} | dict.fromkeys("nav footer aside button menu dialog".split(), 120) | {"form": 50, "noscript": 50}
 _NOISY, _NESTED, _HIDES, _STEP, _ARTICLE, _ABOUT = 70, 85, 120, 15, 40, 35
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: No start tag ends a paragraph outside these.
 _SCOPES = frozenset("div section article main body td blockquote ul ol table".split())
 #: Words of class, id and role names that mark what isn't the article.
-_NOISE = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+_NOISE = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent discuss discussion discussions disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted reactions recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
 #: A name that begins or ends so tells of a page's state: no-sidebar, comments-open.
 _STATE_FIRST = frozenset("no not has have with without hide".split())
 _STATE_LAST = frozenset("open closed enabled disabled on off".split())

@@ -42,7 +42,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import arrow_batch, blocks, distinct, shingle_hashes, SPACED, thrifty, word_hashes, written
@@ -284,7 +284,7 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of edges (a, b): the smallest node reachable. Minimum labels with pointer jumping; each round is a written table."""
     # a node's smallest neighbour takes its place in its other edges: stars remain, and edges between their centres
-    star = edges.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("least"))
+    star = edges.join(edges.groupBy("a").agg(F.min("b").alias("least")), "a")
     edges = star.select("a", F.col("least").alias("b")).union(star.select(F.col("b").alias("a"), F.col("least").alias("b"))).where("a != b")
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")

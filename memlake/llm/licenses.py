@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import sys
 import types
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -180,11 +182,13 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 def scanned(raw: bytes) -> tuple:
     words = raw.translate(ALNUM_TABLE).split()
     line = b" " + b" ".join(words) + b" "
-    places, base = [], set()
+    places, base, starts = [], set(), None
     for phrase, label in _PHRASES.items():
         k = line.find(phrase)
         while k >= 0:
-            places.append(line.count(b" ", 0, k))
+            if starts is None:
+                starts = [0, *accumulate(len(w) + 1 for w in words)]
+            places.append(bisect_left(starts, k))
             base.add(label)
             k = line.find(phrase, k + 1)
     chains = spans(words, 0)

@@ -18,7 +18,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,12 @@ grams AS (SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BE
 p AS (SELECT doc_id, i, n, g[1:n] AS t FROM grams, lens WHERE len(g) >= n),
 hits AS (SELECT p.doc_id, p.i, p.n, win.item FROM p JOIN win ON p.t = win.t),
 cov AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS q FROM hits) GROUP BY doc_id),
+freq AS (SELECT x, count(*) AS c FROM words GROUP BY 1),
+rare AS (SELECT t, arg_min(x, (coalesce(c, 0), x)) AS x FROM (SELECT DISTINCT t, unnest(t) AS x FROM win) LEFT JOIN freq USING (x) GROUP BY 1),
+near AS (SELECT words.doc_id, count(DISTINCT win.item) AS n_near_items FROM words JOIN rare USING (x) JOIN d USING (doc_id) JOIN win ON win.t = rare.t WHERE list_has_all(d.w[greatest(words.i - 10, 1):words.i + 10], rare.t) GROUP BY 1),
 it AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op5_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),

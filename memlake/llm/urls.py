@@ -87,7 +87,7 @@ def mined_rules(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     alike = written(alike.groupBy("c", "x", "y", F.col("i").startswith("label:").alias("is_label")).agg(F.array_sort(F.collect_list("i")).alias("same")).select("same", F.col("same")[0].alias("i")), "alike")
     short = each.join(alike.select("i"), "i", "left_semi").groupBy("k").agg(F.collect_list("i").alias("items"))
     short = written(short.select("items"), "transactions")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, 2 / max(n, 1))), minConfidence=min_confidence, numPartitions=8).fit(short)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, 2 / max(n, 1))), minConfidence=min_confidence, numPartitions=max(8, n // 50_000)).fit(short)
     rules = model.associationRules.where("consequent[0] like 'label:%' and not exists(antecedent, x -> x like 'label:%')")
     rules = rules.select(F.xxhash64("antecedent", "consequent").alias("r"), "antecedent", F.substring_index(F.col("consequent")[0], ":", -1).alias("verdict"), "confidence", "support")
     # each token of a rule stands for all that are alike with it: a rule for each choice

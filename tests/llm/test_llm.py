@@ -511,3 +511,33 @@ def test_cutting_stock_over_all_classes_beside_the_jvm(spark):
     assert sum(t for t, _ in found) <= sum(t for t, _ in packing.first_fit_decreasing(demand))
     m = np.random.default_rng(4).normal(size=(60, 60))
     assert np.abs((packing.inverted(m)[:, :, None] * m[None]).sum(axis=1) - np.eye(60)).max() < 1e-8
+
+
+def test_near_matches_against_plain_search(spark):
+    """Windows whose words all stand near their rarest one: reordered, with words between, at the ends, and of short items."""
+    rng = np.random.default_rng(21)
+    vocabulary = [f"t{k}" for k in range(40)]
+    items = {k: " ".join(rng.choice(vocabulary, n)) for k, n in enumerate((14, 10, 3, 1, 12))} | {9: None, 10: "absent words only"}
+    texts = [" ".join(rng.choice(vocabulary, 60)) for _ in range(15)] + [None, "", items[0], items[2].upper()]
+    for i in (0, 1, 4):
+        w = items[i].split()[:10]
+        rng.shuffle(w)
+        texts.append("x y " + " zz ".join(w[:5]) + " " + " ".join(w[5:]) + " end")
+    got = {r.doc_id: r.near_items for r in decontamination.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    counts = collections.Counter(x for t in texts for x in words(ALNUM, t))
+    want = {k: set() for k in range(len(texts))}
+    for i, t in items.items():
+        w = words(ALNUM, t)
+        for part in {tuple(w[k : k + 10]) for k in range(max(len(w) - 9, 1))} if w else ():
+            rare = min(set(part), key=lambda x: (counts[x], x))
+            for d, text in enumerate(texts):
+                v = words(ALNUM, text)
+                if any(v[k] == rare and set(part) <= set(v[max(0, k - 10) : k + 11]) for k in range(len(v))):
+                    want[d].add(str(i))
+    assert got == {d: sorted(x) for d, x in want.items()} and sum(map(len, want.values())) >= 12
+
+
+def test_places_of_phrases_are_words(spark):
+    text = "cc by " * 3 + "x all rights reserved, General  Public-License ccby cc.by"
+    r = licenses.license_scan(spark.createDataFrame([(1, text), (2, "cc by " * 60_000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (r[0].n_base, r[0].first_word, r[0].last_word) == (6, 0, 14) and (r[1].n_base, r[1].last_word) == (60_000, 119_998)
