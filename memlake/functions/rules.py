@@ -157,3 +157,45 @@ def relation_kept(source: Column, target: Column, kind: Column, confidence: Colu
     """struct(kind, confidence) of a relation whose fields are all set and that is sure enough (0.3), else null; unknown kinds are related_to."""
     whole = (F.coalesce(source, F.lit("")) != "") & (F.coalesce(target, F.lit("")) != "") & (F.coalesce(kind, F.lit("")) != "")
     return F.when(whole & (confidence >= 0.3), F.struct(F.when(kind.isin(known), kind).otherwise("related_to").alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence")))
+
+
+# What cleaning up entities looks for, by name: the type that is looked at (or any), patterns of the name (and whether case matters), parts of the name, whole names.
+NOISE_FINDERS = [
+    ("file_path", None, [r"^[a-zA-Z0-9_\-./]+$"], True, [], []),
+    ("numeric", None, [r"^[0-9.]+$"], True, [], []),
+    ("table_field", None, [r"(表|字段|端点|配置|方法|函数|参数)$"], True, [], []),
+    ("version", None, [r"^v?[0-9]+\.[0-9]+(\.[0-9]+)?", r"[0-9]+\.[0-9]+版本"], True, [], []),
+    ("random_id", None, [r"^(bg_)?[a-f0-9]{6,}$"], True, [], []),
+    ("bug_problem", None, [r"(bug|错误|问题)$"], False, [], []),
+    ("format_invalid", None, [r"^[#*\-\|]+\s*", r"\|\s*\d"], True, [], []),
+    ("invalid_person", "person", [r"[#\*\-\|]", r"\|\s*\d", r"^[#\-\*]+\s*", r"^(将\s*\|)"], True, ["游戏", "用户", "文档"], ["史诗", "天罡", "地煞"]),
+    ("system_suffix", None, [r"系统$"], True, [], []),
+    ("price_cost", None, [r"(价格|费用)$"], True, [], []),
+    ("probability_threshold", None, [r"(概率|阈值)$"], True, [], []),
+    ("migration", None, [r"^迁移", r"(?i)^migration", r"迁移.*\d"], True, [], []),
+    ("technical_number", None, [r"^技术\d+$"], True, [], []),
+    ("card_rarity", None, [r"^(传说|史诗|普通|稀有|特典|神话)卡$", r"^(天罡|地煞)星$"], True, [], []),
+    ("draw_count", None, [r"^\d+.*抽$", r"^\d+张.*卡牌$"], True, [], []),
+    ("invalid_preference", "preference", [], True, ["卡牌", "游戏", "开发", "测试", "整洁"], []),
+    ("invalid_event", "event", [], True, ["配置项", "机制", "通过率", "清理", "修复", "测试"], []),
+    ("invalid_organization", "organization", [], True, ["agent", "仓库"], ["Kimi"]),
+    ("invalid_location", "location", [], True, ["仓库"], ["Google", "Supermemory"]),
+]
+
+
+def noise_reasons(name: Column, kind: Column) -> Column:
+    """The names of all finders that hit an entity, besides those that need other entities (``operators.memory.noisy``)."""
+    hits = []
+    for finder, type_, patterns, case, parts, whole in NOISE_FINDERS:
+        hit = F.lit(False)
+        for p in patterns:
+            hit = hit | name.rlike(p if case else f"(?i){p}")
+        for x in parts:
+            hit = hit | name.contains(x)
+        if whole:
+            hit = hit | name.isin(whole)
+        if finder == "file_path":
+            hit = hit & (name.contains("/") | name.rlike(r"\.[a-z]{2,4}$"))
+        hits.append(F.when(hit if type_ is None else (kind == type_) & hit, F.lit(finder)))
+    hits.append(F.when((F.length(name) < 2) | (F.length(name) > 20), F.lit("length_invalid")))
+    return F.array_compact(F.array(*hits))

@@ -196,12 +196,23 @@ def incremental(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def conversation_chunks(turns: DataFrame, most: int = 3000) -> DataFrame:
-    """conv_id, chunk, content from (conv_id, turn, role, text): whole turns in order, a new chunk where the next turn would pass ``most`` characters. A turn that is longer stands alone."""
+    """conv_id, chunk, content from (conv_id, turn, role, text): whole turns in order, a new chunk where the next turn would pass ``most`` characters. A turn that is longer stands alone. Turns are read in order, one conversation after the other; no conversation is gathered."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, size, chunk = None, 0, 0
+        for b in batches:
+            of = []
+            for conv, n in zip(b["conv_id"], b["n"]):
+                if conv != key:
+                    key, size, chunk = conv, 0, 0
+                elif size + n > most:
+                    size, chunk = 0, chunk + 1
+                size += n
+                of.append(chunk)
+            yield b.assign(chunk=of)[["conv_id", "turn", "line", "chunk"]]
+
     line = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.coalesce("text", F.lit("")))
-    g = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line"), F.coalesce(F.length("text"), F.lit(0)).alias("n")))).alias("l"))
-    begin = "cast(null as struct<n: int, chunk: int, of: array<int>>)"
-    full = f"acc is not null and acc.n + x.n > {most}"
-    step = f"struct(if({full} or acc is null, x.n, acc.n + x.n) as n, coalesce(acc.chunk, 0) + if({full}, 1, 0) as chunk, concat(coalesce(acc.of, array()), array(coalesce(acc.chunk, 0) + if({full}, 1, 0))) as of)"
-    g = g.withColumn("of", F.expr(f"aggregate(l, {begin}, (acc, x) -> cast({step} as struct<n: int, chunk: int, of: array<int>>)).of"))
-    each = g.select("conv_id", F.explode(F.arrays_zip("of", "l")).alias("z")).groupBy("conv_id", F.col("z.of").alias("chunk")).agg(F.array_sort(F.collect_list("z.l")).alias("l"))
+    rows = turns.select("conv_id", "turn", line.alias("line"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "line").mapInPandas(deal, "conv_id long, turn long, line string, chunk int")
+    each = dealt.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
     return each.select("conv_id", "chunk", F.array_join("l.line", "\n").alias("content"))

@@ -165,3 +165,38 @@ def review(evidence: DataFrame, judgements: DataFrame, claims: DataFrame, low: f
     unsure = claims.where((F.col("status") == "active") & (F.col("content_confidence").isNull() | (F.col("content_confidence") < low)))
     reason = F.when(F.col("content_confidence").isNull(), "unknown").otherwise("low")
     return alone.unionByName(unsure.select(F.lit("low_confidence").alias("list"), F.col("claim_id").cast("string").alias("id"), reason.alias("reason")))
+
+
+# ---------------------------------------------------------------- decisions of a person
+CONFIRMED = 0.5
+
+
+def confirmed(claims: DataFrame, ids: DataFrame) -> DataFrame:
+    """Claims with the confidence of those confirmed (claim_id) moved as by evidence of strength 0.5; each confirmation counts."""
+    n = ids.groupBy("claim_id").agg(F.product(F.lit(1 - CONFIRMED * SHARE)).alias("left"))
+    moved = _moved(F.col("content_confidence"), F.lit(CONFIRMED), F.col("left"))
+    return claims.join(n, "claim_id", "left").withColumn("content_confidence", moved).drop("left")
+
+
+def forgotten(state: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The state without the claims of ``ids`` (claim_id): retracted, each with an edge to nothing."""
+    gone = state["claims"].join(ids.select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id")
+    edges = gone.select(F.col("claim_id").alias("from_claim"), F.lit(None).cast("string").alias("to_claim"), F.lit("retract").alias("type"), F.lit(None).cast("string").alias("evidence_id"))
+    claims = state["claims"].join(gone.withColumn("__gone", F.lit(True)), "claim_id", "left").withColumn("status", F.when(F.col("__gone"), "retracted").otherwise(F.col("status"))).drop("__gone")
+    return state | {"claims": claims, "edges": state["edges"].unionByName(edges)}
+
+
+def promoted(claims: DataFrame, links: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
+    """Decisions (claim_id, action adopt or reject) on claims (claim_id, owner_id, scope, claim_kind, content_confidence, status) and links (claim_id, evidence_id). An adopted claim gets one without scope beside it, on the same evidence, and an edge ``generalizes`` to it; a rejected one stays as it is. Both are told in ``activity``; what has no scope or isn't there is in neither."""
+    d = decisions.groupBy("claim_id").agg(F.min("action").alias("action"))
+    asked = claims.where("scope is not null").join(d, "claim_id")
+    name = F.concat(F.col("claim_id"), F.lit("_global"))
+    adopted = asked.where("action = 'adopt'")
+    new = adopted.select(name.alias("claim_id"), "owner_id", F.lit(None).cast("string").alias("scope"), "claim_kind", "content_confidence", F.lit("active").alias("status"))
+    copied = links.join(adopted.select("claim_id"), "claim_id", "left_semi").select(name.alias("claim_id"), "evidence_id")
+    return {
+        "claims": claims.select(*new.columns).unionByName(new),
+        "links": links.select("claim_id", "evidence_id").unionByName(copied),
+        "edges": adopted.select(F.col("claim_id").alias("from_claim"), name.alias("to_claim"), F.lit("generalizes").alias("type")),
+        "activity": asked.select("claim_id", F.lit("promoted_scope").alias("action"), F.col("action").alias("decision")),
+    }

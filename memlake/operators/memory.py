@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import rules
 from memlake.operators import ann
 
 
@@ -115,6 +116,32 @@ def longest_name(texts: DataFrame, names: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct((-F.length("name")).alias("n"), "name")).alias("m")).select("id", "m.name")
 
 
+def named_entities(queries: DataFrame, entities: DataFrame, links: DataFrame, most: int = 5) -> DataFrame:
+    """request_id, name, type, mention_count, memory_ids, position: the entities of a request's container whose names stand in its query, longest first, each name once (the smallest id), with the ``most`` smallest ids of their memories. queries: request_id, container, query; entities: id, name, type, container, mention_count; links: memory_id, entity_id."""
+    met = queries.select("request_id", "container", "query").join(entities.where("name <> ''"), "container").where(F.col("query").contains(F.col("name")))
+    once = met.groupBy("request_id", "name").agg(F.min_by(F.struct("id", "type", "mention_count"), "id").alias("e")).select("request_id", "name", "e.*")
+    first = Window.partitionBy("entity_id").orderBy("memory_id")
+    few = links.select("entity_id", "memory_id").distinct().join(once.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").withColumn("r", F.row_number().over(first)).where(F.col("r") <= most)
+    ids = few.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list("memory_id")).alias("memory_ids"))
+    out = once.join(ids, "id", "left").withColumn("position", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc(F.length("name")), "name")))
+    return out.select("request_id", "name", "type", "mention_count", F.coalesce("memory_ids", F.array().cast("array<bigint>")).alias("memory_ids"), "position")
+
+
+def noisy(entities: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """id, name, type, reasons: entities (id, name, type, mention_count) that some finder hits. ``blacklist`` (name): names without meaning, by lower case; ``duplicate``: all of a name but the one mentioned most (then of smallest id)."""
+    black = blacklist.select(F.lower("name").alias("__low"), F.lit("blacklist").alias("__black")).distinct()
+    best = Window.partitionBy("name").orderBy(F.desc("mention_count"), "id")
+    e = entities.withColumn("__low", F.lower(F.trim("name"))).join(black, "__low", "left").withColumn("__n", F.row_number().over(best))
+    reasons = F.concat(rules.noise_reasons(F.col("name"), F.col("type")), F.array_compact(F.array(F.col("__black"), F.when(F.col("__n") > 1, F.lit("duplicate")))))
+    return e.select("id", "name", "type", reasons.alias("reasons")).where("size(reasons) > 0")
+
+
+def sampled(df: DataFrame, key: Column, rate: float, forced: Column | None = None) -> DataFrame:
+    """Rows of a sample that follows from their keys: about ``rate`` of them, the same in every run; ``forced`` rows besides."""
+    share = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000 < round(rate * 10_000)
+    return df.where(share if forced is None else share | forced)
+
+
 # ---------------------------------------------------------------- graph and claims
 def family_expanded(ids: DataFrame, families: DataFrame) -> DataFrame:
     """ids (id), families (id, family): all members of the ids' families; ids without one stay."""

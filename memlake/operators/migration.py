@@ -97,10 +97,10 @@ def totals(spark: SparkSession, path: str) -> dict:
 
 
 # ---------------------------------------------------------------- the derived layer
-def swap(state: dict[str, DataFrame], path: str) -> int:
-    """Write claims, links and edges as the next version; it counts once its number is in the table of versions."""
+def swap(state: dict[str, DataFrame], path: str, version: int | None = None) -> int:
+    """Write claims, links and edges as the next version (or the one given, over what a broken run left of it); it counts once its number is in the table of versions."""
     spark = state["claims"].sparkSession
-    version = (latest(spark, path) or 0) + 1
+    version = version or (latest(spark, path) or 0) + 1
     for name in ("claims", "links", "edges"):
         state[name].write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
     spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{path}/versions")
@@ -111,7 +111,7 @@ def latest(spark: SparkSession, path: str) -> int | None:
     return spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0] if _exists(spark, f"{path}/versions") else None
 
 
-def current(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The state of the latest version."""
-    version = latest(spark, path)
+def current(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The state of the latest version, or of the one given."""
+    version = version or latest(spark, path)
     return {name: spark.read.parquet(f"{path}/{name}/version={version}") for name in ("claims", "links", "edges")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.shared import stored
+
 
 def active() -> Column:
     return F.col("is_latest") & ~F.col("is_forgotten")
@@ -81,3 +83,19 @@ def containing(texts: DataFrame, needles: DataFrame, most: int = NEEDLES) -> Dat
         now = texts.join(F.broadcast(part), F.col("text").contains(F.col("needle")))
         out = now if out is None else out.unionByName(now)
     return out
+
+
+def numbered(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``row_number`` (from 1) by a key without repetitions: numbers inside ranges of the key, after the sizes of the ranges before."""
+    ranged = stored(df.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return ranged.withColumn("__in", inside).join(F.broadcast(sizes), "__part").withColumn("row_number", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+
+
+def scan_pages(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """page, after, last, n: where each page of a scan by key begins (after which key) and ends: a scan that broke off after ``last`` goes on with the page whose ``after`` that is."""
+    pages = numbered(df.select(key), key).groupBy(F.expr(f"(row_number - 1) div {rows}").alias("page")).agg(F.max(key).alias("last"), F.count("*").alias("n"))
+    before = pages.select((F.col("page") + 1).alias("page"), F.col("last").alias("after"))
+    return pages.join(before, "page", "left").select("page", "after", "last", "n")
