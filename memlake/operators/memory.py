@@ -136,6 +136,22 @@ def noisy(entities: DataFrame, blacklist: DataFrame) -> DataFrame:
     return e.select("id", "name", "type", reasons.alias("reasons")).where("size(reasons) > 0")
 
 
+def derived(memories: DataFrame, inferences: DataFrame, confidence: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """memories (id, container_tag, content, is_inference) with one more for each inference (container_tag, content, sources: array of ids), and its ``derives`` edges to those of its sources that are there. An inference's id follows from its container and content; without sources it has no edges."""
+    new = with_id(inferences, "mem", ["container_tag", "content"]).dropDuplicates(["id"])
+    rows = new.select("id", "container_tag", "content", F.lit(True).alias("is_inference"))
+    edges = new.select(F.col("id").alias("from_id"), F.explode(F.array_distinct("sources")).alias("to_id")).join(memories.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    return memories.select("id", "container_tag", "content", "is_inference").unionByName(rows), edges.select("from_id", "to_id", F.lit("derives").alias("type"), F.lit(confidence).alias("confidence"))
+
+
+def told_once(lists: DataFrame) -> DataFrame:
+    """lists (request_id, section static, dynamic or search, position, content): every text of a request once, where it stands first: static facts before dynamic ones before what was found. Empty texts are only dropped from what was found."""
+    rank = F.when(F.col("section") == "static", 0).when(F.col("section") == "dynamic", 1).otherwise(2)
+    first = F.row_number().over(Window.partitionBy("request_id", "content").orderBy(rank, "position"))
+    kept = (F.col("section") != "search") | (F.coalesce("content", F.lit("")) != "")
+    return lists.where(kept).withColumn("__r", first).where("__r = 1").drop("__r")
+
+
 def sampled(df: DataFrame, key: Column, rate: float, forced: Column | None = None) -> DataFrame:
     """Rows of a sample that follows from their keys: about ``rate`` of them, the same in every run; ``forced`` rows besides."""
     share = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10_000 < round(rate * 10_000)

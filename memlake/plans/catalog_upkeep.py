@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import rules
-from memlake.operators import ann, claims, memory, relational
+from memlake.operators import ann, claims, memory, recall, relational
 from memlake.plans.catalog import Tables, query
 
 _SIM = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
@@ -122,3 +122,74 @@ def trace_sample(t: Tables) -> DataFrame:
 def scan_pages(t: Tables) -> DataFrame:
     """All pages of a resumable scan by key."""
     return relational.scan_pages(t.orders, "o_orderkey", 100)
+
+
+# ---------------------------------------------------------------- lists, filters and sums
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INT AS position FROM orders WHERE o_orderstatus <> 'F' QUALIFY position <= 100")
+def container_lists(t: Tables) -> DataFrame:
+    """The newest active memories of each container, in order."""
+    rows = t.orders.withColumns({"is_latest": F.lit(True), "is_forgotten": F.col("o_orderstatus") == "F"}).where(relational.active())
+    return relational.top_per_key(rows, ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 100).select("o_custkey", "o_orderkey", F.col("rank").alias("position"))
+
+
+@query("SELECT c_custkey, 'wanted' AS asked FROM customer WHERE c_custkey % 4 = 0 OR c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, 'none' FROM customer WHERE c_custkey % 4 = 0")
+def claim_scopes(t: Tables) -> DataFrame:
+    """What a request for a scope sees, and one without."""
+    scope = F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment"))
+    one = lambda wanted, name: t.customer.where(relational.scoped(scope, wanted)).select("c_custkey", F.lit(name).alias("asked"))
+    return one("BUILDING", "wanted").unionByName(one(None, "none"))
+
+
+@query("SELECT l_partkey, l_orderkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber, l_suppkey, l_quantity) = 1")
+def first_occurrences(t: Tables) -> DataFrame:
+    items = t.lineitem.withColumn("ordinal", F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), "l_suppkey", "l_quantity"))
+    return recall.first_seen(items, ["l_partkey"]).select("l_partkey", "l_orderkey")
+
+
+@query("""WITH i AS (SELECT o_custkey AS request_id, o_orderkey AS id, o_orderpriority < '3' AS core, row_number() OVER (PARTITION BY o_custkey, o_orderpriority < '3' ORDER BY o_orderkey) AS r FROM orders) SELECT request_id, id, core FROM i WHERE r <= CASE WHEN core THEN 6 ELSE 1 END""")
+def quota_truncation(t: Tables) -> DataFrame:
+    """Twice three core items of a request, and one from the entity graph."""
+    i = t.orders.select(F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ordinal"), (F.col("o_orderpriority") < "3").alias("core"))
+    return recall.quota(i.where("core"), i.where("not core"), 3).select("request_id", "id", "core")
+
+
+@query("""SELECT coalesce(event_type, 'all') AS kind, count(*) AS total, count(*) FILTER (user_id % 3 <> 1) AS ok, count(*) FILTER (user_id % 3 = 0) AS cache_hits, round(avg(value) FILTER (user_id % 3 <> 0), 4) AS avg_ms, sum(length(props))::BIGINT AS text_len FROM events GROUP BY ROLLUP (event_type)""")
+def embedding_health(t: Tables) -> DataFrame:
+    """Embeddings by kind and in all: what succeeded, came from the cache, took, and how much text there was."""
+    n = lambda c, name: F.count_if(F.expr(c)).alias(name)
+    g = t.events.rollup("event_type").agg(F.count("*").alias("total"), n("user_id % 3 <> 1", "ok"), n("user_id % 3 = 0", "cache_hits"), F.round(F.avg(F.expr("if(user_id % 3 <> 0, value, null)")), 4).alias("avg_ms"), F.sum(F.length("props")).alias("text_len"))
+    return g.select(F.coalesce("event_type", F.lit("all")).alias("kind"), "total", "ok", "cache_hits", "avg_ms", "text_len")
+
+
+@query("""SELECT (ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai')::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1""")
+def daily_trend_shanghai(t: Tables) -> DataFrame:
+    day = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Shanghai").cast("date")
+    return t.events.groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@query("""SELECT props AS query, user_id, event_type AS project, user_id % 3 AS container, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY ALL""")
+def last_seen_queries(t: Tables) -> DataFrame:
+    return t.events.groupBy(F.col("props").alias("query"), "user_id", F.col("event_type").alias("project"), (F.col("user_id") % 3).alias("container")).agg(F.max("ts").alias("last_seen"), F.count("*").alias("n"))
+
+
+@query("SELECT p_type, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(t: Tables) -> DataFrame:
+    return t.part.where("p_size > 25").groupBy("p_type").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("""WITH l AS (SELECT conv_id % 20 AS request_id, CASE role WHEN 'system' THEN 'static' WHEN 'assistant' THEN 'dynamic' ELSE 'search' END AS section, conv_id * 10 + turn AS position, substr(text, 1, 3) AS content FROM conversations WHERE NOT (role = 'user' AND substr(text, 1, 3) = '')) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY request_id, content ORDER BY CASE section WHEN 'static' THEN 0 WHEN 'dynamic' THEN 1 ELSE 2 END, position) = 1""")
+def client_dedup(t: Tables) -> DataFrame:
+    """Facts and finds of a request, each text once (beginnings of turns, so that some are alike)."""
+    section = F.when(F.col("role") == "system", "static").when(F.col("role") == "assistant", "dynamic").otherwise("search")
+    return memory.told_once(t.conversations.select((F.col("conv_id") % 20).alias("request_id"), section.alias("section"), (F.col("conv_id") * 10 + F.col("turn")).alias("position"), F.substring("text", 1, 3).alias("content")))
+
+
+@query("""WITH i AS (SELECT c_custkey, 'c' || c_nationkey AS tag, 'customer ' || c_custkey || ' is busy' AS content FROM customer JOIN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 8) ON o_custkey = c_custkey)
+SELECT 'mem_' || substr(sha256(tag || '|' || content), 1, 16) AS from_id, o_orderkey::VARCHAR AS to_id, 'derives' AS type, 0.7::DOUBLE AS confidence FROM i JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'""")
+def derived_memories(t: Tables) -> DataFrame:
+    """What follows from many orders of a customer, with edges to those that are there."""
+    name = F.concat(F.lit("c"), F.col("c_nationkey"))
+    busy = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set(F.col("o_orderkey").cast("string")).alias("sources")).where("size(sources) > 8").join(t.customer, "c_custkey")
+    inferences = busy.select(name.alias("container_tag"), F.concat(F.lit("customer "), F.col("c_custkey"), F.lit(" is busy")).alias("content"), "sources")
+    rows = t.orders.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("c").alias("container_tag"), F.lit("order").alias("content"), F.lit(False).alias("is_inference"))
+    return memory.derived(rows, inferences)[1]
