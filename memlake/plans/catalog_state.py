@@ -6,7 +6,7 @@ lines are what happens to it, some minutes later each; conversations are session
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators import cache
@@ -44,11 +44,12 @@ f AS (SELECT memory_id, arg_max(status, k) AS status, arg_max(stage, k) AS stage
 SELECT CASE WHEN status = 'processing' THEN 'open' ELSE status END AS status, stage, attempts::INT AS attempts, stuck OR status = 'processing' AS stuck, count(*) AS n FROM f GROUP BY ALL""")
 def write_path_outcomes(t: Tables) -> DataFrame:
     """Where written memories end: the reports of the state machine, summed up by memory."""
-    found = writes.statuses(_happenings(t), until="2100-01-01").groupBy("memory_id").agg(F.max_by("status", F.struct("at", "attempts", F.col("status") != "stuck")).alias("x"), F.max(F.when(~F.col("status").isin("stuck", "processing", "retrying"), F.col("status"))).alias("ended"), F.max("attempts").alias("attempts"), F.max_by("stage", _PROGRESS).alias("stage"), F.max((F.col("status") == "stuck").cast("int")).alias("stuck"))
+    found = writes.statuses(_happenings(t), until="2100-01-01").groupBy("memory_id").agg(F.max_by("status", F.struct("at", "attempts", F.col("status") != "stuck")).alias("x"), F.max(F.when(~F.col("status").isin("stuck", "processing", "retrying"), F.col("status"))).alias("ended"), F.max("attempts").alias("attempts"), F.max_by("stage", _progress()).alias("stage"), F.max((F.col("status") == "stuck").cast("int")).alias("stuck"))
     return found.groupBy(F.coalesce("ended", F.lit("open")).alias("status"), "stage", "attempts", (F.col("stuck") == 1).alias("stuck")).agg(F.count("*").alias("n"))
 
 
-_PROGRESS = F.array_position(F.array(*map(F.lit, ("written", "embedded", "distinct", "extracted"))), F.col("stage"))
+def _progress() -> Column:
+    return F.array_position(F.array(*map(F.lit, ("written", "embedded", "distinct", "extracted"))), F.col("stage"))
 
 
 def _happenings(t: Tables) -> DataFrame:
