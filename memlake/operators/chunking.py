@@ -23,27 +23,44 @@ def estimate(text: str) -> int:
     return len(_HAN.findall(text)) + len(re.findall(r"[a-zA-Z]+", text)) + len(re.findall(r"\d+", text)) + len(re.findall(r"[^\w\s]", text)) // 2
 
 
-def segments(text: str) -> list[str]:
-    """Stripped pieces between ends of fenced code and, outside it, of paragraphs and sentences."""
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    """Of code points: 1 Han, 2 Latin letter, 3 digit, 4 neither a word character nor white space, 0 anything else."""
+    known, at = np.unique(codes, return_inverse=True)
+    kind = [1 if 0x4E00 <= k <= 0x9FFF else 2 if k < 128 and c.isalpha() else 3 if c.isdecimal() else 0 if c.isalnum() or c == "_" or c.isspace() else 4 for k, c in ((k, chr(k)) for k in known.tolist())]
+    return np.asarray(kind, np.int8)[at]
+
+
+def prefix_estimates(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Running counts over a text: of what counts whole (Han characters, beginnings of runs of letters and of digits), and of what counts half. What a piece has that begins after a break is a difference of two."""
+    kind = _kinds(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    before = np.concatenate([[0], kind[:-1]])
+    whole = (kind == 1) | (((kind == 2) | (kind == 3)) & (kind != before))
+    return np.concatenate([[0], np.cumsum(whole)]), np.concatenate([[0], np.cumsum(kind == 4)])
+
+
+def segments(text: str) -> list[tuple[int, int]]:
+    """First and end character of the pieces between ends of fenced code and, outside it, of paragraphs and sentences; blank pieces are left out."""
     ends, at = [], 0
     for fence in [*(m.span() for m in _FENCE.finditer(text)), (len(text), len(text))]:
         ends += [m.end() for m in _END.finditer(text, at, fence[0])] + [fence[1]]
         at = fence[1]
-    return [p for a, b in zip([0, *ends], ends) if (p := text[a:b].strip())]
+    return [(a, b) for a, b in zip([0, *ends], ends) if text[a:b].strip()]
 
 
 def packed(text: str, most: int = 800, least: int = 50, overlap: int = 50) -> list[tuple[str, int]]:
     """(content, tokens): runs of segments of ``most`` tokens, cut where the running count passes it; a tail under ``least`` joins the run before. Each run but the first begins with the last sentences of the run before, up to ``overlap`` tokens."""
     if not text.strip():
         return []
-    if (n := estimate(text)) <= most:
+    whole, half = prefix_estimates(text)
+    if (n := int(whole[-1] + half[-1] // 2)) <= most:
         return [(text.strip(), n)]
-    parts = segments(text)
-    total = np.concatenate([[0], np.cumsum([estimate(p) for p in parts], dtype=np.int64)])
+    spans = segments(text)
+    a, b = np.asarray(spans).T
+    total = np.concatenate([[0], np.cumsum(whole[b] - whole[a] + (half[b] - half[a]) // 2)])
     cuts = [0]
-    while cuts[-1] < len(parts):
+    while cuts[-1] < len(spans):
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, total[cuts[-1]] + most, "right")) - 1))
-    runs = [("".join(parts[i:j]), int(total[j] - total[i])) for i, j in zip(cuts, cuts[1:])]
+    runs = [("".join(text[x:y].strip() for x, y in spans[i:j]), int(total[j] - total[i])) for i, j in zip(cuts, cuts[1:])]
     if runs and runs[-1][1] < least:
         tail, n = runs.pop()
         if runs:

@@ -249,3 +249,16 @@ def test_written_memories_and_needles(spark, monkeypatch):
     needles = spark.createDataFrame([("a", "two"), ("b", "three"), ("c", None), ("d", "two"), ("e", "x" * 50)], "name string, needle string")
     for most in (10**6, 60):
         assert sorted((r.id, r.name) for r in relational.containing(texts_, needles, most).collect()) == [(1, "a"), (1, "b"), (1, "d"), (2, "a"), (2, "d")]
+
+
+def test_estimates_of_pieces_are_differences():
+    import random
+
+    r = random.Random(8)
+    letters = list("abZ é_ß09٣½.,!?#`\n\t 　中文。！😀𝟗𠀀") + ["```", ". ", "\n\n", "12.5"]
+    for _ in range(400):
+        text = "".join(r.choice(letters) for _ in range(r.randint(0, 80)))
+        whole, half = chunking.prefix_estimates(text)
+        assert whole[-1] + half[-1] // 2 == chunking.estimate(text)
+        for a, b in chunking.segments(text):
+            assert whole[b] - whole[a] + (half[b] - half[a]) // 2 == chunking.estimate(text[a:b].strip())
