@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that say which documents go, for which no text is shuffled: some 100 MB where they are sent at most.
+MOST_SENT = 1_000_000
+
+
+def sent(df: DataFrame, name: str) -> DataFrame:
+    """A written table of ids for a join with texts: sent to all tasks if it is short, joined by a shuffle if it isn't."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

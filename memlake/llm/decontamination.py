@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import ascii_lower, written
+from memlake.llm.common import ascii_lower, sent, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -169,6 +169,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any occurrence of a window, with its own columns only."""
-    bad = window_hits(docs, benchmark, window)[0].select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
+    bad = sent(window_hits(docs, benchmark, window)[0].select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "hit")
     on = docs["doc_id"].cast("long").eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__h"])
     return docs.join(bad, on, "left_anti").select(docs.columns)

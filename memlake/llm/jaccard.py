@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import arrow_batch, blocks, distinct, shingle_hashes, SPACED, thrifty, word_hashes, written
+from memlake.llm.common import SPACED, arrow_batch, blocks, distinct, sent, shingle_hashes, thrifty, word_hashes, written
 
 BITS = 22
 _BLOCK = 1 << 16
@@ -237,8 +237,9 @@ def _candidates(nodes: DataFrame, num: int, den: int) -> DataFrame:
     # n-grams of the very same sets (those of copies and of shared passages) make one list, which gives the edges of all
     lists = lists.groupBy("m", "first", "last", "all").agg(F.min("gram").alias("gram"))
     lists = written(lists.select("gram", F.expr(f"cast(ceil(m / {_LIST}) as int)").alias("k")), "lists")
-    live = post.select("node", "gram").join(lists, "gram")
-    rows = live.join(nodes.select("node", "n", "sig"), "node")
+    # joined alike at every size: whether a side is small enough to be sent everywhere would else change with the input
+    live = post.select("node", "gram").join(lists.hint("merge"), "gram")
+    rows = live.join(nodes.select("node", "n", "sig").hint("merge"), "node")
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node), k) as int)")).withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
     # a list is dealt by the width of parity rows; a set whose partners may be of the class below is met there too
     below = f"size(sig) > 8 and 5 * n * {num} < {den} * (128L * size(sig) + 5)"
@@ -479,7 +480,7 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     key, h = _unused(docs, "key"), _unused(docs, "h")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), stand_in))
     found = written(jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), n, num, den), "components")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
+    gone = sent(found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct(), "repeated")
     repeated = found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
     out = keyed.join(gone, key, "left_anti")
     if repeated.limit(1).count():

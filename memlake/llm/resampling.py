@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import ALNUM, arrow_batch, blocks, distinct, mix, SPACED, thrifty, word_hashes, written
+from memlake.llm.common import ALNUM, arrow_batch, blocks, distinct, mix, sent, SPACED, thrifty, word_hashes, written
 
 BITS = 20
 SLOTS = 3 << BITS
@@ -203,7 +203,7 @@ def _resampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> Data
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sampled rows of ``docs``, with its own columns only. Rows of one id fall together, those without one by their text."""
-    out = _resampled(docs, labels).where("not kept").select(F.col("doc_id").alias("__d"), F.expr("if(doc_id is null, h, 0)").alias("__h")).distinct()
+    out = sent(_resampled(docs, labels).where("not kept").select(F.col("doc_id").alias("__d"), F.expr("if(doc_id is null, h, 0)").alias("__h")).distinct(), "rejected")
     d = docs["doc_id"].cast("long")
     h = F.when(d.isNull(), F.xxhash64(docs["text"].cast("string"))).otherwise(F.lit(0))
     return docs.join(out, d.eqNullSafe(out["__d"]) & (h == out["__h"]), "left_anti").select(docs.columns)
