@@ -74,7 +74,9 @@ def packed(text: str, most: int = 800, least: int = 50, overlap: int = 50) -> li
 
 def last_sentences(text: str, most: int) -> str:
     """The whole sentences at the end of a text that have ``most`` tokens at most."""
-    found = _SENTENCE.findall(text) or [p for x in re.split(r"[.!?]+", text) if (p := x.strip())]
+    # up to the last such end: the pattern would look through what follows once from each of its characters
+    end = max(map(text.rfind, "。！？")) + 1
+    found = _SENTENCE.findall(text[:end]) or [p for x in re.split(r"[.!?]+", text) if (p := x.strip())]
     counts = np.cumsum([estimate(p) for p in found[::-1]])
     keep = int(np.searchsorted(counts, most, "right"))
     return "".join(found[len(found) - keep :]).strip()
