@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from memlake.functions import text
 from memlake.functions.vectors import cosine
 from memlake.operators import ann, graph
+from memlake.operators.shared import stored
 
 
 class Limits(NamedTuple):
@@ -101,12 +102,14 @@ def entity_memories(held: DataFrame, requests: DataFrame, memories: DataFrame, e
 def memory_channel(requests: DataFrame, memories: DataFrame, relations: DataFrame, entities: DataFrame, links: DataFrame, entity_edges: DataFrame, excluded: DataFrame, p: Limits = Limits()) -> DataFrame:
     """request_id, id, channel (vector, memory_graph, entity_graph), at (place in its channel), similarity, relation_type, low_confidence, reason (null: taken; else excluded, budget, seen or quota)."""
     most = requests.select("request_id", _most(F.col("sub_agent"), p.memories, p.memories_sub_agent).alias("most"))
-    all_hits = vector_hits(requests, memories, excluded, p)
+    # read by every arm below: written once
+    all_hits = stored(vector_hits(requests, memories, excluded, p), "hits")
     hits = all_hits.where("reason is null")
     hopped, known = hops(hits, memories, relations, excluded, most, p)
     vector = _numbered(hits.join(known, ["request_id", "id"], "left"), "rank").select("request_id", "id", F.lit("vector").alias("channel"), F.col("n").alias("at"), "similarity", "relation_type", "low_confidence", "reason")
     gone = all_hits.where("reason is not null").select("request_id", "id", F.lit("vector").alias("channel"), F.lit(None).cast("int").alias("at"), "similarity", F.lit(None).cast("string").alias("relation_type"), "low_confidence", "reason")
     near = hopped.select("request_id", "id", F.lit("memory_graph").alias("channel"), "at", F.lit(None).cast("double").alias("similarity"), "relation_type", F.lit(False).alias("low_confidence"), "reason")
+    vector, near = stored(vector, "vector"), stored(near, "hops")
     core = vector.unionByName(near.where("reason is null"))
     held = core.select("request_id", "id")
     around = entity_memories(held, requests, memories, entities, links, entity_edges, most, p)
