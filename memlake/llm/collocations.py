@@ -11,7 +11,7 @@ are summed pairwise. Cuts are joined from the counts by the slots' keys, and the
 best of each language come from the best of its salted parts.
 
 Scale: nothing depends on the vocabulary's fitting anywhere. The number of blocks
-follows the number of words, so a block (some 2 million entries) fits a task at any
+follows the number of words, so a block (some million entries) fits a task at any
 size; a frequent phrase adds one entry for each mapper's run. The filters have
 at most 2**27 bits, whatever the data: larger ones would spare more entries, results
 are the same. Joins are plain, so a frequent word's rows may be split at run time.
@@ -42,8 +42,8 @@ TOP = 2000
 SWALLOWED_PERCENT = 50
 MOST_BITS = 1 << 27
 #: Words that a mapper sums up at once, and entries that a block should have.
-RUN = 1 << 21
-BLOCK = 1 << 21
+RUN = 1 << 20
+BLOCK = 1 << 20
 _SALTS = 64
 _U = np.uint64
 #: Bytes that end a piece of text: line breaks and . , ; : ! ?
@@ -106,7 +106,7 @@ def words(docs: DataFrame, least: int = LEAST) -> DataFrame:
                         one[2] += c
                     else:
                         held[x] = [names[lang[k]], raw[starts[k] : ends[k]].decode("utf-8", "replace"), c]
-                if len(held) >= 500_000:
+                if len(held) >= 250_000:
                     yield rows()
         if totals:
             yield rows()
