@@ -131,7 +131,7 @@ def _counts(docs: DataFrame) -> DataFrame:
         yield from flush(now, grams, words)
 
     kept = docs.repartition("chunk").sortWithinPartitions("chunk").select("doc_id", "text", "chunk")
-    return written(kept.mapInArrow(count, "kind int, chunk long, key long, n long"), "counts")
+    return written(kept.mapInArrow(count, "kind int, chunk long, key long, n long"), "counts", "zstd")
 
 
 # ---------------------------------------------------------------- the model
@@ -271,7 +271,7 @@ def _model(counts: DataFrame) -> DataFrame:
         for g, n in _slices(batches, _SLICE):
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (g, n.astype(np.int64))], schema=schema)
 
-    slices = written(grams.sortWithinPartitions("ctx").select("gram", "n").mapInArrow(cut, "grams binary, counts binary"), "subtrees")
+    slices = written(grams.sortWithinPartitions("ctx").select("gram", "n").mapInArrow(cut, "grams binary, counts binary"), "subtrees", "zstd")
 
     def rows(batch):
         for g, n in zip(batch.column(0), batch.column(1)):
@@ -295,7 +295,7 @@ def _model(counts: DataFrame) -> DataFrame:
                 p = log10_of(shared.value | subtrees(g, n)[0], g)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(p, pa.float32())], schema=out_schema)
 
-    return written(slices.mapInArrow(down, "gram long, p float"), "model")
+    return written(slices.mapInArrow(down, "gram long, p float"), "model", "zstd")
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
