@@ -18,6 +18,14 @@ writes each n-gram's log probability. Texts lie in chunks; a join brings each ch
 the values of its own n-grams and words, so nothing that grows with the corpus is
 broadcast or collected. A context never met in training passes on its parent's estimate.
 
+On few texts the tree knows too little: words seen once are hardly likelier than
+noise. So ``mixed_score`` sums over words the even mixture of the tree (the word with
+the separators after it; the first one with those before it, the last one with the
+end) and the smoothed word frequency of ``base_score``, and the text's own is the even
+mixture of that sum and ``base_score``: at most log10(2) below the latter. As there,
+all words that training never met are one event, of which the tree's spelling of one
+word is only a part. ``score`` is that of the tree alone.
+
 Defined cases: null or empty text: only the end is scored. Documents are in
 training unless the CRC of their id as text, modulo 7, is 2; null ids count as
 "". An empty corpus scores by estimates without counts. Repeated rows count
@@ -35,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import _LOWER, SPACED, arrow_batch, blocks, word_hashes, written
+from memlake.llm.common import _LOWER, SPACED, arrow_batch, blocks, span_hashes, word_spans, word_hashes, written
 
 DEPTH = 5
 TOP = 3
@@ -235,10 +243,33 @@ def log10_of(levels: dict, grams: np.ndarray) -> np.ndarray:
                 last = np.where(ok, one[at], last)
             open_ = ok
         p += rest * last
-        total += np.log10(np.where((byte >> (7 - bit)) & 1 == 1, p, 1 - p))
+        # an estimate is kept in single precision, where a bit that never failed in many millions is 1
+        total += np.log10(np.maximum(np.where((byte >> (7 - bit)) & 1 == 1, p, 1 - p), 1e-10))
     return total
 
 
+def _even(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 of the even mixture of two probabilities given by theirs."""
+    return np.logaddexp(a * math.log(10), b * math.log(10)) / math.log(10) - math.log10(2)
+
+
+def mixed(tree: np.ndarray, bounds: np.ndarray, starts: np.ndarray, first: np.ndarray, words: np.ndarray, end: float) -> np.ndarray:
+    """For each row the sum over its words of the even mixture of two log10 probabilities, the tree's (of each byte and end) and the word's own; a row without words is its end."""
+    n = len(bounds) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    begins = starts + row  # each row before has an end besides its bytes
+    some = np.flatnonzero(np.diff(first))
+    begins[first[some]] = bounds[some] + some
+    none = np.flatnonzero(np.diff(first) == 0)
+    at = np.concatenate([begins, bounds[none] + none])
+    own = np.concatenate([words, np.full(len(none), end)])
+    own[first[some + 1] - 1] += end
+    o = np.argsort(at)
+    if not len(o):
+        return np.zeros(n)
+    return np.bincount(np.concatenate([row, none])[o], _even(np.add.reduceat(tree, at[o]), own[o]), minlength=n)
+
+
 def _slices(batches, least: int):
     """(n-grams, counts) in runs of whole contexts of TOP bytes, of least rows or more, from rows sorted by them."""
     held, size, full = [], 0, least
@@ -298,11 +329,11 @@ def _model(counts: DataFrame) -> DataFrame:
     return written(slices.mapInArrow(down, "gram long, p float"), "model", "zstd")
 
 
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, mixed_score double"
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, mixed_score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     chunks = max(1, -(-((total.b or 0) + 64 * total.n) // CHUNK_BYTES))
@@ -332,8 +363,8 @@ def scored(docs: DataFrame) -> DataFrame:
         for part in texts.to_batches():
             ids = part.column("doc_id").to_pylist()
             for i, j, data, bounds in blocks(part.column("text")):
-                h, first = word_hashes(data, bounds, SPACED, lower=True)
-                cw = values(of_word, h)
+                starts, stops, first = word_spans(data, bounds, SPACED)
+                cw = values(of_word, span_hashes(_LOWER[data], starts, stops))
                 row = np.repeat(np.arange(j - i), np.diff(first))
                 base = np.bincount(row, np.log10(cw + 1.0), minlength=j - i)
                 hit = np.bincount(row, cw > 0, minlength=j - i)
@@ -343,7 +374,10 @@ def scored(docs: DataFrame) -> DataFrame:
                 lm = np.bincount(np.repeat(np.arange(j - i), lengths), p, minlength=j - i)
                 held = [held_out(d) for d in ids[i:j]]
                 total = np.full(j - i, n)
-                out.append(arrow_batch(schema, ids[i:j], held, tokens, hit.astype(np.int64) + (ends > 0), total, base + math.log10(ends + 1.0) - tokens * math.log10(n + v + 1.0), lm, lengths))
+                smallest = math.log10(n + v + 1.0)
+                base = base + math.log10(ends + 1.0) - tokens * smallest
+                both = _even(mixed(p, bounds, starts, first, np.log10(cw + 1.0) - smallest, math.log10(ends + 1.0) - smallest), base)
+                out.append(arrow_batch(schema, ids[i:j], held, tokens, hit.astype(np.int64) + (ends > 0), total, base, lm, lengths, both))
         pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema)
 
