@@ -31,6 +31,8 @@ from memlake.operators.shared import new_path
 
 ROWS = 4096
 QUERIES = 4096
+#: Queries of a block that are compared at once: what a task holds of their similarities grows no further.
+AT_ONCE = 128
 #: Rows that centroids are fitted on, and lists, at most.
 SAMPLE = 20_000
 MOST_LISTS = 1024
@@ -79,16 +81,18 @@ def _compare(queries: DataFrame, rows: DataFrame, by: list[str], k: int, least:
         out = [[] for _ in _FOUND]
         if len(left) and len(right):
             ids, weight, order = (right.column(c).to_numpy() for c in ("id", "weight", "ord"))
-            s = similarities(_matrix(left.column("query_vec")), _matrix(right.column("vec")))
-            final = np.where(np.isnan(weight)[None, :], s, (s + 1) / 2 * weight[None, :])
-            for r, query in enumerate(left.column("query_id").to_pylist()):
-                seen = np.ones(len(ids), bool) if least is None else s[r] > least if strict else s[r] >= least
-                if but_self:
-                    seen &= ids != query
-                at = np.flatnonzero(seen)
-                at = at[best(final[r][at], order[at], k)] if len(at) else at
-                for column, values in zip(out, (np.full(len(at), query), ids[at], s[r][at], final[r][at], order[at])):
-                    column.append(values)
+            vectors, queries_ = _matrix(right.column("vec")), left.column("query_id").to_pylist()
+            for lo in range(0, len(left), AT_ONCE):
+                s = similarities(_matrix(left.column("query_vec").slice(lo, AT_ONCE)), vectors)
+                final = np.where(np.isnan(weight)[None, :], s, (s + 1) / 2 * weight[None, :])
+                for r, query in enumerate(queries_[lo : lo + AT_ONCE]):
+                    seen = np.ones(len(ids), bool) if least is None else s[r] > least if strict else s[r] >= least
+                    if but_self:
+                        seen &= ids != query
+                    at = np.flatnonzero(seen)
+                    at = at[best(final[r][at], order[at], k)] if len(at) else at
+                    for column, values in zip(out, (np.full(len(at), query), ids[at], s[r][at], final[r][at], order[at])):
+                        column.append(values)
         return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, _FOUND.types)], schema=_FOUND)
 
     return queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(block, "query_id long, id long, similarity double, score double, ord long")
@@ -138,12 +142,16 @@ def pairs(corpus: DataFrame, least: float, by: list[str] | None = None) -> DataF
         if not len(a) or not len(b):
             return schema.empty_table()
         x, y = a.column("id").to_numpy(), b.column("other").to_numpy()
-        s = similarities(_matrix(a.column("vec")), _matrix(b.column("other_vec")))
-        seen = s >= least
-        if a.column("__i")[0].as_py() == a.column("__j")[0].as_py():
-            seen &= x[:, None] < y[None, :]
-        r, c = np.nonzero(seen)
-        return pa.table([np.minimum(x[r], y[c]), np.maximum(x[r], y[c]), s[r, c]], schema=schema)
+        same = a.column("__i")[0].as_py() == a.column("__j")[0].as_py()
+        others, out = _matrix(b.column("other_vec")), []
+        for lo in range(0, len(a), AT_ONCE):
+            s = similarities(_matrix(a.column("vec").slice(lo, AT_ONCE)), others)
+            seen = s >= least
+            if same:
+                seen &= x[lo : lo + AT_ONCE, None] < y[None, :]
+            r, c = np.nonzero(seen)
+            out.append((np.minimum(x[lo + r], y[c]), np.maximum(x[lo + r], y[c]), s[r, c]))
+        return pa.table([np.concatenate(v) for v in zip(*out)], schema=schema)
 
     keys = [*by, "__i", "__j"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, "id long, other long, similarity double")
