@@ -9,6 +9,8 @@ overlap. Patterns are Unicode-aware and know one line break only, the line feed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,36 @@ _FLAGS = "(?dU)"  # only \n breaks lines; \w, \d and \s of all scripts
 _BLANK = r"(?U)^\s+|\s+$"
 
 
+#: The same matches in linear time: one begins where a run of its characters does, or the match before ended.
+_QUICK = {r"([\w.-]+@[\w.-]+\.\w+)": r"(?:\G|(?<![\w.-]))([\w.-]++@[\w.-]+\.\w+)"}
+
+
 def _groups(pattern: str) -> int:
     return pattern.count("(") - pattern.count("(?")
 
 
+def needles(pattern: str) -> list[list[str]]:
+    """Words that every match holds, one of each list: runs of Han characters that stand outside groups and classes, groups of such runs, and the sign of an address."""
+    whole = r"[一-鿿]+(?:\|[一-鿿]+)*"
+    groups = [g.split("|") for g in re.findall(rf"\(({whole})\)(?![?*{{])", pattern)]
+    rest = re.sub(r"\[[^\]]*\][?*+]?|\([^()]*\)[?*+]?", " ", pattern)
+    return groups + [[w] for w in re.findall(r"[一-鿿]+(?![?*{])", rest)] + ([["@"]] if "@" in pattern else [])
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """The text of each match, in order."""
+    """The text of each match, in order. A text without a pattern's words isn't scanned for it."""
+    pattern, must = _QUICK.get(pattern, pattern), needles(pattern)
     all_ = lambda k: F.regexp_extract_all(text, F.lit(_FLAGS + pattern), F.lit(k))
     strip = lambda x: F.regexp_replace(x, _BLANK, "")
     found = F.arrays_zip(*(all_(k).alias(f"g{k}") for k in range(_groups(pattern) + 1)))
-    return F.transform(found, lambda m: F.coalesce(*(F.nullif(strip(m[f"g{k}"]), F.lit("")) for k in [*range(1, _groups(pattern) + 1), 0])))
+    out = F.transform(found, lambda m: F.coalesce(*(F.nullif(strip(m[f"g{k}"]), F.lit("")) for k in [*range(1, _groups(pattern) + 1), 0])))
+    holds = F.lit(True)
+    for words in must:
+        one = F.lit(False)
+        for w in words:
+            one = one | text.contains(w)
+        holds = holds & one
+    return F.when(holds, out).otherwise(F.array().cast("array<string>")) if must else out
 
 
 def candidates(text: Column) -> Column:
@@ -59,7 +81,8 @@ def candidates(text: Column) -> Column:
 
 def rule_entities(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """id, type, text, position (0: first found), confidence of each entity of a text."""
-    found = docs.select(id_column, F.posexplode(candidates(F.col("text"))).alias("at", "e")).select(id_column, "at", "e.type", "e.text").where("text is not null")
+    # outer: of an array that must not be empty, Spark would compute all of it once more for a filter
+    found = docs.select(id_column, F.posexplode_outer(candidates(F.col("text"))).alias("at", "e")).select(id_column, "at", "e.type", "e.text").where("text is not null")
     # the same text may be found by many patterns: the first one names its type
     first = found.groupBy(id_column, "text").agg(F.min(F.struct("at", "type")).alias("f"), F.count("*").alias("n_found"))
     return first.select(id_column, F.col("f.type").alias("type"), "text", F.col("f.at").alias("position"), F.lit(CONFIDENCE).alias("confidence"), "n_found")
