@@ -24,12 +24,26 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit("in").alias("direction"), "confidence"))
 
 
+#: A seed that has reached no more than so many ids, by one way on, is carried on without a shuffle of what it reaches.
+FEW = 64
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """seed, id, depth: breadth-first, by frontier joins; each id at its least depth."""
-    step = neighbours(edges).select("id", "other").distinct()
-    seen = front = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
+    """seed, id, depth: breadth-first, by frontier joins; each id at its least depth.
+
+    A seed with one vertex at its frontier meets each neighbour once, so its rows need no
+    grouping: behind a hub they are most of the result, and are written as they come.
+    """
+    step = stored(neighbours(edges).select("id", "other").distinct(), "steps")
+    seen = front = stored(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct(), "front")
     for d in range(1, depth + 1):
-        front = front.join(step, "id").select("seed", F.col("other").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(d))
+        short = seen.groupBy("seed").agg(F.count("*").alias("n"), F.count_if(F.col("depth") == d - 1).alias("ends")).where(f"n <= {FEW} and ends = 1").select("seed")
+        met = seen.join(short, "seed", "left_semi").groupBy("seed").agg(F.collect_list("id").alias("met"))
+        lone = front.join(met, "seed").join(step, "id").where(~F.array_contains("met", F.col("other"))).select("seed", F.col("other").alias("id"))
+        wide = front.join(short, "seed", "left_anti").join(step, "id").select("seed", F.col("other").alias("id")).distinct().join(seen, ["seed", "id"], "left_anti")
+        front = lone.unionByName(wide).withColumn("depth", F.lit(d))
+        if d < depth:
+            front = stored(front, "front")
         seen = seen.unionByName(front)
     return seen
 
@@ -52,10 +66,23 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     return known
 
 
+def stepwise(edges: DataFrame, depth: int) -> DataFrame:
+    """What closure() gives, one step a round: for chains that seldom branch. A round moves one row for each id, while rounds that double meet each pair once for each vertex between."""
+    step = stored(edges.select(F.col("from_id").alias("other"), F.col("to_id").alias("next")).distinct(), "steps")
+    front = step.select(F.col("other").alias("id"), F.col("next").alias("other"), F.lit(1).alias("depth"))
+    found = front
+    for d in range(2, depth + 1):
+        front = stored(front.join(step, "other").select("id", F.col("next").alias("other")).distinct().withColumn("depth", F.lit(d)), "steps")
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found.groupBy("id", "other").agg(F.min("depth").alias("depth"))
+
+
 def version_history(memories: DataFrame, updates: DataFrame, depth: int = 10) -> DataFrame:
     """seed, id, depth, created_at, is_latest, position (newest first) from memories (id, created_at, is_latest) and updates (from_id, to_id): the versions behind every memory, forgotten ones too; edges to what isn't there lead nowhere. Depth counts from 0."""
-    there = updates.select("from_id", "to_id").join(memories.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi")
-    found = closure(there, depth + 1).select(F.col("id").alias("seed"), F.col("other").alias("id"), (F.col("depth") - 1).alias("depth"))
+    there = updates.select("from_id", "to_id").join(memories.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi").where("from_id is not null")
+    found = stepwise(there, depth + 1).select(F.col("id").alias("seed"), F.col("other").alias("id"), (F.col("depth") - 1).alias("depth"))
     rows = found.join(memories.select("id", "created_at", "is_latest"), "id")
     newest = Window.partitionBy("seed").orderBy(F.desc_nulls_last("created_at"), "depth", "id")
     return rows.withColumn("position", F.row_number().over(newest)).select("seed", "id", "depth", "created_at", "is_latest", "position")
