@@ -107,7 +107,7 @@ def chunks(docs: DataFrame, kind: str = "text", most: int = 800, least: int = 50
     """doc_id, position, content, token_count, content_hash from (doc_id, text)."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 text = text or ""
@@ -119,6 +119,13 @@ def chunks(docs: DataFrame, kind: str = "text", most: int = 800, least: int = 50
     return out.withColumn("content_hash", F.sha2(F.encode("content", "UTF-8"), 256))
 
 
+def _few(batches: Iterator[pd.DataFrame], most: int = 250) -> Iterator[pd.DataFrame]:
+    """Batches in parts of ``most`` rows: a task holds the chunks of one part."""
+    for b in batches:
+        for lo in range(0, len(b), most):
+            yield b.iloc[lo : lo + most]
+
+
 _SENTENCE_END = re.compile(r"[。！？.!?]\s*")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
@@ -172,7 +179,7 @@ def document_chunks(docs: DataFrame, most: int = 3000, least: int = 200, overlap
     columns = ["content", "new", "token_count", "start_offset", "end_offset"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             rows = [(doc, head, k, *piece) for doc, text, head in zip(b["doc_id"], b["text"], b["header"]) for k, piece in enumerate(document_pieces(text, most, least, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "header", "position", *columns])
 
@@ -200,7 +207,7 @@ def document_sections(docs: DataFrame, most: int = 3000) -> DataFrame:
     """doc_id, position, content."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             rows = [(doc, k, x) for doc, text in zip(b["doc_id"], b["text"]) for k, x in enumerate(sections(text, most))]
             yield pd.DataFrame(rows, columns=["doc_id", "position", "content"])
 
