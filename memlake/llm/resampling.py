@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import ALNUM, arrow_batch, blocks, distinct, mix, sent, SPACED, thrifty, word_hashes, written
+from memlake.llm.common import ALNUM, arrow_batch, blocks, distinct, few_rows, mix, sent, SPACED, thrifty, word_hashes, written
 
 BITS = 20
 SLOTS = 3 << BITS
@@ -131,7 +131,7 @@ def importance(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
         table = np.zeros((3, SLOTS), np.float32)
         table[:2, slots_] = w_.T
         table[2] = table[:2].mean(axis=0)  # documents without label: of the same scale as those that choose the cut
-        for b in batches:
+        for b in few_rows(batches):
             ids = b.column(0).to_pylist()
             for i, j, data, bounds in blocks(b.column(1)):
                 slots, row = features(data, bounds)
