@@ -93,9 +93,15 @@ def entity_memories(held: DataFrame, requests: DataFrame, memories: DataFrame, e
     around = graph.dfs_order(seeds.select(F.col("entity_id").alias("id")).distinct(), edges, p.depth, p.nodes).select(F.col("seed").alias("entity_id"), F.col("id").alias("near"))
     wanted = seeds.join(around, "entity_id").select("request_id", F.col("near").alias("id")).distinct().join(e.select("id", "key", "container"), "id")
     wanted = wanted.join(requests.select("request_id", F.col("container").alias("own")), "request_id").where("container = own").select("request_id", "container", "key").distinct()
-    family = wanted.join(e.select("container", "key", F.col("id").alias("entity_id")), ["container", "key"])
     live = memories.where(~F.coalesce("is_forgotten", F.lit(False))).select(F.col("id").alias("memory_id"), "container", "created_at")
-    found = family.join(links, "entity_id").join(live, ["memory_id", "container"]).groupBy("request_id", F.col("memory_id").alias("id"), "created_at").agg(F.count_distinct("key").alias("match_count"))
+    family = e.select(F.col("id").alias("entity_id"), "container", "key")
+    tagged = links.join(family, "entity_id").join(live, ["memory_id", "container"]).groupBy("memory_id", "container", "created_at").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    # memories of the same keys match every request alike: the newest of them come before the rest
+    newest = Window.partitionBy("container", "keys").orderBy(F.desc("created_at"), "memory_id")
+    kept = stored(tagged.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= p.memories).drop("r"), "tagged")
+    sets = kept.select("container", "keys").distinct().withColumn("key", F.explode("keys"))
+    met = wanted.join(sets, ["container", "key"]).groupBy("request_id", "container", "keys").agg(F.count("*").alias("match_count"))
+    found = met.join(kept, ["container", "keys"]).select("request_id", F.col("memory_id").alias("id"), "created_at", "match_count")
     return _numbered(found.join(most, "request_id"), F.desc("match_count"), F.desc("created_at"), "id").where(F.col("n") <= F.col("most")).select("request_id", "id", F.col("n").alias("at"))
 
 
@@ -130,8 +136,10 @@ def chunk_channel(requests: DataFrame, chunks: DataFrame, entities: DataFrame, l
     near = ann.exact_top_k(q, done.select("id", "vec", "container"), p.chunks, p.chunk_threshold, by=["container"]).select(F.col("query_id").alias("request_id"), "id", "similarity", "rank")
     near = near.join(most.select("request_id", "most"), "request_id").where("rank <= most").select("request_id", "id", F.lit("vector").alias("channel"), "similarity")
     named = requests.select("request_id", "container", F.explode(F.slice("names", 1, 5)).alias("name")).distinct()
-    ids = named.join(entities.select("name", "container", F.col("id").alias("entity_id")), ["name", "container"])
-    found = ids.join(links, "entity_id").select("request_id", "container", F.col("chunk_id").alias("id")).distinct().join(done.select("id", "container", F.col("vec").alias("v")), ["id", "container"])
+    of = links.join(entities.select("name", "container", F.col("id").alias("entity_id")), "entity_id").select("name", "container", F.col("chunk_id").alias("id"))
+    # of a name's chunks only the first can be among a request's first
+    of = of.join(done.select("id", "container"), ["id", "container"], "left_semi").distinct().withColumn("r", F.row_number().over(Window.partitionBy("name", "container").orderBy("id"))).where(F.col("r") <= p.chunks)
+    found = named.join(of, ["name", "container"]).select("request_id", "container", "id").distinct().join(done.select("id", "container", F.col("vec").alias("v")), ["id", "container"])
     found = _numbered(found.join(most.select("request_id", "query_vec", "most"), "request_id"), "id").where("n <= most")
     found = found.join(near.select("request_id", "id"), ["request_id", "id"], "left_anti").where("query_vec is not null")
     by_name = found.select("request_id", "id", F.lit("entity").alias("channel"), cosine(F.col("query_vec"), F.col("v")).alias("similarity"))

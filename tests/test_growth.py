@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from memlake.operators import ann, graph
+from memlake.operators import ann, channels, graph
 
 
 def test_contains_takes_its_needles_from_every_row_of_the_other_table(spark, tmp_path):
@@ -72,3 +72,44 @@ def test_a_task_compares_few_queries_at_once(spark, monkeypatch):
     s = whole(ann._matrix(left.column("query_vec")), ann._matrix(right.column("vec")))
     want = [(q, k) for q in range(300) for k in sorted((k for k in range(50) if k != q), key=lambda k: (-round(s[q, k], 9), k))[:5]]
     assert list(zip(got["query_id"], got["id"])) == want and max(sizes) <= 128
+
+
+def test_memories_of_the_same_entities_are_ranked_once(spark, monkeypatch):
+    r, sizes = random.Random(3), []
+    whole = channels._numbered
+    monkeypatch.setattr(channels, "_numbered", lambda df, *order: sizes.append(df.count()) or whole(df, *order))
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    container, stamp = {m: "cd"[m % 2] for m in range(800)}, {m: m // 3 for m in range(800)}
+    has = {m: r.sample(range(4), r.choice((1, 2))) for m in container}
+    ids = {(c, k): 10 * i + k for i, c in enumerate("cd") for k in range(4)}
+    memories = one([(m, container[m], m % 9 == 0) for m in container], "id long, container string, is_forgotten boolean").selectExpr("*", "timestamp_seconds(id div 3) as created_at")
+    entities = one([(i, f"name{k % 3}", c, 1) for (c, k), i in ids.items()], "id long, name string, container string, mention_count long")
+    links = one([(m, ids[container[m], k]) for m in has for k in has[m]], "memory_id long, entity_id long")
+    requests = one([(q, "c") for q in range(6)], "request_id long, container string")
+    held = one([(q, 2 * q) for q in range(6)], "request_id long, id long")
+    edges = one([], "from_id long, to_id long, confidence double")
+    most = one([(q, 5 - q % 3) for q in range(6)], "request_id long, most int")
+    got = channels.entity_memories(held, requests, memories, entities, links, edges, most, channels.Limits()).collect()
+    names = {m: {k % 3 for k in has[m]} for m in has}
+    want = set()
+    for q in range(6):
+        match = {m: len(names[m] & names[2 * q]) for m in has if container[m] == "c" and m % 9}
+        first = sorted((m for m in match if match[m]), key=lambda m: (-match[m], -stamp[m], m))[: 5 - q % 3]
+        want |= {(q, m, n + 1) for n, m in enumerate(first)}
+    assert {(x.request_id, x.id, x["at"]) for x in got} == want and len(got) == len(want)
+    # six sets of names, five memories each; not the hundreds that have one of the names
+    assert sizes[-1] <= 6 * 6 * 5
+
+
+def test_only_the_first_chunks_of_a_name_meet_its_requests(spark, monkeypatch):
+    sizes = []
+    whole = channels._numbered
+    monkeypatch.setattr(channels, "_numbered", lambda df, *order: sizes.append(df.count()) or whole(df, *order))
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    chunks = one([(k, "c", f"text {k}", [0.0, 1.0], "done" if k % 4 else "processing") for k in range(400)], "id long, container string, content string, vec array<double>, status string")
+    entities = one([(1, "x", "c"), (2, "y", "c"), (3, "x", "c")], "id long, name string, container string")
+    links = one([(k, 1 + k % 3) for k in range(400)], "chunk_id long, entity_id long")
+    requests = one([(q, "c", [1.0, 0.2], q == 2, ["x", "y"] if q else ["y"]) for q in range(3)], "request_id long, container string, query_vec array<double>, sub_agent boolean, names array<string>")
+    got = channels.chunk_channel(requests, chunks, entities, links, channels.Limits(entity_chunk_threshold=0.1)).collect()
+    assert {(x.request_id, x.id, x.channel) for x in got} == {(0, k, "entity") for k in (1, 7, 10)} | {(1, k, "entity") for k in (1, 2, 3)} | {(2, k, "entity") for k in (1, 2)}
+    assert sizes[-1] <= 3 * 6
