@@ -1,11 +1,12 @@
 """Steps whose cost must not grow faster than what they give."""
 
+import ast
 import random
 
 import numpy as np
 import pyarrow as pa
 
-from memlake.operators import ann, channels, graph
+from memlake.operators import ann, channels, code, graph
 
 
 def test_contains_takes_its_needles_from_every_row_of_the_other_table(spark, tmp_path):
@@ -113,3 +114,38 @@ def test_only_the_first_chunks_of_a_name_meet_its_requests(spark, monkeypatch):
     got = channels.chunk_channel(requests, chunks, entities, links, channels.Limits(entity_chunk_threshold=0.1)).collect()
     assert {(x.request_id, x.id, x.channel) for x in got} == {(0, k, "entity") for k in (1, 7, 10)} | {(1, k, "entity") for k in (1, 2, 3)} | {(2, k, "entity") for k in (1, 2)}
     assert sizes[-1] <= 3 * 6
+
+
+def test_python_units_visit_statements_only(monkeypatch):
+    source = """import a.b, c
+from d import e as f
+if x:
+    import g
+    class K:
+        import h
+else:
+    from i import j
+try:
+    import k
+except E:
+    import l
+else:
+    import m
+finally:
+    import n
+match x:
+    case 1:
+        import o
+with p as q:
+    while True:
+        import r
+def s(t: u, v: dict[str, int], w=lambda: 0) -> y:
+    import z
+    return {b: [c for c in d] for b in e}
+"""
+    want = tuple(a.name for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names)
+    unparsed, whole = [], ast.unparse
+    monkeypatch.setattr(ast, "walk", None)
+    monkeypatch.setattr(ast, "unparse", lambda n: unparsed.append(n) or whole(n))
+    (unit,) = code.python_units(source)
+    assert unit.uses == want and len(want) == 13 and unit.signature == "def s(t: u, v: dict[str, int], w) -> y" and len(unparsed) == 1
