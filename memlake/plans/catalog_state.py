@@ -44,12 +44,24 @@ f AS (SELECT memory_id, arg_max(status, k) AS status, arg_max(stage, k) AS stage
 SELECT CASE WHEN status = 'processing' THEN 'open' ELSE status END AS status, stage, attempts::INT AS attempts, stuck OR status = 'processing' AS stuck, count(*) AS n FROM f GROUP BY ALL""")
 def write_path_outcomes(t: Tables) -> DataFrame:
     """Where written memories end: the reports of the state machine, summed up by memory."""
-    found = writes.statuses(_happenings(t), until="2100-01-01").groupBy("memory_id").agg(F.max_by("status", F.struct("at", "attempts", F.col("status") != "stuck")).alias("x"), F.max(F.when(~F.col("status").isin("stuck", "processing", "retrying"), F.col("status"))).alias("ended"), F.max("attempts").alias("attempts"), F.max_by("stage", _progress()).alias("stage"), F.max((F.col("status") == "stuck").cast("int")).alias("stuck"))
-    return found.groupBy(F.coalesce("ended", F.lit("open")).alias("status"), "stage", "attempts", (F.col("stuck") == 1).alias("stuck")).agg(F.count("*").alias("n"))
+    # places in lists, so that sums by memory need no sort by strings
+    reports = writes.statuses(_happenings(t), until="2100-01-01").select("memory_id", "attempts", _place(_ENDS, "status").alias("ended"), _place(_STAGES, "stage").alias("stage"), (F.col("status") == "stuck").cast("int").alias("stuck"))
+    found = reports.groupBy("memory_id").agg(*(F.max(c).alias(c) for c in ("ended", "attempts", "stage", "stuck")))
+    ends = found.groupBy("ended", "stage", "attempts", (F.col("stuck") == 1).alias("stuck")).agg(F.count("*").alias("n"))
+    return ends.select(F.coalesce(_at(_ENDS, "ended"), F.lit("open")).alias("status"), _at(_STAGES, "stage").alias("stage"), "attempts", "stuck", "n")
 
 
-def _progress() -> Column:
-    return F.array_position(F.array(*map(F.lit, ("written", "embedded", "distinct", "extracted"))), F.col("stage"))
+_ENDS = ("completed", "dropped", "failed", "merged")
+_STAGES = ("written", "embedded", "distinct", "extracted")
+
+
+def _place(names: tuple[str, ...], c: str) -> Column:
+    """From 1; 0 if it isn't one of them."""
+    return F.array_position(F.array(*map(F.lit, names)), F.col(c)).cast("int")
+
+
+def _at(names: tuple[str, ...], c: str) -> Column:
+    return F.get(F.array(*map(F.lit, names)), F.col(c) - 1)
 
 
 def _happenings(t: Tables) -> DataFrame:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -56,32 +57,37 @@ def overdue(state: State | None, now: int) -> tuple[State | None, list[Out]]:
     return state._replace(stuck=True), [(state.until, "stuck", state.stage, state.attempts, None)]
 
 
+def _ended(state: State, ts: int, status: str, attempts: int, what: str | None, out: list[Out]) -> tuple[State, list[Out]]:
+    return state._replace(attempts=attempts, until=ts + KEEP_HOURS * 60 * _MINUTE, ended=True), [*out, (ts, status, state.stage, attempts, what)]
+
+
 def step(state: State | None, ts: int, event: str, detail: str | None, capture: bool | None) -> tuple[State | None, list[Out]]:
     """The state after an event at ``ts`` (microseconds), and what to report."""
-    state, out = overdue(state, ts)
-    if event == "written" and state is None:
+    out = []
+    if state is not None and ts >= state.until:
+        state, out = overdue(state, ts)
+    if state is None:
+        if event != "written":
+            return None, out
         new = State("written", 0, ts + STUCK_MINUTES * _MINUTE, False, bool(capture), None, False)
         return new, [*out, (ts, "processing", "written", 0, None)]
-    if state is None or state.ended:
+    if state.ended:
         return state, out
-    end = lambda status, attempts, what: (state._replace(attempts=attempts, until=ts + KEEP_HOURS * 60 * _MINUTE, ended=True), [*out, (ts, status, state.stage, attempts, what)])
+    before, attempts, until, stuck, is_capture, degraded, _ = state
     if event == "error":
-        n = state.attempts + 1
-        if n >= MOST_ATTEMPTS:
-            return end("failed", n, detail)
-        return state._replace(attempts=n), [*out, (ts, "retrying", state.stage, n, detail)]
-    if event == "duplicate" and state.stage == "embedded":
-        return end("dropped" if state.capture else "merged", state.attempts, detail)
-    stage = _NEXT.get((state.stage, event))
+        if attempts + 1 >= MOST_ATTEMPTS:
+            return _ended(state, ts, "failed", attempts + 1, detail, out)
+        return State(before, attempts + 1, until, stuck, is_capture, degraded, False), [*out, (ts, "retrying", before, attempts + 1, detail)]
+    if event == "duplicate" and before == "embedded":
+        return _ended(state, ts, "dropped" if is_capture else "merged", attempts, detail, out)
+    stage = _NEXT.get((before, event))
     if stage == "embedded" and detail == "none":
         stage = "distinct"  # without a vector there is nothing to compare
     if stage is None:
         return state, out
     if stage == "completed":
-        return end("completed", state.attempts, state.degraded)
-    if event == "extracted":
-        state = state._replace(degraded=detail)
-    return state._replace(stage=stage), [*out, (ts, "processing", stage, state.attempts, detail)]
+        return _ended(state, ts, "completed", attempts, degraded, out)
+    return State(stage, attempts, until, stuck, is_capture, detail if event == "extracted" else degraded, False), [*out, (ts, "processing", stage, attempts, detail)]
 
 
 def _micros(ts) -> int:
@@ -105,25 +111,32 @@ def _columns(events: DataFrame) -> DataFrame:
 
 def statuses(events: DataFrame, until: str | None = None) -> DataFrame:
     """Reports of a table of events; states still open at ``until`` (default: never) are stuck if they are overdue by then."""
-    last_call = None if until is None else _micros(until)
+    last_call = None if until is None else events.sparkSession.sql("select unix_micros(cast(:until as timestamp))", {"until": until}).first()[0]
+    schema = pa.schema([("memory_id", pa.string()), ("at", pa.int64()), ("status", pa.string()), ("stage", pa.string()), ("attempts", pa.int32()), ("detail", pa.string())])
+
+    def reports(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for b in batches:
             rows = []
-            for memory_id, ts, event, detail, capture in zip(b["memory_id"], b["ts"], b["event"], b["detail"], b["is_capture"]):
+            for memory_id, ts, event, detail, capture in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in b.columns)):
                 if memory_id != key:
                     if last_call is not None:
-                        rows += [(key, x) for x in overdue(state, last_call)[1]]
+                        rows += [(key, *x) for x in overdue(state, last_call)[1]]
                     key, state = memory_id, None
-                state, out = step(state, _micros(ts), event, detail or None, capture)
-                rows += [(key, x) for x in out]
-            yield _frame(rows)
-        if last_call is not None:
-            yield _frame([(key, x) for x in overdue(state, last_call)[1]])
-
-    ordered = _columns(events).repartition("memory_id").sortWithinPartitions("memory_id", *_ORDER)
-    return ordered.mapInPandas(fold, OUTPUT)
+                state, out = step(state, ts, event, detail or None, capture)
+                rows += [(key, *x) for x in out]
+            if rows:
+                yield reports(rows)
+        if last_call is not None and (rows := [(key, *x) for x in overdue(state, last_call)[1]]):
+            yield reports(rows)
+
+    # times as numbers: a task handles no time object for each event
+    ordered = _columns(events).repartition("memory_id").sortWithinPartitions("memory_id", *_ORDER).select("memory_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event", "detail", "is_capture")
+    found = ordered.mapInArrow(fold, "memory_id string, at long, status string, stage string, attempts int, detail string")
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 class WritePath(StatefulProcessor):

@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from memlake.operators import ann, channels, code, graph
+from memlake.streaming import writes
 
 
 def test_contains_takes_its_needles_from_every_row_of_the_other_table(spark, tmp_path):
@@ -149,3 +151,17 @@ def s(t: u, v: dict[str, int], w=lambda: 0) -> y:
     monkeypatch.setattr(ast, "unparse", lambda n: unparsed.append(n) or whole(n))
     (unit,) = code.python_units(source)
     assert unit.uses == want and len(want) == 13 and unit.signature == "def s(t: u, v: dict[str, int], w) -> y" and len(unparsed) == 1
+
+
+def test_reports_count_real_minutes_as_numbers(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # clocks go from 2:00 to 3:00 between the first two: eight minutes pass
+        events = spark.sql("select 'm' as memory_id, timestamp'2024-03-10 01:55:00' as ts, 'written' as event, '' as detail, false as is_capture union all select 'm', timestamp'2024-03-10 03:03:00', 'embedded', '', false union all select 'm', timestamp'2024-03-10 03:06:00', 'distinct', '', false")
+        found = writes.statuses(events, until="2024-03-10 03:04:00")
+        got = [(r.status, r.stage, r.at) for r in found.select("status", "stage", F.col("at").cast("string").alias("at")).collect()]
+        assert "Arrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [("processing", "written", "2024-03-10 01:55:00"), ("processing", "embedded", "2024-03-10 03:03:00"), ("stuck", "embedded", "2024-03-10 03:05:00"), ("processing", "distinct", "2024-03-10 03:06:00")]
