@@ -165,3 +165,16 @@ def test_reports_count_real_minutes_as_numbers(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == [("processing", "written", "2024-03-10 01:55:00"), ("processing", "embedded", "2024-03-10 03:03:00"), ("stuck", "embedded", "2024-03-10 03:05:00"), ("processing", "distinct", "2024-03-10 03:06:00")]
+
+
+def test_graph_view_has_tasks_by_its_lines(spark, monkeypatch, tmp_path):
+    from memlake.plans import catalog, catalog_memory
+
+    monkeypatch.setattr(catalog_memory, "LINES_AT_ONCE", 50, raising=False)
+    lines = [(k % 97, k % 13) for k in range(600)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k / 2) for k in range(99)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, f"b{k % 5}") for k in range(12)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["graph_view"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.id, r.type, r.name, r.confidence) for r in got} == {(o, "brand", f"b{p % 5}", o / 2) for o, p in lines if p < 12}
+    assert len({r[:4] for r in got}) == len(got) and len({r.task for r in got}) == 12
